@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickspark.llm import exact_dedup
+from tickspark.llm import exact_dedup, quality
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
