@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tickspark.llm import exact_dedup, quality
+from tickspark.llm import exact_dedup, language, quality, toxicity
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_quality": quality.op2_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {**exact_dedup.ORACLE}
