@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm.features import collected, indicators, logistic, platt, remainder, sampled, scored
+from tickspark.llm.text import given_back, set_aside
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -112,6 +113,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return scored(docs, features, partial(_weigh, shared), "score double", keep)
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    aside, names = set_aside(docs, "text")
+    return given_back(score(aside, model, keep=tuple(names)).where(F.col("score") >= threshold), names, docs.columns)
+
+
 def _weigh(shared, of, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return shared.value.scores(of, data, offsets)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tickspark.llm import exact_dedup, language, quality, toxicity
+from tickspark.llm import decontaminate, exact_dedup, language, packing, quality, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_quality": quality.op2_quality,
+    "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES = {**exact_dedup.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **decontaminate.ORACLE}

@@ -104,9 +104,14 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def input_of(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; columns of other names, clashing ones too, don't reach the operator's joins."""
-    return docs.select(*names)
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """All columns under neutral names besides those ``used`` (as they are), so that no column clashes with a computed one."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), *used), names
+
+
+def given_back(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)))
 
 
 def text_bytes(docs: DataFrame) -> int:
