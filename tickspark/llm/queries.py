@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickspark.llm import decontaminate, exact_dedup, language, packing, quality, toxicity
+from tickspark.llm import decontaminate, exact_dedup, language, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_quality": quality.op2_quality,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
