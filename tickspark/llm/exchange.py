@@ -45,9 +45,9 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob[4:], n), dtype=np.uint64)
 
 
-def key_bits(n_bytes: int) -> int:
-    """Bits of a key: 14 more than the text's bytes can number, so that chance meetings of keys stay rare at any size."""
-    return min(63, max(1, n_bytes).bit_length() + 14)
+def key_bits(n_bytes: int, more: int = 14) -> int:
+    """Bits of a key: ``more`` than number the text's bytes, so that a key meets another by chance once in 2**more at any size."""
+    return min(63, max(1, n_bytes).bit_length() + more)
 
 
 def by_block(docs: DataFrame, blocks: int) -> DataFrame:

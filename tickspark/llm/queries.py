@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickspark.llm import decontaminate, exact_dedup, language, ngram_join, packing, quality, suffix_dedup, toxicity
+from tickspark.llm import decontaminate, exact_dedup, language, lm_score, ngram_join, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_quality": quality.op2_quality,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES = {**exact_dedup.ORACLE, **decontaminate.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **decontaminate.ORACLE, **lm_score.ORACLE}
