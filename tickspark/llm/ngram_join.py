@@ -5,7 +5,7 @@
 3. A document's shingles are ordered rare-first. Those that no other class has can't be met; a document in which more
    than a quarter are of that kind can't link and leaves. Of the rest only a prefix takes part in the join.
 4. Prefixes meet on shingles. To keep a large group from forming all its pairs, each shingle first links its documents
-   with one leader; links are verified, components formed, and then every pair that shares a prefix shingle and still
+   with two leaders; links are verified, components formed, and then every pair that shares a prefix shingle and still
    lies in two components is tried, the largest component of a shingle on one side. A pair passes the length and
    positional filters and, on the class counts of the shingles, the suffix filter; it is verified once, exactly.
 Components come out as if all links had been formed: a pair that isn't tried lies in one component already.
@@ -33,6 +33,8 @@ WORDS = 5
 #: The similarity threshold as a fraction, and the classes that the suffix filter counts shingles in.
 OVER, UNDER = 3, 4
 CLASSES = 16
+#: Orders by which leaders are chosen.
+ORDERS = 4
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, n_bytes long"
 SURVIVORS = "doc long, n int, lone int, classes array<int>, tokens array<long>"
 
@@ -141,9 +143,15 @@ def _named(df: DataFrame, start: str) -> DataFrame:
 
 
 def _led(prefixes: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs of each document with one leader of each shingle; leaders differ from turn to turn."""
-    lead = prefixes.groupBy("token").agg(F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.xxhash64("doc", F.lit(turn)).alias("g"), "doc", "n", "at", "label")).alias("x"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    lead = lead.select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc", "n", "at", "label")))
+    """Candidate pairs of each document with two leaders of each shingle that lies in several components.
+
+    Leaders are the first and last document under an order by hash, one of ``ORDERS`` orders for each shingle and others in
+    each turn: the documents of a large group meet many leaders, yet each of them a bounded number.
+    """
+    rank = F.xxhash64("doc", F.pmod(F.col("token"), F.lit(ORDERS)), F.lit(turn))
+    one = F.struct(rank.alias("h"), "doc", "n", "at", "label")
+    lead = prefixes.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("z"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    lead = lead.select("token", F.explode(F.array("x", "z")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc", "n", "at", "label")))
     return _pairs(_named(prefixes, "y_").join(lead, "token"))
 
 
