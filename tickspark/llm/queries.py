@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickspark.llm import decontaminate, exact_dedup, language, lm_score, ngram_join, packing, quality, suffix_dedup, toxicity
+from tickspark.llm import decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
