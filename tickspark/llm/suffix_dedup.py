@@ -246,24 +246,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         return table, *raw(table.column("text"))
 
-    def block_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return np.concatenate([k for *_, k, _, _ in anchors(data, offsets, length, gram)] or [np.zeros(0, np.uint64)]) >> shift
+    def block_keys(found: list[tuple]) -> np.ndarray:
+        return np.concatenate([k for *_, k, _, _ in found] or [np.zeros(0, np.uint64)]) >> shift
 
-    def known(answers: pa.Table, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(block_keys(data, offsets))
+    def known(answers: pa.Table, found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.unique(block_keys(found))
         return keys, exchange.answered(answers, 0, keys, buckets, bits)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         _, data, offsets = opened(table)
-        return exchange.requests(key[0].as_py(), {0: np.unique(block_keys(data, offsets), return_counts=True)}, buckets, bits)
+        return exchange.requests(key[0].as_py(), {0: np.unique(block_keys(list(anchors(data, offsets, length, gram))), return_counts=True)}, buckets, bits)
 
     answers = exchange.totals(texts.applyInArrow(ask, exchange.REQUEST))
 
     def contexts(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         _, data, offsets = opened(table)
-        keys, totals = known(told, data, offsets)
+        placed = list(anchors(data, offsets, length, gram))
+        keys, totals = known(told, placed)
         found: dict[tuple, list[tuple[int, int]]] = {}
-        for lo, hi, _, at, hashes, first, last in anchors(data, offsets, length, gram):
+        for lo, hi, _, at, hashes, first, last in placed:
             base = offsets[lo]
             total = totals[np.searchsorted(keys, hashes >> shift)]
             part = data[base : offsets[hi]].tobytes()
@@ -307,8 +308,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
 
     def ask_hot(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         _, data, offsets = opened(table)
-        keys, totals = known(told, data, offsets)
-        strings = [_hot_strings(running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length)[1] for _, _, running, _, hashes, first, last in anchors(data, offsets, length, gram)] if (totals > hot).any() else []
+        placed = list(anchors(data, offsets, length, gram))
+        keys, totals = known(told, placed)
+        strings = [_hot_strings(running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length)[1] for _, _, running, _, hashes, first, last in placed] if (totals > hot).any() else []
         found, counts = np.unique(np.concatenate(strings), return_counts=True) if strings else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         return exchange.requests(key[0].as_py(), {1: (found, counts)}, buckets, 63)
 
@@ -319,9 +321,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
         kinds = np.asarray(told.column("kind").fill_null(-1)) if told.num_rows else np.zeros(0, np.int32)
         found = [tuple(np.asarray(told.filter(pa.array(kinds == -1)).column(c)).astype(np.int64) for c in ("row", "start", "stop"))] if (kinds == -1).any() else []
         if (kinds == 1).any():
-            keys, totals = known(told, data, offsets)
+            placed = list(anchors(data, offsets, length, gram))
+            keys, totals = known(told, placed)
             pieces = []
-            for lo, hi, running, _, hashes, first, last in anchors(data, offsets, length, gram):
+            for lo, hi, running, _, hashes, first, last in placed:
                 starts, strings = _hot_strings(running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length)
                 pieces.append((lo, hi, starts, strings))
             names = np.unique(np.concatenate([p[3] for p in pieces] or [np.zeros(0, np.uint64)]))
