@@ -106,15 +106,17 @@ def survivors(docs: DataFrame, reps: DataFrame, n_bytes: int, block_bytes: int =
 
     def order(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(_represented(left, _wanted(right)))
-        keys = np.unique(np.concatenate([s >> shift for _, s in found])) if found else np.zeros(0, np.uint64)
-        total = exchange.answered(right, 0, keys, buckets, bits)
+        flat = np.concatenate([s for _, s in found] or [np.zeros(0, np.uint64)])
+        keys, back = np.unique(flat >> shift, return_inverse=True)
+        often = exchange.answered(right, 0, keys, buckets, bits)[back]
+        edges = np.cumsum([0, *(len(s) for _, s in found)])
+        met_before = np.concatenate([[0], np.cumsum(often > 1)])
+        many = np.diff(met_before[edges])
         out: dict[str, list] = {"doc": [], "n": [], "lone": [], "classes": [], "tokens": []}
-        for doc, shingles in found:
-            often = total[np.searchsorted(keys, shingles >> shift)]
-            met = shingles[often > 1]
-            if UNDER * len(met) < OVER * len(shingles):
-                continue
-            met = met[np.lexsort((met, often[often > 1]))].view(np.int64)
+        for i in np.flatnonzero(UNDER * many >= OVER * np.diff(edges)):
+            (doc, shingles), own = found[i], often[edges[i] : edges[i + 1]]
+            met = shingles[own > 1]
+            met = met[np.lexsort((met, own[own > 1]))].view(np.int64)
             for name, value in (("doc", doc), ("n", len(shingles)), ("lone", len(shingles) - len(met)), ("classes", np.bincount(met & (CLASSES - 1), minlength=CLASSES)), ("tokens", met)):
                 out[name].append(value)
         return pa.table({"doc": pa.array(out["doc"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "lone": pa.array(out["lone"], pa.int32()), "classes": pa.array(out["classes"], pa.list_(pa.int32())), "tokens": pa.array(out["tokens"], pa.list_(pa.int64()))})
