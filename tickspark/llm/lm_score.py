@@ -8,7 +8,7 @@ S(w | u v) = c(u v w) / c(u v) if the trigram was met ``at_least`` times, else a
 the bigram was, else alpha * c(w) / N. The first words of a text have no context and start at the lower order. With
 at_least = 2 a text's own single n-grams don't count for themselves.
 
-Words are what blanks separate, A-Z lower-cased; n-grams are counted by hashes; one in about a million (2**-KEY_MARGIN)
+Words are what blanks separate, A-Z lower-cased; n-grams are counted by hashes; one in about 260,000 (2**-KEY_MARGIN)
 meets another by chance and then counts with it.
 
 Edge cases: a null, empty or blank text has 0 words, log_prob 0 and no perplexity; repeated rows count each; a null
@@ -27,7 +27,7 @@ from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash,
 
 ALPHA = 0.4
 AT_LEAST = 2
-KEY_MARGIN = 20
+KEY_MARGIN = 18
 SCORES = "doc_id long, n_words long, log_prob double, n_tri long, n_bi long, n_uni long"
 
 
