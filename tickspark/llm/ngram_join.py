@@ -7,7 +7,8 @@
 4. Prefixes meet on shingles. To keep a large group from forming all its pairs, each shingle first links its documents
    with two leaders; links are verified, components formed, and then every pair that shares a prefix shingle and still
    lies in two components is tried, the largest component of a shingle on one side. A pair passes the length and
-   positional filters and, on the class counts of the shingles, the suffix filter; it is verified once, exactly.
+   positional filters and the suffix filter (parities of the shingles in BITS parts of the hash space bound the Hamming
+   distance of two sets from below); it is verified once, exactly.
 Components come out as if all links had been formed: a pair that isn't tried lies in one component already.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer than five words has its
@@ -30,13 +31,13 @@ from tickspark.llm.spill import cut
 from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash, mix, prefix_hash, raw, slices, span_hash, word_spans
 
 WORDS = 5
-#: The similarity threshold as a fraction, and the classes that the suffix filter counts shingles in.
+#: The similarity threshold as a fraction, and the parts of the hash space of which the suffix filter holds a parity.
 OVER, UNDER = 3, 4
-CLASSES = 16
+BITS = 512
 #: Orders by which leaders are chosen.
 ORDERS = 4
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, n_bytes long"
-SURVIVORS = "doc long, n int, lone int, classes array<int>, tokens array<long>"
+SURVIVORS = "doc long, n int, lone int, parities array<long>, tokens array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -88,8 +89,8 @@ def _wanted(table: pa.Table) -> set[tuple[int, int, int]]:
 
 
 def survivors(docs: DataFrame, reps: DataFrame, n_bytes: int, block_bytes: int = 4 << 20) -> DataFrame:
-    """SURVIVORS: of each representative that may link, its number of shingles, of those that no other has, the class
-    counts and the others, rare-first."""
+    """SURVIVORS: of each representative that may link, its number of shingles, of those that no other has, the
+    parities and the others, rare-first."""
     blocks, buckets = exchange.block_counts(n_bytes, block_bytes)
     bits = exchange.key_bits(n_bytes)
     shift = np.uint64(64 - bits)
@@ -112,14 +113,14 @@ def survivors(docs: DataFrame, reps: DataFrame, n_bytes: int, block_bytes: int =
         edges = np.cumsum([0, *(len(s) for _, s in found)])
         met_before = np.concatenate([[0], np.cumsum(often > 1)])
         many = np.diff(met_before[edges])
-        out: dict[str, list] = {"doc": [], "n": [], "lone": [], "classes": [], "tokens": []}
+        out: dict[str, list] = {"doc": [], "n": [], "lone": [], "parities": [], "tokens": []}
         for i in np.flatnonzero(UNDER * many >= OVER * np.diff(edges)):
             (doc, shingles), own = found[i], often[edges[i] : edges[i + 1]]
             met = shingles[own > 1]
             met = met[np.lexsort((met, own[own > 1]))].view(np.int64)
-            for name, value in (("doc", doc), ("n", len(shingles)), ("lone", len(shingles) - len(met)), ("classes", np.bincount(met & (CLASSES - 1), minlength=CLASSES)), ("tokens", met)):
+            for name, value in (("doc", doc), ("n", len(shingles)), ("lone", len(shingles) - len(met)), ("parities", np.packbits((np.bincount(met & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)), ("tokens", met)):
                 out[name].append(value)
-        return pa.table({"doc": pa.array(out["doc"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "lone": pa.array(out["lone"], pa.int32()), "classes": pa.array(out["classes"], pa.list_(pa.int32())), "tokens": pa.array(out["tokens"], pa.list_(pa.int64()))})
+        return pa.table({"doc": pa.array(out["doc"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "lone": pa.array(out["lone"], pa.int32()), "parities": pa.array(out["parities"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.list_(pa.int64()))})
 
     return texts.cogroup(told.groupBy("block")).applyInArrow(order, SURVIVORS)
 
@@ -172,13 +173,14 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold: suffix filter on class counts first, then the exact intersection."""
-    side = lambda x: held.select(F.col("doc").alias(x), F.col("n").alias(f"{x}_n"), F.col("classes").alias(f"{x}_classes"), F.col("tokens").alias(f"{x}_tokens"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    bound = F.aggregate(F.zip_with("a_classes", "b_classes", lambda p, q: F.least(p, q)), F.lit(0), lambda s, k: s + k)
-    need = OVER * (F.col("a_n") + F.col("b_n"))
-    both = both.where((OVER + UNDER) * bound >= need)
-    return both.where((OVER + UNDER) * F.size(F.array_intersect("a_tokens", "b_tokens")) >= need).select("a", "b")
+    """The pairs whose sets reach the threshold: suffix filter on parities first, then the exact intersection."""
+    side = lambda x, *also: held.select(F.col("doc").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in also))
+    both = pairs.join(side("a", "n", "lone", "parities"), "a").join(side("b", "n", "lone", "parities"), "b")
+    apart = sum((F.bit_count(F.col("a_parities")[i].bitwiseXOR(F.col("b_parities")[i])) for i in range(BITS // 64)), F.lit(0))
+    total = F.col("a_n") + F.col("b_n")
+    near = both.where((OVER + UNDER) * (total - F.col("a_lone") - F.col("b_lone") - apart) >= 2 * OVER * total).select("a", "b", total.alias("total"))
+    met = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    return met.where((OVER + UNDER) * F.size(F.array_intersect("a_tokens", "b_tokens")) >= OVER * F.col("total")).select("a", "b")
 
 
 def linked(held: DataFrame, turns: int = 2) -> DataFrame:
