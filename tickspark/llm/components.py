@@ -21,13 +21,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.select("a", F.col("m").alias("b")).unionByName(moved.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): for every node of the edges (a, b) the smallest node that it is linked with. Ends when no edge moves."""
-    edges = cut(edges.where("a <> b").select("a", "b").distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = now
-        edges = cut(_small_star(_large_star(edges)))
+def _starred(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 or (down = 1 and root = 1)").isEmpty()
+
+
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """(node, component): for every node of the edges (a, b) the smallest node that it is linked with. Rounds go on until all
+    edges form stars. parts: see ``cut``."""
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
+    while not _starred(edges):
+        edges = cut(_small_star(_large_star(edges)), parts)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

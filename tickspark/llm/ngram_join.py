@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tickspark.llm import exchange
 from tickspark.llm.components import components
 from tickspark.llm.spill import cut
-from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash, mix, prefix_hash, raw, slices, span_hash, word_spans
+from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash, mix, prefix_hash, raw, slices, span_hash, text_bytes, word_spans
 
 WORDS = 5
 #: The similarity threshold as a fraction, and the parts of the hash space of which the suffix filter holds a parity.
@@ -36,7 +36,7 @@ OVER, UNDER = 3, 4
 BITS = 512
 #: Orders by which leaders are chosen.
 ORDERS = 4
-SETS = "doc_id long, n_shingles long, d1 long, d2 long, n_bytes long"
+SETS = "doc_id long, n_shingles long, d1 long, d2 long"
 SURVIVORS = "doc long, n int, lone int, parities array<long>, tokens array<long>"
 
 
@@ -66,7 +66,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offsets = raw(b.column("text"))
             rows = [(len(s), *digest(s)) for s in shingle_sets(data, offsets)]
-            yield pa.record_batch([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(np.diff(offsets))], ["doc_id", "n_shingles", "d1", "d2", "n_bytes"])
+            yield pa.record_batch([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["doc_id", "n_shingles", "d1", "d2"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
@@ -183,26 +183,27 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return met.where((OVER + UNDER) * F.size(F.array_intersect("a_tokens", "b_tokens")) >= OVER * F.col("total")).select("a", "b")
 
 
-def linked(held: DataFrame, turns: int = 2) -> DataFrame:
-    """(node, component) of all survivors that link with another one."""
+def linked(held: DataFrame, parts: int | None = None, turns: int = 1) -> DataFrame:
+    """(node, component) of all survivors that link with another one. parts: see ``cut``."""
     labels, links = None, None
     for turn in range(turns + 1):
         prefixes = _prefixes(held, labels)
-        tried = _verified(cut(_led(prefixes, turn) if turn < turns else _crossed(prefixes)), held)
-        links = cut(tried if links is None else tried.unionByName(links))
-        labels = cut(components(links))
+        tried = _verified(cut(_led(prefixes, turn) if turn < turns else _crossed(prefixes), parts), held)
+        links = tried if links is None else tried.unionByName(links)
+        labels = cut(components(links, parts), parts)
         links = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return labels
 
 
 def near_duplicates(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
-    sets = cut(summaries(docs))
+    n_bytes = text_bytes(docs)
+    parts = max(8, exchange.block_counts(n_bytes, block_bytes)[0])
+    sets = cut(summaries(docs), parts)
     some = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")))
-    n_bytes = int(sets.agg(F.sum("n_bytes")).first()[0] or 0)
+    classes = cut(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), parts)
     # classes with several rows join as edges to their representative, so that one identifier in two classes links them
-    labels = linked(cut(survivors(docs, classes, n_bytes, block_bytes)))
+    labels = linked(cut(survivors(docs, classes, n_bytes, block_bytes), parts), parts)
     own = some.join(classes.where("k > 1"), ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     mapped = own.join(labels, own.b == labels.node, "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     every = labels.unionByName(mapped).groupBy("node").agg(F.min("component").alias("component"))

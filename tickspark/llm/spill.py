@@ -7,10 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read back. Only where that is unset, as in local tests, is a folder made."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` written to spark.checkpoint.dir and read back. Only where that is unset, as in local tests, is a folder made.
+
+    parts: at most so many partitions, for tables that are small beside what they come from; each costs files in every
+    shuffle that follows. Callers take it from the size of the input.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
