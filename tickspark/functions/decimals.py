@@ -17,11 +17,18 @@ def cascade(value: Column, digits: Column | int) -> Column:
     return F.call_function("div", value + F.call_function("div", 5 * (power - 1), F.lit(9)), power)
 
 
-def ratio(over: Column, under: Column, scale: int = 5) -> Column:
-    """over / under in units of 10**-scale: a quotient of 7 digits, then cascaded. Null if ``under`` is 0."""
+def quotient(over: Column, under: Column) -> Column:
+    """|over / under| in units of 10**-PLACES, rounded half up; null if ``under`` is 0. The argument of ``ratio``."""
     a, b = F.abs(over).cast("decimal(20,0)"), F.nullif(F.abs(under), F.lit(0)).cast("decimal(20,0)")
-    exact = F.call_function("div", a * F.lit(2 * 10**PLACES).cast("decimal(16,0)") + b, 2 * b).cast("long")
+    return F.call_function("div", a * F.lit(2 * 10**PLACES).cast("decimal(16,0)") + b, 2 * b).cast("long")
+
+
+def ratio(exact: Column, sign: Column, scale: int = 5) -> Column:
+    """A ``quotient`` in units of 10**-scale, under the sign of ``sign``: reduced to 7 digits, then cascaded.
+
+    Give the quotient as a column of its own, as it is used several times.
+    """
     drop = F.greatest(F.length(exact.cast("string")) - SIGNIFICANT, F.lit(0))
     power = F.pow(F.lit(10.0), drop).cast("long")
     seven = F.call_function("div", exact + F.call_function("div", power, F.lit(2)), power)
-    return F.signum(over.cast("double")).cast("long") * F.signum(under.cast("double")).cast("long") * cascade(seven, F.greatest(PLACES - scale - drop, F.lit(0)))
+    return F.signum(sign.cast("double")).cast("long") * cascade(seven, F.greatest(PLACES - scale - drop, F.lit(0)))

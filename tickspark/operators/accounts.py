@@ -20,7 +20,8 @@ def _kept(accounts: DataFrame, execs: DataFrame | None, gross: int, by: list[str
         sums = Window.partitionBy(*by).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
         costs = execs.select(*by, "t", "seq", F.sum(F.coalesce(paid, F.lit(0))).over(sums).cast(KIND).alias("sprd"))
         both = rows.withColumn("sprd", F.lit(None).cast(KIND)).withColumn("_acc", F.lit(True)).unionByName(costs, allowMissingColumns=True)
-        run = Window.partitionBy(*by).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        # an execution comes before the account of the same time and number (its null mark sorts first)
+        run = Window.partitionBy(*by).orderBy("t", "seq", "_acc").rowsBetween(Window.unboundedPreceding, 0)
         rows = both.withColumn("sprd", F.coalesce(F.last("sprd", ignorenulls=True).over(run), F.lit(0).cast(KIND))).where("_acc").drop("_acc")
     else:
         rows = rows.withColumn("sprd", F.lit(0).cast(KIND))

@@ -116,18 +116,24 @@ def quodist(quotes: DataFrame, every: str | int | None = None, res: int = 0, ela
     order = Window.partitionBy(*by, "edge").orderBy("t", "seq")
     whole_number = lambda c, d: F.round(F.col(c) * 10**d, 0).cast("long")
     b, a, bq, aq = whole_number("bid", places), whole_number("ask", places), whole_number("bsz", 6), whole_number("asz", 6)
-    rows = rows.select(*by, "edge", F.coalesce(F.col("t") - F.lag("t").over(order), F.lit(0)).alias("gap"), b.alias("b"), a.alias("a"), bq.alias("B"), aq.alias("A"))
-    b, a, bq, aq = (F.col(c) for c in ("`b`", "`a`", "`B`", "`A`"))
+    rows = rows.select(*by, "edge", F.coalesce(F.col("t") - F.lag("t").over(order), F.lit(0)).alias("gap"), b.alias("bp"), a.alias("ap"), bq.alias("bs"), aq.alias("as_"))
+    b, a, bq, aq = (F.col(c) for c in ("bp", "ap", "bs", "as_"))
+    gap, tilt = a - b, bq - aq
+    shares = {"s": (2 * gap, a + b), "r": (gap, a + b + F.abs(gap)), "i": (2 * tilt, bq + aq), "q": (tilt, bq + aq + F.abs(tilt))}
+    # step by step, so that each quotient is worked out once
+    rows = rows.select("*", *(decimals.quotient(*x).alias(f"x{n}") for n, x in shares.items()))
+    rows = rows.select("*", *(decimals.ratio(F.col(f"x{n}"), x[0]).alias(f"y{n}") for n, x in shares.items()))
+    s, r, i, q = (F.col(f"y{n}") for n in shares)
     values = {
         "t": (F.col("gap"), bins.octave_bin(whole(F.col("gap"), 10**6), hb, 1000), 9),
         "b": (b, bins.price_bin(b, hb), places),
         "a": (a, bins.price_bin(a, hb), places),
-        "s": (x := decimals.ratio(2 * (a - b), a + b), bins.relative_bin(x, hb), 5),
-        "r": (x := decimals.ratio(a - b, a + b + F.abs(a - b)), bins.relative_bin(x, hb), 5),
+        "s": (s, bins.relative_bin(s, hb), 5),
+        "r": (r, bins.relative_bin(r, hb), 5),
         "B": (bq, bins.quantity_bin(bq, hb), 6),
         "A": (aq, bins.quantity_bin(aq, hb), 6),
-        "I": (x := decimals.ratio(2 * (bq - aq), bq + aq), bins.signed_bin(x, hb), 5),
-        "R": (x := decimals.ratio(bq - aq, bq + aq + F.abs(bq - aq)), bins.signed_bin(x, hb), 5),
+        "I": (i, bins.signed_bin(i, hb), 5),
+        "R": (q, bins.signed_bin(q, hb), 5),
     }
     parts = [F.struct(F.lit(d).alias("dimen"), v.cast("long").alias("v"), n.cast("long").alias("bin"), F.lit(10**k).cast("long").alias("unit")) for d, (v, n, k) in values.items()]
     long = rows.select(*by, "edge", F.when(F.lit(elapsed), F.col("gap")).otherwise(1).alias("w"), F.inline(F.array(*parts))).where("v is not null")

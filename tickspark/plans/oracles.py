@@ -44,7 +44,7 @@ SELECT {label} AS cndl, instr, min(t) AS _1st, max(t) AS last, min(gap) AS mindl
 def _ratio(over: str, under: str) -> str:
     """A quotient of seven digits, then one digit dropped at a time, half up, to five decimals."""
     exact = f"CAST((2 * CAST(abs({over}) AS HUGEINT) * 100000000000000 + abs({under})) // (2 * abs({under})) AS BIGINT)"
-    return f"""(SELECT sign({over}) * list_reduce(list_prepend((x + CAST(10 ** d AS BIGINT) // 2) // CAST(10 ** d AS BIGINT), [0 FOR i IN range(greatest(9 - d, 0))]), (a, b) -> (a + 5) // 10)
+    return f"""(SELECT sign({over}) * list_reduce(list_prepend((x + CAST(10 ** d AS BIGINT) // 2) // CAST(10 ** d AS BIGINT), range(greatest(9 - d, 0))), lambda a, b: (a + 5) // 10)
   FROM (SELECT x, greatest(len(CAST(x AS VARCHAR)) - 7, 0) AS d FROM (SELECT {exact} AS x)))"""
 
 
@@ -136,8 +136,8 @@ ch AS (SELECT *, mid - mid0 AS change, (t - lag(t) OVER p) / 1e9 AS dt FROM (SEL
 
 
 def _profile(value: str) -> str:
-    return f"""{_MID}, vv AS (SELECT {value} AS v, (t % {DAY} - {HOUR // 2} + {DAY}) AS at FROM ch), ok AS (SELECT * FROM vv WHERE v IS NOT NULL),
-two AS (SELECT (at // {HOUR}) % 24 AS bin, v * (1 - (at % {HOUR}) / {HOUR}.0) AS x FROM ok UNION ALL SELECT (at // {HOUR} + 1) % 24, v * ((at % {HOUR}) / {HOUR}.0) FROM ok),
+    return f"""{_MID}, vv AS (SELECT {value} AS v, (t % {DAY} - {HOUR // 2} + {DAY}) AS pos FROM ch), ok AS (SELECT * FROM vv WHERE v IS NOT NULL),
+two AS (SELECT (pos // {HOUR}) % 24 AS bin, v * (1 - (pos % {HOUR}) / {HOUR}) AS x FROM ok UNION ALL SELECT (pos // {HOUR} + 1) % 24, v * ((pos % {HOUR}) / {HOUR}) FROM ok),
 agg AS (SELECT bin, count(*) AS n, avg(x) AS mean, var_samp(x) AS var FROM two GROUP BY bin),
 ev AS (SELECT b.bin, n, mean, var FROM (SELECT unnest(range(24)) AS bin) b LEFT JOIN agg USING (bin)),
 prof AS (SELECT bin, coalesce(n, 0) AS n, coalesce(mean, 1) AS mean, CASE WHEN n > 1 THEN var ELSE 1 END AS var FROM ev
@@ -147,7 +147,7 @@ prof AS (SELECT bin, coalesce(n, 0) AS n, coalesce(mean, 1) AS mean, CASE WHEN n
 def _sea(reverse: bool) -> str:
     f = "mean / (al * al)" if reverse else "al * al / mean"
     return f"""WITH {_profile("abs(change)")}, fac AS (SELECT bin, {f} AS f FROM prof, (SELECT mean AS al FROM prof WHERE bin = -1) WHERE bin >= 0)
-SELECT t, seq, instr, round(sum(CASE WHEN mid0 IS NULL THEN mid ELSE (mid - mid0) * f END) OVER (PARTITION BY instr ORDER BY t, seq), 3) AS seasoned FROM ml JOIN fac ON fac.bin = (t % {DAY}) // {HOUR}"""
+SELECT t, seq, instr, round(sum(CASE WHEN mid0 IS NULL THEN mid ELSE (mid - mid0) * f END) OVER (PARTITION BY instr ORDER BY t, seq) + 1e-6, 2) AS seasoned FROM ml JOIN fac ON fac.bin = (t % {DAY}) // {HOUR}"""
 
 
 LINES = "l AS (SELECT epoch_us(l_shipdate) * 1000 AS t, l_extendedprice AS v FROM lineitem)"
@@ -162,7 +162,8 @@ ORACLES = {
 SELECT g.t, g.instr, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM g ASOF JOIN q ON g.instr = q.instr AND g.t >= q.t""",
     "align_multi": _multi("instr", {"click": "a", "view": "b"}, "bid ask"),
     "align_files": _multi("'s' || (seq % 2)", {"s0": "a", "s1": "b"}, "instr bid ask"),
-    "mid": f"WITH {Q} SELECT t, seq, instr, CAST(round((bid + ask) / 2.0::DECIMAL(3,1) - 0.01, 2) AS DOUBLE) AS bid, CAST(round((bid + ask) / 2.0::DECIMAL(3,1) + 0.01, 2) AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM q",
+    "mid": f"""WITH {Q}, h AS (SELECT *, CAST((bid + ask) * 100 AS BIGINT) - 2 AS lo, CAST((bid + ask) * 100 AS BIGINT) + 2 AS hi FROM q)
+SELECT t, seq, instr, sign(lo) * ((abs(lo) + 1) // 2) / 100 AS bid, (hi + 1) // 2 / 100 AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM h""",
     "mid_widen": f"WITH {Q} SELECT t, seq, instr, CAST(bid - 0.02 AS DOUBLE) AS bid, CAST(ask + 0.02 AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM q",
     "mid_spread": f"WITH {Q} SELECT t, seq, instr, CAST(bid + ask AS DOUBLE) / 2 AS mid, CAST(ask - bid AS DOUBLE) AS spread, (bsz + asz) / 2 AS qty, CAST(asz - bsz AS DOUBLE) AS imbalance FROM q",
     "despread": f"WITH {Q} SELECT t, seq, instr, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM q",
@@ -221,7 +222,7 @@ h AS (SELECT a.instr, a.k, a.nxt, min(b.t) AS head FROM n a JOIN n b ON a.instr
 SELECT h.k AS window_id, n.t, n.seq, n.instr, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM h JOIN n ON n.instr = h.instr AND n.k <= h.k AND n.t >= head WHERE h.nxt IS NULL OR h.nxt - head >= {HOUR}""",
     "sma": f"""WITH {Q}, d AS (SELECT t, seq, instr, CAST(bid - lag(bid) OVER p AS DOUBLE) AS db, CAST(ask - lag(ask) OVER p AS DOUBLE) AS da FROM q WINDOW p AS (PARTITION BY instr ORDER BY t, seq)),
 s AS (SELECT t, seq, instr, count(*) OVER r AS n, sum(db) OVER r AS sb, sum(db * db) OVER r AS qb, sum(da) OVER r AS sa, sum(da * da) OVER r AS qa FROM d WHERE db IS NOT NULL WINDOW r AS (PARTITION BY instr ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW))
-SELECT t, seq, instr, round(sb / n, 6) AS sma_bid, round((qb - (sb / n) ** 2) / n, 6) AS smv_bid, round(sa / n, 6) AS sma_ask, round((qa - (sa / n) ** 2) / n, 6) AS smv_ask FROM s""",
+SELECT t, seq, instr, round(sb / n + 1e-9, 6) AS sma_bid, round((qb - (sb / n) ** 2) / n + 1e-9, 6) AS smv_bid, round(sa / n + 1e-9, 6) AS sma_ask, round((qa - (sa / n) ** 2) / n + 1e-9, 6) AS smv_ask FROM s""",
     "ewma": f"""WITH RECURSIVE {O}, r AS (SELECT instr, rn, t, seq, CAST(1 AS DOUBLE) AS m0, CAST(bid AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2, CAST(ask AS DOUBLE) AS a1, CAST(0 AS DOUBLE) AS a2 FROM o WHERE rn = 1
   UNION ALL SELECT instr, rn, t, seq, m, b, d * b2 + (bid - b / m) ** 2, a, d * a2 + (ask - a / m) ** 2 FROM (SELECT *, d * m0 + 1 AS m, d * b1 + bid AS b, d * a1 + ask AS a
     FROM (SELECT o.instr, o.rn, o.t, o.seq, CAST(o.bid AS DOUBLE) AS bid, CAST(o.ask AS DOUBLE) AS ask, r.m0, r.b1, r.b2, r.a1, r.a2, (1 - ln(2) / 3600) ** ((o.t - r.t) / 1e9) AS d FROM r JOIN o ON o.instr = r.instr AND o.rn = r.rn + 1)))
@@ -231,7 +232,7 @@ SELECT t, seq, instr, round(b1 / m0, 6) AS bid_mean, round(sqrt(b2 / m0), 6) AS
     "sea_apply": _sea(False),
     "sea_reverse": _sea(True),
     "sea_tdlt": f"""WITH {_profile("dt")}, fac AS (SELECT bin, al * al / mean AS f FROM prof, (SELECT mean AS al FROM prof WHERE bin = -1) WHERE bin >= 0)
-SELECT t, seq, instr, round(sum(coalesce(dt, 0) * f) OVER (PARTITION BY instr ORDER BY t, seq), 3) AS seasoned FROM ch JOIN fac ON fac.bin = (t % {DAY}) // {HOUR}""",
+SELECT t, seq, instr, round(sum(coalesce(dt, 0) * f) OVER (PARTITION BY instr ORDER BY t, seq), 0) AS seasoned FROM ch JOIN fac ON fac.bin = (t % {DAY}) // {HOUR}""",
     "accsum": f"WITH {_accsum(False, False)} SELECT * FROM stats",
     "accsum_gross": f"WITH {_accsum(True, True)} SELECT * FROM stats",
     "accsum_report": f"""WITH {_accsum(False, False)}, b AS (SELECT * EXCLUDE (avg) FROM stats WHERE side <> 'F' UNION ALL BY NAME SELECT instr, 'L+S' AS side, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum("count") AS BIGINT) AS "count", CAST(sum("time") AS BIGINT) AS "time", round(sum(rpnl), 6) AS rpnl, round(sum(rp), 6) AS rp, round(sum(rl), 6) AS rl, max(best) AS best, min(worst) AS worst FROM stats WHERE side <> 'F' GROUP BY instr),
