@@ -118,7 +118,7 @@ def quodist(quotes: DataFrame, every: str | int | None = None, res: int = 0, ela
     b, a, bq, aq = whole_number("bid", places), whole_number("ask", places), whole_number("bsz", 6), whole_number("asz", 6)
     rows = rows.select(*by, "edge", F.coalesce(F.col("t") - F.lag("t").over(order), F.lit(0)).alias("gap"), b.alias("bp"), a.alias("ap"), bq.alias("bs"), aq.alias("as_"))
     b, a, bq, aq = (F.col(c) for c in ("bp", "ap", "bs", "as_"))
-    gap, tilt = a - b, bq - aq
+    gap, tilt = a - b, aq - bq
     shares = {"s": (2 * gap, a + b), "r": (gap, a + b + F.abs(gap)), "i": (2 * tilt, bq + aq), "q": (tilt, bq + aq + F.abs(tilt))}
     # step by step, so that each quotient is worked out once
     rows = rows.select("*", *(decimals.quotient(*x).alias(f"x{n}") for n, x in shares.items()))

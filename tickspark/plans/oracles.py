@@ -70,7 +70,7 @@ def _quodist(every: int | None, bits: int = 0, elapsed: bool = False, day: bool
     union = " UNION ALL ".join(f"SELECT edge, instr, wt, '{d}' AS dimen, CAST({v} AS BIGINT) AS v, CAST({n} AS BIGINT) AS bin, {u} AS unit FROM z" for d, v, n, u in dims)
     return f"""WITH RECURSIVE {Q}, {windows},
 y AS (SELECT instr, edge, coalesce(t - lag(t) OVER (PARTITION BY instr, edge ORDER BY t, seq), 0) AS g, CAST(bid * 100 AS BIGINT) AS b, CAST(ask * 100 AS BIGINT) AS a, bsz * 1000000 AS bq, asz * 1000000 AS aq FROM w),
-z AS (SELECT *, {"g" if elapsed else "1"} AS wt, {_ratio("2 * (a - b)", "(a + b)")} AS s, {_ratio("(a - b)", "(a + b + abs(a - b))")} AS r, {_ratio("2 * (bq - aq)", "(bq + aq)")} AS i, {_ratio("(bq - aq)", "(bq + aq + abs(bq - aq))")} AS rq FROM y),
+z AS (SELECT *, {"g" if elapsed else "1"} AS wt, {_ratio("2 * (a - b)", "(a + b)")} AS s, {_ratio("(a - b)", "(a + b + abs(a - b))")} AS r, {_ratio("2 * (aq - bq)", "(bq + aq)")} AS i, {_ratio("(aq - bq)", "(bq + aq + abs(aq - bq))")} AS rq FROM y),
 h AS ({union})
 SELECT {name} AS cndl, instr, dimen, bin, min(v) / any_value(unit) AS lo, max(v) / any_value(unit) AS hi, CAST(sum(wt) AS BIGINT) AS cnt FROM h GROUP BY edge, instr, dimen, bin"""
 
