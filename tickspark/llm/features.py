@@ -26,7 +26,7 @@ def char_grams(part: np.ndarray, order: int, bits: int) -> np.ndarray:
     """A feature number for the n-gram of bytes that starts at each byte (the last ``order`` - 1 run over the end and are to be cut)."""
     code = np.zeros(len(part), np.uint32)
     for i in range(order):
-        code[: len(part) - i] += part[i:].astype(np.uint32) * SEEDS[i]
+        code[: max(0, len(part) - i)] += part[i:].astype(np.uint32) * SEEDS[i]
         code = (code ^ (code >> np.uint32(15))) * SEEDS[(i + order) % 8] if i + 1 < order else code
     code ^= code >> np.uint32(13)
     return (code * SEEDS[order % 8]) >> np.uint32(32 - bits)
@@ -148,10 +148,10 @@ def logistic(x: np.ndarray) -> np.ndarray:
 def platt(margins: np.ndarray, positive: np.ndarray, prior: float, steps: int = 40) -> tuple[float, float]:
     """Slope and intercept of P(positive | margin) = logistic(slope * margin + intercept), for classes of prior ``prior``.
 
-    Newton steps on smoothed targets with a small ridge; the sample's class shares are replaced by the prior afterwards.
+    Newton steps on targets of 0.99 and 0.01 with a small ridge; the sample's class shares are replaced by the prior afterwards.
     """
     n1, n0 = positive.sum(), (~positive).sum()
-    target = np.where(positive, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    target = np.where(positive, 0.99, 0.01)
     weight = np.where(positive, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(margins)
     x = np.column_stack([margins, np.ones(len(margins))])
     theta = np.zeros(2)
