@@ -148,10 +148,10 @@ def logistic(x: np.ndarray) -> np.ndarray:
 def platt(margins: np.ndarray, positive: np.ndarray, prior: float, steps: int = 40) -> tuple[float, float]:
     """Slope and intercept of P(positive | margin) = logistic(slope * margin + intercept), for classes of prior ``prior``.
 
-    Newton steps on targets of 0.99 and 0.01 with a small ridge; the sample's class shares are replaced by the prior afterwards.
+    Newton steps on smoothed targets (within 0.01 of 0 and 1, nearer in large samples) with a small ridge; the sample's class shares are replaced by the prior afterwards.
     """
     n1, n0 = positive.sum(), (~positive).sum()
-    target = np.where(positive, 0.99, 0.01)
+    target = np.where(positive, 1 - min(0.01, 1 / (n1 + 2)), min(0.01, 1 / (n0 + 2)))
     weight = np.where(positive, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(margins)
     x = np.column_stack([margins, np.ones(len(margins))])
     theta = np.zeros(2)
