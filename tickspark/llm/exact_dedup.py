@@ -1,7 +1,7 @@
 """Exact deduplication by a log-structured merge index, in DataFrame and SQL functions only.
 
 A row's digest goes to one of ``runs`` memtables; each is flushed as a run of distinct digests, sorted, with its smallest
-identifier, its count and a bitmap filter. Compaction merges a digest with the other runs only if one of their filters
+identifier, its count and a bitmap filter (one bit for a digest). Compaction merges a digest with the other runs only if one of their filters
 may hold it, and keeps the smallest identifier; all other digests pass as they are. Digests with more than one row are
 hits: their texts are compared byte by byte (smallest against largest text of a digest, pre-aggregated before the
 shuffle). If texts differ under one digest, the texts themselves take its place as key.
@@ -36,20 +36,25 @@ def sha256(text: Column) -> Column:
 
 
 def filter_position(digest: Column, bits: int) -> Column:
-    """The bit of a filter of 2**bits bits that stands for a digest, from 1."""
-    return F.pmod(F.xxhash64(digest), F.lit(1 << bits)) + 1
+    """The bit of a filter of 2**bits bits that stands for a digest."""
+    return F.pmod(F.xxhash64(digest), F.lit(1 << bits))
 
 
-def has_bit(bitmap: Column, position: Column) -> Column:
-    at = F.bitmap_bit_position(position).cast("int")
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))) % 2 == 1, F.lit(False))
+def filter_word(position: Column) -> Column:
+    """The 64-bit word of a filter that holds a bit."""
+    return F.shiftright(position, 6)
+
+
+def has_bit(word: Column, position: Column) -> Column:
+    shifted = F.call_function("shiftright", word, position.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.coalesce(shifted.bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
 
 
 def filters(digests: DataFrame, bits: int) -> DataFrame:
-    """(run, slot, bitmap): each run's filter, in pages of 32,768 bits. At most 2**bits bits a run, whatever the rows."""
+    """(run, slot, word): each run's filter, a row for each word that has a bit. At most 2**bits bits a run, whatever the rows."""
     at = filter_position(F.col("digest"), bits)
-    return digests.groupBy("run", F.bitmap_bucket_number(at).alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return digests.groupBy("run", filter_word(at).alias("slot")).agg(F.bit_or(bit).alias("word"))
 
 
 def flush(entries: DataFrame) -> DataFrame:
@@ -60,20 +65,20 @@ def flush(entries: DataFrame) -> DataFrame:
 def compact(runs: DataFrame, bits: int) -> DataFrame:
     """One run of all: (digest, id, n), the smallest id of each digest. Only digests that another run's filter may hold are merged."""
     at = filter_position(F.col("digest"), bits)
-    pages = filters(runs, bits).groupBy("slot").agg(F.collect_list(F.struct("run", "bitmap")).alias("pages"))
-    # the pages are bounded by runs * 2**bits bits: 2 MB as the defaults stand
-    probed = runs.withColumn("slot", F.bitmap_bucket_number(at)).join(F.broadcast(pages), "slot").withColumn("at", at)
-    probed = probed.withColumn("met", F.exists("pages", lambda p: (p["run"] != F.col("run")) & has_bit(p["bitmap"], F.col("at"))))
+    pages = filters(runs, bits).groupBy("slot").agg(F.collect_list(F.struct("run", "word")).alias("pages"))
+    # bounded by runs * 2**bits bits: 2 MB as the defaults stand
+    probed = runs.withColumn("slot", filter_word(at)).join(F.broadcast(pages), "slot").withColumn("at", at)
+    probed = probed.withColumn("met", F.exists("pages", lambda p: (p["run"] != F.col("run")) & has_bit(p["word"], F.col("at"))))
     merged = probed.where("met").groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
     return merged.unionByName(probed.where("not met").select("digest", "id", "n"))
 
 
 def differing(docs: DataFrame, hits: DataFrame, norm: Column, digest, bits: int) -> DataFrame:
     """The digests among ``hits`` whose texts are not all the same bytes."""
-    pages = filters(hits.withColumn("run", F.lit(0)), bits).select("slot", "bitmap")
+    pages = filters(hits.withColumn("run", F.lit(0)), bits).select("slot", "word")
     texts = docs.select(norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     at = filter_position(F.col("digest"), bits)
-    texts = texts.withColumn("slot", F.bitmap_bucket_number(at)).join(F.broadcast(pages), "slot").where(has_bit(F.col("bitmap"), at))
+    texts = texts.withColumn("slot", filter_word(at)).join(F.broadcast(pages), "slot", "left").where(has_bit(F.col("word"), at))
     same = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return same.where("low <> high").select("digest").join(hits.select("digest"), "digest", "left_semi")
 
