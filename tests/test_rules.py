@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickspark.functions import decimals, timeunits
-from tickspark.operators import combine, events, folds, generate, resample, running, smooth
+from tickspark.functions import bins, decimals, timeunits
+from tickspark.operators import accounts, combine, events, folds, generate, resample, running, smooth
+from tickspark.sources import ticks
 from tickspark.streaming import stream
 
 
@@ -126,6 +127,37 @@ def test_generated_trades(spark):
     assert all(a.stream != b.stream or (b.t >= a.t and b.side != a.side) for a, b in zip(got, got[1:], strict=False))
 
 
+def test_files_and_flat_forms(spark, tmp_path):
+    q = some_quotes(spark)
+    profile = smooth.sea_profile(q, "adev", "1h", "10m", by=["instr"])
+    ticks.write_profile(profile, str(tmp_path / "p"), "adev", 3600 * 10**9, 600 * 10**9)
+    back, mode, modulus, width = ticks.read_profile(spark, str(tmp_path / "p"))
+    assert (mode, modulus, width) == ("adev", 3600 * 10**9, 600 * 10**9)
+    for got, want in zip(sorted(back.collect()), sorted(profile.collect()), strict=True):
+        assert tuple(got) == pytest.approx(tuple(want))
+    (tmp_path / "s").write_text("5.123\nx\n7\n")
+    assert [r.t for r in ticks.read_stamps(spark, str(tmp_path / "s")).orderBy("t").collect()] == [5_123_000_000, 7_000_000_000]
+    shocks = q.where("seq % 100 = 5").select("t", "seq")
+    ticks.write_chunks(combine.xevent(q, shocks, "60", "60", start=3), str(tmp_path / "c"))
+    assert {r.chunk for r in spark.read.parquet(str(tmp_path / "c")).select("chunk").distinct().collect()} == {3, 4, 5}
+    ticks.write_tsv(q, str(tmp_path / "t"), "t", "instr", "bid", "ask", "bsz", "asz")
+    again = ticks.read_quotes(spark, str(tmp_path / "t")).select("t", "bid", "ask")
+    assert sorted((r.t, float(r.bid)) for r in again.collect()) == sorted((r.t, float(r.bid)) for r in q.collect())
+    hist = resample.loghist(q, "bid")
+    full = resample.all_bins(hist, bins.octave_edges(5, 10)).orderBy("bin").collect()
+    assert len(full) == 10 and sum(r["cnt"] for r in full) == q.count()
+    assert all(f.lo <= h.lo and h.hi < f.hi for h in hist.collect() for f in full if f.bin == h.bin)
+    windows = events.evt_erlagg(q.where("seq % 40 = 0"), "60", empty=True).collect()
+    assert any(r.n is None for r in windows) and sum(r.n or 0 for r in windows) == q.where("seq % 40 = 0").count() - 1
+
+
+def test_flat_report(spark):
+    rows = [(i, i, "x", b, t, 0, 0) for i, (b, t) in enumerate([(1, -5), (0, 2), (-1, 7), (0, 1)])]
+    acc = spark.createDataFrame(rows, "t long, seq long, instr string, base long, term long, comb long, comt long").selectExpr("t", "seq", "instr", *(f"cast({c} as decimal(28,7)) as {c}" for c in ("base", "term", "comb", "comt")))
+    flat = {r.key: r.value for r in accounts.accsum_table(accounts.accsum_report(acc)).collect()}
+    assert (flat["L rpnl"], flat["S rpnl"], flat["L+S hits"], flat["L+S cnt_FL"]) == (2, -1, 1, 1)
+
+
 def test_empty_tables(spark):
     q = some_quotes(spark).limit(0)
     for df in (resample.align(q, "1m"), resample.candle(q, "1m"), resample.quodist(q, "1m"), folds.qq(q, "1"), folds.opt(q), smooth.sma(q), smooth.rolling(q, "1m")):

@@ -42,6 +42,12 @@ def octave_bin(units: Column, bits: int, per_unit: int) -> Column:
     return octave.cast("long") * parts + F.least(whole((units - start) * parts, width), F.lit(parts - 1).cast("long"))
 
 
+def octave_edges(bits: int, octaves: int = 32) -> list[tuple[int, float, float]]:
+    """(bin, lo, hi) of ``octave_bin`` in units, for histograms that list empty bins too."""
+    parts = 1 << max(0, bits - 5)
+    return [(o * parts + p, (1 << o) - 1 + (1 << o) * p / parts, (1 << o) - 1 + (1 << o) * (p + 1) / parts) for o in range(octaves) for p in range(parts)]
+
+
 def relative_bin(parts: Column, bits: int) -> Column:
     """Bins of a value in units of 1e-5, negative ones in bin 0: the value itself below a pivot of a power of ten, then its
     leading part above each further power of the pivot."""

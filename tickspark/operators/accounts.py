@@ -79,6 +79,13 @@ def accsum_report(accounts: DataFrame, execs: DataFrame | None = None, edge: boo
     return out.join(moves, by) if by else out.crossJoin(F.broadcast(moves))
 
 
+def accsum_table(report: DataFrame, by: tuple[str, ...] = ("instr",)) -> DataFrame:
+    """The report in flat form: key (side and statistic) and value."""
+    values = [c for c in report.columns if c not in (*by, "side")]
+    pairs = F.array(*(F.struct(F.concat_ws(" ", F.col("side"), F.lit(c)).alias("key"), F.col(f"`{c}`").cast("double").alias("value")) for c in values))
+    return report.select(*by, F.inline(pairs))
+
+
 def accrpl(accounts: DataFrame, execs: DataFrame | None = None, gross: int = 0, rewind: str | int = 0, by: list[str] | None = None) -> DataFrame:
     """Realised amount and time of each closed segment of a position, stamped with its start less ``rewind``."""
     by = ["instr"] if by is None else by

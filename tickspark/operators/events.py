@@ -16,12 +16,24 @@ from tickspark.operators.resample import window_edges
 from tickspark.operators.running import previous
 
 
-def evt_erlagg(events: DataFrame, every: str | int | None = None, offset: str | int = 0, by: list[str] | None = None) -> DataFrame:
-    """For each window the sum of 1 / gap over its events, gaps in seconds from the event before, plus ``offset``."""
+def every_edge(out: DataFrame, every: str | int, by: list[str]) -> DataFrame:
+    """``out`` with a row for each window between a stream's first and last, nulls where there was none."""
+    i = duration(every)
+    span = out.groupBy(*by).agg(F.min("edge").alias("lo"), F.max("edge").alias("hi"))
+    grid = span.select(*by, F.explode(F.sequence("lo", "hi", F.lit(i).cast("long"))).alias("edge"))
+    return grid.join(out, [*by, "edge"], "left")
+
+
+def evt_erlagg(events: DataFrame, every: str | int | None = None, offset: str | int = 0, by: list[str] | None = None, empty: bool = False) -> DataFrame:
+    """For each window the sum of 1 / gap over its events, gaps in seconds from the event before, plus ``offset``.
+
+    empty: also windows without events, with null.
+    """
     by = by or []
     rows = previous(window_edges(events, every, by), {"_t": "t"}, by).where("_t is not null")
     gap = (F.col("t") - F.col("_t") + duration(offset)) / 1e9
     out = rows.groupBy(*by, "edge").agg(F.round(F.sum(1 / F.nullif(gap, F.lit(0.0))), 6).alias("erlagg"), F.count(F.lit(1)).alias("n"))
+    out = every_edge(out, every, by) if empty and every is not None else out
     return out.select(label(F.col("edge"), every).alias("cndl"), *by, "erlagg", "n")
 
 

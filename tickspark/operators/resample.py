@@ -149,6 +149,14 @@ def to_table(hist: DataFrame, res: int = 0, by: tuple[str, ...] = ("cndl", "inst
     return wide.select(*by, "metric", *(F.when(F.col("metric") == "n", F.coalesce(f"`{i}`", F.lit(0.0))).otherwise(F.col(f"`{i}`")).alias(f"v{i}") for i in range(n)))
 
 
+def all_bins(hist: DataFrame, edges: list[tuple[int, float, float]], by: tuple[str, ...] = ()) -> DataFrame:
+    """A histogram with a row for every bin and its preset edges; empty bins have 0. ``edges`` has a row for each bin."""
+    table = hist.sparkSession.createDataFrame(edges, "bin long, lo double, hi double")
+    groups = hist.select(*by).distinct() if by else None
+    grid = groups.crossJoin(F.broadcast(table)) if groups is not None else table
+    return grid.join(hist.select(*by, "bin", "cnt"), [*by, "bin"], "left").select(*by, "bin", "lo", "hi", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
 def thours(events: DataFrame, every: str | int = "1w", round_: str | int = "1h") -> DataFrame:
     """Events by hour of the week from Monday on (or other units): bin, cnt; empty bins have 0."""
     i, r = duration(every), duration(round_)

@@ -42,6 +42,41 @@ def read_accounts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFram
     return accounts, execs
 
 
+def read_stamps(spark: SparkSession, *paths: str) -> DataFrame:
+    """t: evaluation times, one a line."""
+    return read_lines(spark, *paths).select(parse_stamp(field(0)).alias("t")).where("t is not null")
+
+
+def read_forwards(spark: SparkSession, *paths: str) -> DataFrame:
+    """t, seq, fwd_id, underlying, bid, ask: forward points."""
+    return read_lines(spark, *paths).select(parse_stamp(field(0)).alias("t"), "seq", field(1).alias("fwd_id"), field(2).alias("underlying"), *(field(i).try_cast("decimal(18,9)").alias(n) for i, n in ((3, "bid"), (4, "ask")))).where("t is not null")
+
+
+def write_profile(profile: DataFrame, path: str, mode: str, modulus: int, width: int) -> None:
+    """A seasonality profile as lines: mode, modulus and width; then n, mean, var of each bin in order, the overall row last.
+
+    A profile has one row for each bin, so its order is made in one task.
+    """
+    head = profile.sparkSession.createDataFrame([(-2, f"{mode}\t{modulus}\t{width}")], "at long, value string")
+    last = F.when(F.col("bin") < 0, F.lit(2**62)).otherwise(F.col("bin"))
+    body = profile.select(last.alias("at"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("n", "mean", "var"))).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+
+
+def read_profile(spark: SparkSession, path: str) -> tuple[DataFrame, str, int, int]:
+    """(profile, mode, modulus, width) of a written profile; the overall row has bin -1."""
+    mode, modulus, width = spark.read.text(path).first()[0].split("\t")
+    n = int(modulus) // int(width)
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line")).where("at > 0 and line <> ''")
+    cell = lambda i: F.split_part(F.col("line"), F.lit("\t"), F.lit(i))
+    return rows.select(F.when(F.col("at") > n, -1).otherwise(F.col("at") - 1).cast("long").alias("bin"), cell(1).cast("long").alias("n"), cell(2).try_cast("double").alias("mean"), cell(3).try_cast("double").alias("var")), mode, int(modulus), int(width)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks of events, a folder each, named by number."""
+    chunks.write.partitionBy("chunk").parquet(path)
+
+
 def format_tsv(df: DataFrame, *columns: str, stamp: str | None = "t") -> DataFrame:
     """One text column: the fields tab-separated, the stamp with nine decimals, nulls empty. The sink is ``write.text``."""
     cells = [format_stamp(F.col(c)) if c == stamp else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
