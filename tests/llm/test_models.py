@@ -144,6 +144,7 @@ def test_pipeline(spark):
             assert tuple(docs.columns) == corpus_pipeline.COLUMNS
         counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] >= counts[3] > counts[4] > 0
+    assert corpus_pipeline.run(spark, LARGER).count() == counts[-1]
     empty = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DATA)
