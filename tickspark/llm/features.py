@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.text import ALNUM_WORD, LOWER, SHINGLE_WORD, bounded_batches, prefix_hash, raw, slices, span_hash, word_spans
+from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, prefix_hash, raw, slices, span_hash, word_spans
 
 #: Fixed multipliers, one for each order of character n-grams (any large odd numbers).
 SEEDS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint32)
@@ -163,6 +163,3 @@ def platt(margins: np.ndarray, positive: np.ndarray, prior: float, steps: int =
         theta -= np.clip(step, -2, 2)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     return float(theta[0]), float(theta[1] + np.log(prior / (1 - prior)))
-
-
-__all__ = ["ALNUM_WORD", "char_grams", "collected", "distinct", "has_letter", "indicators", "logistic", "platt", "remainder", "sampled", "scored", "shape_grams"]
