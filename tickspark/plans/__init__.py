@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickspark.operators import accounts, combine, events, execution, folds, generate, resample, smooth, transforms
@@ -31,8 +31,6 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts after each LONG or SHORT order, at one unit, the order's own quote and a cent of commission each."""
-    from pyspark.sql import Window
-
     q = quotes(spark, sf_dir).where("seq % 25 = 0")
     side = F.when(F.col("seq") % 50 == 0, 1).otherwise(-1)
     run = Window.partitionBy("instr").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,6 +74,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(ticks.event_time("l_shipdate").alias("t"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_extendedprice").alias("v"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "align": _one(lambda q: resample.align(q, "10m")),
     "align_offset": _one(lambda q: resample.align(q, "30m", "-90s")),
