@@ -105,6 +105,47 @@ def test_streams_give_what_batches_give(spark, tmp_path):
             assert {w for w in want if w[0] < last - 120 * 10**9} <= got
 
 
+def test_streamed_candles_are_the_batch_ones(spark, tmp_path):
+    q = some_quotes(spark).repartition(1).sortWithinPartitions("t", "seq")
+    q.write.parquet(str(tmp_path / "in"))
+    made = stream.candle(spark.readStream.schema(q.schema).parquet(str(tmp_path / "in")), "10m")
+    made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    fields = ("_1st", "last", "mindlt", "maxdlt", "minask", "maxbid", "minspr", "maxspr", "maxbsz", "maxasz", "maxbim", "maxsim", "maxdu", "maxdd")
+    row = lambda r, edge: (r.instr, edge, *(None if r[f] is None else round(float(r[f]), 6) for f in fields))
+    got = {row(r, r.edge) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {row(r, int(float(r.cndl)) * 10**9) for r in resample.candle(q, "10m").collect()}
+    last = {i: max(w[1] for w in want if w[0] == i) for i in "ab"}
+    assert got == {w for w in want if w[1] < last[w[0]]}
+
+
+def test_calendar_windows(spark):
+    import datetime
+
+    utc = datetime.timezone.utc
+    at = lambda *d: int(datetime.datetime(*d, tzinfo=utc).timestamp()) * 10**9
+    days = [(2024, 1, 31, 12), (2024, 2, 29), (2024, 3, 1), (2024, 3, 1, 1), (2025, 1, 1)]
+    df = spark.createDataFrame([(at(*d), i) for i, d in enumerate(days)], "t long, seq long")
+    edges = lambda every: [r.edge for r in resample.window_edges(df, every, []).orderBy("seq").collect()]
+    assert edges("mo") == [at(2024, 2, 1), at(2024, 3, 1), at(2024, 3, 1), at(2024, 4, 1), at(2025, 1, 1)]
+    assert edges("2mo") == [at(2024, 3, 1)] * 3 + [at(2024, 5, 1), at(2025, 1, 1)]
+    assert edges("y") == [at(2025, 1, 1)] * 5
+    assert edges("1d") == [at(2024, 2, 1), at(2024, 2, 29), at(2024, 3, 1), at(2024, 3, 2), at(2025, 1, 1)]
+    assert edges("30d")[:3] == [at(2024, 3, 1)] * 3
+
+
+def test_sql_functions(spark):
+    from tickspark import sql
+
+    sql.register(spark)
+    sql.views(spark, "/root/testdata/sf0.001")
+    got = {tuple(r) for r in spark.sql("SELECT ceil_bucket(t, 600000000000) AS e, instr, max_by(seq, t) FROM quotes GROUP BY 1, 2").collect()}
+    from tickspark.sources.ticks import event_quotes
+
+    assert got == {(r.t, r.instr, r.seq) for r in resample.align(event_quotes(spark, "/root/testdata/sf0.001"), "10m").collect()}
+    assert spark.sql("SELECT cascade_round(1770149, 2), window_label(5000000001)").first()[:] == (17702, "5.000000001")
+    assert generate.mean_of_rate("4/h") == 900
+
+
 def test_durations_stamps_and_rounding(spark):
     assert timeunits.duration("1.5") == 1_500_000_000 and timeunits.duration("-500ms") == -500_000_000 and timeunits.duration("2w") == 14 * 86400 * 10**9
     with pytest.raises(ValueError):

@@ -26,10 +26,10 @@ def duration(text: str | int) -> int:
     return int(m[1]) * unit + sign * part
 
 
-def calendar_unit(text: str | int) -> str | None:
-    """day, month or year for a calendar duration such as 1mo, else None. Days are calendar units of one day only."""
-    m = isinstance(text, str) and re.fullmatch(r"1?(d|mo|y)", text.strip())
-    return CALENDAR[m[1]] if m else None
+def calendar_unit(text: str | int) -> tuple[int, str] | None:
+    """(number, day, month or year) of a calendar duration such as d, 2mo or 1y, else None."""
+    m = re.fullmatch(r"(\d*)(d|mo|y)", text.strip()) if isinstance(text, str) else None
+    return (int(m[1] or 1), CALENDAR[m[2]]) if m else None
 
 
 def parse_stamp(text: Column) -> Column:
@@ -58,4 +58,4 @@ def label(edge: Column, every: str | int | None) -> Column:
     if unit is None:
         return format_stamp(edge)
     at = F.timestamp_seconds(whole(edge, SECOND) - 1)
-    return F.date_format(at, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[unit])
+    return F.date_format(at, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[unit[1]])

@@ -68,6 +68,11 @@ def qq(quotes: DataFrame, quantum: float | str | None = None, repeat: bool = Fal
     return fold(quotes, by, ["bid", "ask"], f"bid {kind['bid']}, ask {kind['ask']}", start, step, keep=keep)
 
 
+def mid_latent(quotes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Quotes that don't hold the latent middle: ``qq`` without a quantum, under its other name."""
+    return qq(quotes, by=by)
+
+
 def opt(quotes: DataFrame, thresh: float | str = 0, limit_orders: bool = False, by: list[str] | None = None) -> DataFrame:
     """Trades that were best in hindsight: a turn is known once a reversal by more than ``thresh`` beyond the spread is seen,
     and stamped where it lay; the position is cancelled at the last extreme. price is given with limit_orders."""

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.functions.timeunits import duration
 from tickspark.operators.folds import fold
 
 STATES = ("CANCEL", "LONG", "SHORT")
 
 
+def mean_of_rate(rate: str) -> float:
+    """The mean time in seconds between events of a rate such as 5/h or 0.2/m."""
+    n, _, unit = rate.partition("/")
+    return duration(f"1{unit}") / 1e9 / float(n)
+
+
 def gentrades(spark: SparkSession, n: int, means: tuple[float, float, float] = (60.0, 60.0, 60.0), onward: tuple[float, float, float] = (0.5, 0.5, 0.5), seed: int = 1, streams: int = 1) -> DataFrame:
     """stream, seq, t, side: ``n`` trades of each stream, starting at 0. A state is held for an exponential time of its mean
     (seconds, cut to milliseconds); with its share of ``onward`` the next state in the cycle follows, else the one after."""

@@ -65,9 +65,8 @@ def window_edges(df: DataFrame, every: str | int | None, by: list[str] = BY) ->
     """
     if every is None:
         return df.withColumn("edge", F.lit(0).cast("long"))
-    if unit := calendar_unit(every):
-        day = F.timestamp_seconds(whole(F.col("t") - 1, 10**9))
-        return df.withColumn("edge", F.unix_seconds(F.date_trunc(unit, day) + F.expr(f"interval 1 {unit}")) * 10**9)
+    if calendar := calendar_unit(every):
+        return _calendar_edges(df, *calendar, by)
     i = duration(every)
     rows = df.withColumn("_cell", whole(F.col("t"), i)).withColumn("_on", F.pmod("t", F.lit(i)) == 0)
     order = Window.partitionBy(*by).orderBy("_cell")
@@ -82,6 +81,21 @@ def window_edges(df: DataFrame, every: str | int | None, by: list[str] = BY) ->
     return rows.join(cells, [*by, "_cell"]).select(*df.columns, edge.alias("edge"))
 
 
+def _calendar_edges(df: DataFrame, n: int, unit: str, by: list[str]) -> DataFrame:
+    """Windows of n calendar units, counted from the unit of a stream's first row. A row on an edge ends its window."""
+    at = F.timestamp_seconds(whole(F.col("t") - 1, 10**9))
+    number = {"day": F.unix_date(F.to_date(at)), "month": F.year(at) * 12 + F.month(at) - 1, "year": F.year(at)}[unit]
+    rows = df.withColumn("_unit", number.cast("long"))
+    first = F.lit(0).cast("long")
+    if n > 1:
+        starts = rows.groupBy(*by).agg(F.min("_unit").alias("_first"))
+        rows = rows.join(starts, by) if by else rows.crossJoin(F.broadcast(starts))
+        first = F.col("_first")
+    last = (whole(F.col("_unit") - first, n) + 1) * n + first
+    date = {"day": F.date_from_unix_date(last.cast("int")), "month": F.make_date(whole(last, 12).cast("int"), (F.pmod(last, F.lit(12)) + 1).cast("int"), F.lit(1)), "year": F.make_date(last.cast("int"), F.lit(1), F.lit(1))}[unit]
+    return rows.withColumn("edge", F.unix_date(date).cast("long") * (86400 * 10**9)).select(*df.columns, "edge")
+
+
 def valid_quotes(df: DataFrame) -> DataFrame:
     return df.where("bid <> 0 and ask <> 0")
 
