@@ -47,14 +47,15 @@ class Model:
         self.languages, self.words, self.weights, self.bias, self.trust = languages, words, weights, bias, trust
 
     def decode(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest codeword, its score, and the lead over the next, for rows of bit margins."""
+        """Nearest codeword, its score, and its relative lead over the next (0: as near, 1: the next is far off), for rows of
+        bit margins."""
         loss = np.logaddexp(0, -bits[:, None, :] * self.words[None]) @ self.trust
-        loss -= loss.min(axis=1, keepdims=True)
-        share = np.exp(-loss)
-        share /= share.sum(axis=1, keepdims=True)
         best = loss.argmin(axis=1)
-        ordered = np.sort(share, axis=1)
-        return best, share[np.arange(len(share)), best], ordered[:, -1] - (ordered[:, -2] if share.shape[1] > 1 else 0)
+        share = np.exp(loss.min(axis=1, keepdims=True) - loss)
+        share /= share.sum(axis=1, keepdims=True)
+        ordered = np.sort(loss, axis=1)
+        lead = (ordered[:, 1] - ordered[:, 0]) / (ordered[:, 1] + ordered[:, 0] + 1e-9)
+        return best, share[np.arange(len(share)), best], lead
 
 
 class Counted:
@@ -118,8 +119,8 @@ def train(docs: DataFrame, fold: tuple[int, int] = (4, 2), per_language: int = 4
     return fit(*collected(sampled(named, docs, "known", per_language), "known", Counted))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), close: float = 0.2) -> DataFrame:
-    """``keep`` columns, lang_pred, score and ambiguous (the lead over the next language is below ``close``)."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), close: float = 0.8) -> DataFrame:
+    """``keep`` columns, lang_pred, score and ambiguous (the relative lead over the next language is below ``close``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(*{*keep, "text"}).withColumn("lettered", has_letter(F.col("text")))
     out = scored(given, lambda: None, partial(_weigh, shared), "lang_pred string, score double, lead double", (*keep, "lettered"))
