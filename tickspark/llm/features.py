@@ -93,16 +93,16 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int) -> DataFrame:
+def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int, most_classes: int = 64) -> DataFrame:
     """(doc_id, label, text): of each label value up to ``per_class`` rows, those whose identifiers hash lowest.
 
-    ``labelled`` has (doc_id, label), one row for each identifier. The chosen identifiers are at most per_class for each
-    class, so they are broadcast.
+    ``labelled`` has (doc_id, label), one row for each identifier. Of label values the ``most_classes`` most frequent ones are
+    learnt from. The chosen identifiers are thus bounded, so they are broadcast.
     """
-    values = sorted(r[0] for r in labelled.select(label).distinct().collect() if r[0] is not None)
-    parts = [labelled.where(F.col(label) == v).select("doc_id", label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in values]
+    classes = labelled.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes)
+    parts = [labelled.where(F.col(label) == v).select("doc_id", label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in sorted(r[0] for r in classes.collect())]
     if not parts:
-        return docs.select("doc_id", "text").withColumn(label, F.lit(None).cast("int")).limit(0)
+        return docs.select("doc_id", "text").withColumn(label, F.lit(None).cast(dict(labelled.dtypes)[label])).limit(0)
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
