@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import bins, decimals
 from tickspark.functions.timeunits import calendar_unit, duration, label, whole
-from tickspark.operators.running import asof, last_known
+from tickspark.operators.running import asof, extremes_before, last_known, previous
 
 BY = ["instr"]
 
@@ -100,14 +100,23 @@ def valid_quotes(df: DataFrame) -> DataFrame:
     return df.where("bid <> 0 and ask <> 0")
 
 
+def unbounded(every: str | int | None) -> bool:
+    """Whether windows may hold more of a stream than one task should: none given, or calendar units."""
+    return every is None or calendar_unit(every) is not None
+
+
 def candle(quotes: DataFrame, every: str | int | None = None, by: list[str] = BY) -> DataFrame:
     """A row for each window: first and last time, gaps, extreme prices, spreads, quantities and imbalances, largest draw-up
     (ask over the lowest bid before) and draw-down (bid under the highest ask before) within the window."""
     rows = window_edges(valid_quotes(quotes), every, by)
-    before = Window.partitionBy(*by, "edge").orderBy("t", "seq")
-    past = before.rowsBetween(Window.unboundedPreceding, -1)
     spread, sell = F.col("ask") - F.col("bid"), F.col("asz") - F.col("bsz")
-    rows = rows.select("*", (F.col("t") - F.lag("t").over(before)).alias("gap"), (F.col("ask") - F.min("bid").over(past)).alias("up"), (F.col("bid") - F.max("ask").over(past)).alias("down"))
+    if unbounded(every):
+        rows = extremes_before(previous(rows, {"_t": "t"}, [*by, "edge"]), {"_low": "bid"}, {"_high": "ask"}, [*by, "edge"])
+    else:
+        before = Window.partitionBy(*by, "edge").orderBy("t", "seq")
+        past = before.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.select("*", F.lag("t").over(before).alias("_t"), F.min("bid").over(past).alias("_low"), F.max("ask").over(past).alias("_high"))
+    rows = rows.select("*", (F.col("t") - F.col("_t")).alias("gap"), (F.col("ask") - F.col("_low")).alias("up"), (F.col("bid") - F.col("_high")).alias("down"))
     out = rows.groupBy(*by, "edge").agg(
         F.min("t").alias("_1st"), F.max("t").alias("last"), F.min("gap").alias("mindlt"), F.max("gap").alias("maxdlt"), F.min("ask").alias("minask"), F.max("bid").alias("maxbid"),
         F.min(spread).alias("minspr"), F.max(spread).alias("maxspr"), F.max("bsz").alias("maxbsz"), F.max("asz").alias("maxasz"), (-F.min(sell)).alias("maxbim"), F.max(sell).alias("maxsim"),
@@ -127,10 +136,13 @@ def quodist(quotes: DataFrame, every: str | int | None = None, res: int = 0, ela
     """
     hb = bins.BITS[res]
     rows = window_edges(valid_quotes(quotes), every, by)
-    order = Window.partitionBy(*by, "edge").orderBy("t", "seq")
+    if unbounded(every):
+        rows = previous(rows, {"_t": "t"}, [*by, "edge"])
+    else:
+        rows = rows.withColumn("_t", F.lag("t").over(Window.partitionBy(*by, "edge").orderBy("t", "seq")))
     whole_number = lambda c, d: F.round(F.col(c) * 10**d, 0).cast("long")
     b, a, bq, aq = whole_number("bid", places), whole_number("ask", places), whole_number("bsz", 6), whole_number("asz", 6)
-    rows = rows.select(*by, "edge", F.coalesce(F.col("t") - F.lag("t").over(order), F.lit(0)).alias("gap"), b.alias("bp"), a.alias("ap"), bq.alias("bs"), aq.alias("as_"))
+    rows = rows.select(*by, "edge", F.coalesce(F.col("t") - F.col("_t"), F.lit(0)).alias("gap"), b.alias("bp"), a.alias("ap"), bq.alias("bs"), aq.alias("as_"))
     b, a, bq, aq = (F.col(c) for c in ("bp", "ap", "bs", "as_"))
     gap, tilt = a - b, aq - bq
     shares = {"s": (2 * gap, a + b), "r": (gap, a + b + F.abs(gap)), "i": (2 * tilt, bq + aq), "q": (tilt, bq + aq + F.abs(tilt))}

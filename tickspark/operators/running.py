@@ -34,6 +34,19 @@ def previous(df: DataFrame, columns: dict[str, str], by: list[str], every: str |
     return named.select(*df.columns, *(F.col(f"_before.{c}").alias(n) for n, c in columns.items()))
 
 
+def extremes_before(df: DataFrame, low: dict[str, str], high: dict[str, str], by: list[str], every: str | int = SLICE, order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
+    """``df`` with the least (low) and largest (high) values of columns over all rows before in ``by``, slice by slice."""
+    keys = [*by, "_slice"]
+    cut = df.withColumn("_slice", whole(F.col("t"), duration(every)))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = [(F.min, F.least, n, c) for n, c in low.items()] + [(F.max, F.greatest, n, c) for n, c in high.items()]
+    seen = cut.select("*", *(f(c).over(inside).alias(f"_in_{n}") for f, _, n, c in kinds))
+    ends = cut.groupBy(*keys).agg(*(f(c).alias(f"_end_{n}") for f, _, n, c in kinds))
+    carried = ends.select(*keys, *(f(f"_end_{n}").over(over).alias(f"_from_{n}") for f, _, n, _ in kinds))
+    return seen.join(carried, keys).select(*df.columns, *(two(f"_in_{n}", f"_from_{n}").alias(n) for _, two, n, _ in kinds))
+
+
 def asof(left: DataFrame, right: DataFrame, columns: list[str], by: list[str], every: str | int = SLICE, strict: bool = False) -> DataFrame:
     """``left`` with the columns of the last row of ``right`` at or before its time (before it, if strict); null if none.
 
