@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from tickspark.functions import bins
 from tickspark.functions.timeunits import duration, label, whole
 from tickspark.operators.resample import window_edges
-from tickspark.operators.running import previous
+from tickspark.operators.running import numbered, previous
 
 
 def every_edge(out: DataFrame, every: str | int, by: list[str]) -> DataFrame:
@@ -43,9 +43,8 @@ def evt_erlang(events: DataFrame, every: str | int | None = None, base: str | in
     A window's first event only starts it. elapsed: sum the gaps (in seconds) instead of counting them.
     """
     by = by or []
-    order = Window.partitionBy(*by, "edge").orderBy("t", "seq")
-    rows = window_edges(events, every, by).withColumn("_n", F.row_number().over(order) - 1).where(F.col("_n") % k == 0)
-    rows = rows.withColumn("gap", F.col("t") - F.lag("t").over(order)).where(F.col("gap") >= duration(base))
+    rows = numbered(window_edges(events, every, by), [*by, "edge"]).where((F.col("_n") - 1) % k == 0)
+    rows = previous(rows, {"_t": "t"}, [*by, "edge"]).withColumn("gap", F.col("t") - F.col("_t")).where(F.col("gap") >= duration(base))
     slot = bins.octave_bin(whole(F.col("gap"), 10**6), max(bins.BITS[res], 5), 1000)
     weight = F.col("gap") / 1e9 if elapsed else F.lit(1)
     out = rows.groupBy(*by, "edge", slot.alias("bin")).agg((F.min("gap") / 1e9).alias("lo"), (F.max("gap") / 1e9).alias("hi"), F.sum(weight).alias("cnt"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import bins, decimals
 from tickspark.functions.timeunits import calendar_unit, duration, label, whole
-from tickspark.operators.running import asof, extremes_before, last_known, previous
+from tickspark.operators.running import asof, extremes_before, last_known, numbered, previous
 
 BY = ["instr"]
 
@@ -195,13 +195,12 @@ def thours(events: DataFrame, every: str | int = "1w", round_: str | int = "1h")
 def loghist(df: DataFrame, column: str, k: int = 1, res: int = 0, by: list[str] | None = None) -> DataFrame:
     """Octave histogram of positive samples, or of sums of k samples in a row: bin, lo, hi, cnt. Samples have up to 3 decimals.
 
-    by: streams that are numbered each on their own; sums need an order and so one task for each stream.
+    by: streams that are numbered each on their own.
     """
     by = by or []
     rows = df.where(F.col(column) > 0).withColumn("_v", F.col(column).cast("decimal(28,6)"))
     if k > 1:
-        number = F.row_number().over(Window.partitionBy(*by).orderBy("t", "seq")) - 1
-        rows = rows.withColumn("_n", whole(number.cast("long"), k)).groupBy(*by, "_n").agg(F.sum("_v").cast("decimal(28,6)").alias("_v"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == k)
+        rows = numbered(rows, by).withColumn("_n", whole(F.col("_n") - 1, k)).groupBy(*by, "_n").agg(F.sum("_v").cast("decimal(28,6)").alias("_v"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == k)
     slot = bins.octave_bin(whole((F.col("_v") * 1000000).cast("long"), 1000), max(bins.BITS[res], 5), 1000)
     return rows.groupBy(*by, slot.alias("bin")).agg(F.min("_v").cast("double").alias("lo"), F.max("_v").cast("double").alias("hi"), F.count(F.lit(1)).alias("cnt"))
 

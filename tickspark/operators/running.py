@@ -47,6 +47,37 @@ def extremes_before(df: DataFrame, low: dict[str, str], high: dict[str, str], by
     return seen.join(carried, keys).select(*df.columns, *(two(f"_in_{n}", f"_from_{n}").alias(n) for _, two, n, _ in kinds))
 
 
+def running_sum(df: DataFrame, name: str, value: Column, by: list[str], every: str | int = SLICE) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over all rows so far in ``by``: within the slice, plus the slices before."""
+    keys = [*by, "_slice"]
+    cut = df.withColumn("_slice", whole(F.col("t"), duration(every))).withColumn("_value", value)
+    inside = F.sum("_value").over(Window.partitionBy(*keys).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys).agg(F.sum("_value").alias("_all")).select(*keys, F.sum("_all").over(over).alias("_before"))
+    return cut.withColumn("_in", inside).join(before, keys).select(*df.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def overlapping(df: DataFrame, back: int, every: str | int = SLICE) -> DataFrame:
+    """``df`` with ``_slice`` and ``_own``: each row in its own time slice and again, not ``_own``, in the next one if that
+    looks back on it over ``back`` nanoseconds. Slices are at least that wide, so range windows can run within a slice."""
+    width = max(duration(every), back + 1)
+    own = whole(F.col("t"), width)
+    next_one = F.when(F.col("t") + back >= (own + 1) * width, own + 1)
+    rows = df.withColumn("_slice", F.explode(F.array_compact(F.array(own, next_one))))
+    return rows.withColumn("_own", F.col("_slice") == whole(F.col("t"), width))
+
+
+def numbered(df: DataFrame, by: list[str], every: str | int = SLICE) -> DataFrame:
+    """``df`` with ``_n``, each row's number from 1 in its stream: its place within a slice plus the counts of those before."""
+    keys = [*by, "_slice"]
+    cut = df.withColumn("_slice", whole(F.col("t"), duration(every)))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("t", "seq"))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, F.coalesce(F.sum("_size").over(over), F.lit(0)).alias("_before"))
+    return cut.withColumn("_in", inside).join(before, keys).select(*df.columns, (F.col("_in") + F.col("_before")).cast("long").alias("_n"))
+
+
 def asof(left: DataFrame, right: DataFrame, columns: list[str], by: list[str], every: str | int = SLICE, strict: bool = False) -> DataFrame:
     """``left`` with the columns of the last row of ``right`` at or before its time (before it, if strict); null if none.
 
