@@ -111,6 +111,19 @@ def test_line_recall_and_awkward_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_differ_behind_the_ninth_character_of_a_word(spark):
+    rng = random.Random(3)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    urls = [f"https://en.wikipedia.org/wiki/{letters(60)}" for _ in range(12)]
+    late = [" ".join(f"unchanged{w}{letters(20)}" for w in "abcd") for _ in range(12)]
+    chinese = ["今天天气很好我们一起去" + letters(40, "的一是在不了有和人这中大为上个国我以要他") for _ in range(12)]
+    different = [*urls, *late, *chinese]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, different)).collect()} == {0}
+    copies = [t[:-1] + "!" for t in different]
+    found = line_dedup.dedup_lines(docs_of(spark, different + copies)).collect()
+    assert {r.doc_id for r in found if r.n_dropped} == set(range(36, 72))
+
+
 def repeating_texts(seed):
     rng = random.Random(seed)
     shared = [words_of(rng, 30, 10**6) for _ in range(3)]

@@ -1,7 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
-A line's set holds its character shingles: nine characters from the start of each word on (lower-cased, ends trimmed, blanks
-behind the end). Every distinct line gets a signature of minima of its hashed shingles under ``ROWS * bands``
+A line's set holds its character shingles: nine characters from each of its characters on (lower-cased, ends trimmed). Every distinct line gets a signature of minima of its hashed shingles under ``ROWS * bands``
 permutations; ROWS minima make a band. Lines that meet in a band are compared with the band's two leaders, by exact
 Jaccard similarity of their sets; similar pairs are joined into components by distributed union-find. Of each component, exact
 copies included, the first line (smallest identifier, then line number) stays and all others go.
@@ -23,7 +22,7 @@ from tickspark.llm.components import components
 from tickspark.llm.exact_dedup import filter_position, filter_word, filters, has_bit
 from tickspark.llm.spill import cut
 
-SHINGLE = 9
+SHINGLE, CHUNK = 9, 64
 ROWS, BANDS = 3, 6  # no more than 8 bands
 #: Similarity at which lines count as near copies, as a fraction.
 OVER, UNDER = 3, 4
@@ -37,14 +36,27 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "at", F.lower(F.trim("line")).alias("norm")).select("doc_id", "at", F.xxhash64("norm").alias("key"), "norm")
 
 
+def chunks(norm: Column) -> Column:
+    """Overlapping parts of a normalised line, each with the shingles that start in its first CHUNK characters: finding a
+    place in a part takes bounded time."""
+    padded = F.when(F.length(norm) < SHINGLE, F.rpad(norm, SHINGLE, " ")).otherwise(norm)
+    parts = F.regexp_extract_all(padded, F.lit(rf"(?s)(?=(.{{1,{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    return F.filter(parts, lambda c: F.length(c) >= SHINGLE)
+
+
+def places(chunk: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(chunk) - (SHINGLE - 1))
+
+
 def shingles(norm: Column) -> Column:
-    """The shingles of a normalised line, not yet distinct."""
-    return F.regexp_extract_all(F.concat(norm, F.lit(" " * (SHINGLE - 1))), F.lit(rf"(?s)(?=(\S.{{{SHINGLE - 1}}}))\S+"), F.lit(1))
+    """The 64-bit hashes of the shingles of a normalised line, not yet distinct."""
+    return F.flatten(F.transform(chunks(norm), lambda c: F.transform(places(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE))))))
 
 
 def signatures(rows: DataFrame, bands: int) -> DataFrame:
     """(key, m0, m1, ...): the minima of each distinct line."""
-    hashed = rows.select("key", F.explode(shingles(F.col("norm"))).alias("s")).select("key", F.hash("s").alias("h"))
+    parts = rows.select("key", F.explode(chunks(F.col("norm"))).alias("part"))
+    hashed = parts.select("key", "part", F.explode(places(F.col("part"))).alias("i")).select("key", F.hash(F.substring("part", F.col("i"), F.lit(SHINGLE))).alias("h"))
     return hashed.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(F.hash(F.lit(i), F.lit("order")))).alias(f"m{i}") for i in range(ROWS * bands)))
 
 
@@ -76,20 +88,24 @@ def held_by(rows: DataFrame, digests: DataFrame, value: Column, filter_bits: int
     return marked(rows, digests, value, filter_bits).where("maybe").drop("maybe")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
-    """(key, held): the shingle hashes of the wanted lines. A bitmap filter of fixed size keeps other lines from the shuffle."""
+def texts_of(docs: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
+    """(key, norm, n): the wanted lines and their numbers of distinct shingles. A bitmap filter of fixed size keeps other lines from the shuffle."""
     rows = held_by(lines(docs), wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)
     # aggregated before the join, so that a frequent line is one row of each task
     one = rows.groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key")
-    return one.select("key", F.array_distinct(F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))).alias("held"))
+    return one.select("key", "norm", F.size(F.array_distinct(shingles(F.col("norm")))).alias("n"))
+
+
+def may_be_similar(n: Column, m: Column) -> Column:
+    """Whether sets of so many shingles can reach the threshold."""
+    return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("held").alias(f"{x}_held"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size("a_held") + F.size("b_held"))
-    both = both.where(UNDER * F.least(F.size("a_held"), F.size("b_held")) >= OVER * F.greatest(F.size("a_held"), F.size("b_held")))
-    return both.where((OVER + UNDER) * F.size(F.array_intersect("a_held", "b_held")) >= OVER * F.col("n")).select("a", "b")
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose exact similarity reaches the threshold. Sets are made of the texts here: they are many times larger."""
+    side = lambda x: texts.select(F.col("key").alias(x), F.col("norm").alias(f"{x}_norm"), F.col("n").alias(f"{x}_n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_similar(F.col("a_n"), F.col("b_n")))
+    return both.where((OVER + UNDER) * F.size(F.array_intersect(shingles(F.col("a_norm")), shingles(F.col("b_norm")))) >= OVER * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) -> DataFrame:
@@ -97,15 +113,15 @@ def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) ->
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     pairs = cut(candidates(signatures(lines(docs), bands), bands, filter_bits))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    joined = cut(components(similar(pairs, cut(sets_of(docs, wanted, filter_bits)))))
-    places = cut(lines(docs).select("doc_id", "at", "key"))
-    total = places.count()
-    named = cut(places.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n")).join(joined, F.col("key") == joined.node, "left").where("n > 1 or node is not null").select("key", "doc", "n", F.coalesce("component", "key").alias("component")))
+    joined = cut(components(similar(pairs, cut(texts_of(docs, wanted, filter_bits)))))
+    found = cut(lines(docs).select("doc_id", "at", "key"))
+    total = found.count()
+    named = cut(found.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n")).join(joined, F.col("key") == joined.node, "left").where("n > 1 or node is not null").select("key", "doc", "n", F.coalesce("component", "key").alias("component")))
     first = named.groupBy("component").agg(F.min("doc").alias("keep_doc"))
     # lines that are alone under their name and in their component can't go
     told = cut(named.join(first, "component").select("key", "component", "keep_doc", "n"))
     hot = told.where(F.col("n") * HOT_PART > total)
-    met = places.join(F.broadcast(hot), "key").unionByName(places.join(told.where(F.col("n") * HOT_PART <= total), "key"))
+    met = found.join(F.broadcast(hot), "key").unionByName(found.join(told.where(F.col("n") * HOT_PART <= total), "key"))
     stay = met.where("doc_id = keep_doc").groupBy("doc_id", "component").agg(F.min("at").alias("at"))
     return met.select("doc_id", "at", "component").distinct().join(stay, ["doc_id", "at", "component"], "left_anti")
 
