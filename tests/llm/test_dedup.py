@@ -124,6 +124,29 @@ def test_lines_that_differ_behind_the_ninth_character_of_a_word(spark):
     assert {r.doc_id for r in found if r.n_dropped} == set(range(36, 72))
 
 
+def test_near_copies_of_lines_beside_their_buckets_leaders(spark):
+    rng = random.Random(5)
+    texts, template = [], "this half of the line is what a template prints into every line of the table:"
+    for _ in range(150):  # unlike lines fill the buckets
+        own = words_of(rng, 14, 10**6)
+        texts += [f"{template} {own}", f"{template} {own[:-1]}!"]
+    found = line_dedup.dedup_lines(docs_of(spark, texts)).collect()
+    assert {r.doc_id for r in found if r.n_dropped} == set(range(1, 300, 2))
+
+
+@pytest.mark.parametrize("salted", [1024, 3])
+def test_every_pair_of_a_bucket_is_led_joined_or_crossed(spark, monkeypatch, salted):
+    monkeypatch.setattr(line_dedup, "SALTED", salted)
+    rows = [(b, k, low, high) for b, low, high in ((8, 1, 40), (16, 50, 60)) for k in range(low, high + 1)]
+    met = spark.createDataFrame(rows, "bucket long, key long, low long, high long")
+    labels = spark.createDataFrame([(k, 2 if k < 9 else 9) for k in range(2, 12)], "node long, component long")
+    texts = spark.createDataFrame([(k, "", 100 if k % 5 else 50) for k in range(61)], "key long, norm string, n int")
+    label = lambda k: (2 if k < 9 else 9) if 2 <= k < 12 else k
+    want = {(a, b) for low, high in ((2, 39), (51, 59)) for b in range(low, high + 1) for a in range(low, b) if label(a) != label(b) and bool(a % 5) == bool(b % 5)}
+    found = [tuple(r) for r in line_dedup.crossed(met, labels, texts).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
 def repeating_texts(seed):
     rng = random.Random(seed)
     shared = [words_of(rng, 30, 10**6) for _ in range(3)]

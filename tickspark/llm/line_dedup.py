@@ -1,9 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
 A line's set holds its character shingles: nine characters from each of its characters on (lower-cased, ends trimmed). Every distinct line gets a signature of minima of its hashed shingles under ``ROWS * bands``
-permutations; ROWS minima make a band. Lines that meet in a band are compared with the band's two leaders, by exact
-Jaccard similarity of their sets; similar pairs are joined into components by distributed union-find. Of each component, exact
-copies included, the first line (smallest identifier, then line number) stays and all others go.
+permutations; ROWS minima make a band, lines with equal minima a bucket. Lines are compared with their buckets' two leaders,
+by exact Jaccard similarity of their sets; similar pairs are joined into components by distributed union-find; then all
+pairs of a bucket that still lie in two components are compared, so that components come out as if all pairs of all buckets
+had been. Of each component, exact copies included, the first line (smallest identifier, then line number) stays and all
+others go.
 
 A similar pair meets in a band with probability 1 - (1 - s ** ROWS) ** bands: 0.96 at s = 0.75, 0.986 at 0.8 and 0.9996
 at 0.9, as the defaults stand. A distinct line is named by a 64-bit hash.
@@ -24,6 +26,8 @@ from tickspark.llm.spill import cut
 
 SHINGLE, CHUNK = 9, 64
 ROWS, BANDS = 3, 6  # no more than 8 bands
+#: Lines outside a bucket's largest component that one task compares with the bucket.
+SALTED = 1024
 #: Similarity at which lines count as near copies, as a fraction.
 OVER, UNDER = 3, 4
 #: Lines of a key above this part of all make it hot; there can't be more than this many hot keys.
@@ -60,20 +64,38 @@ def signatures(rows: DataFrame, bands: int) -> DataFrame:
     return hashed.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(F.hash(F.lit(i), F.lit("order")))).alias(f"m{i}") for i in range(ROWS * bands)))
 
 
-def candidates(signed: DataFrame, bands: int, filter_bits: int) -> DataFrame:
-    """Pairs (a, b) of each line with the two leaders of each of its bands, each once.
-
-    Leaders are the first and last name under a permutation of names that each band has of its own, so that a group of
-    lines which meet in many bands is compared with many of its lines. A bucket's low bits number its band.
-    """
+def members(signed: DataFrame, bands: int, filter_bits: int) -> DataFrame:
+    """(bucket, key, low, high): the lines of each bucket that holds several, and its two leaders, the first and last name.
+    A bucket's low bits number its band."""
     met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
     rows = signed.select("key", F.explode(F.array(*met)).alias("bucket"))
-    turn = F.xxhash64(F.col("bucket").bitwiseAND(F.lit(7).cast("long")))
-    turned = F.col("key").bitwiseXOR(turn)
-    leaders = rows.groupBy("bucket").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low <> high")
-    shared = held_by(rows, leaders.select(F.col("bucket").alias("digest")), F.col("bucket"), filter_bits)
-    both = shared.join(leaders, "bucket").select("key", F.explode(F.array(F.col("low").bitwiseXOR(turn), F.col("high").bitwiseXOR(turn))).alias("leader"))
-    return both.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    leaders = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    return held_by(rows, leaders.select(F.col("bucket").alias("digest")), F.col("bucket"), filter_bits).join(leaders, "bucket")
+
+
+def led(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line with the leaders of its buckets, each once."""
+    both = met.select("key", F.explode(F.array("low", "high")).alias("leader")).where("key <> leader")
+    return both.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+
+
+def crossed(met: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """All other pairs (a, b) of a bucket that still lie in two components and whose sizes are close enough, each once.
+
+    Leaders have been compared with all. Of the others those outside the bucket's largest component meet all; large
+    buckets are dealt by salt.
+    """
+    rest = met.where("key <> low and key <> high").select("bucket", "key").join(labels, F.col("key") == F.col("node"), "left")
+    rest = rest.select("bucket", "key", F.coalesce("component", "key").alias("label"))
+    sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    main = main.select("bucket", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.k")) / SALTED).cast("int").alias("salts"))
+    rows = rest.join(main, "bucket").join(texts.select("key", "n"), "key")
+    named = lambda df, x: df.select("bucket", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "n")))
+    left = named(rows.where("label <> main").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")), "x")
+    right = named(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "y")
+    both = left.join(right, ["bucket", "salt"]).where("x_label <> y_label").where(may_be_similar(F.col("x_n"), F.col("y_n")))
+    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def marked(rows: DataFrame, digests: DataFrame, value: Column, filter_bits: int) -> DataFrame:
@@ -111,9 +133,11 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) -> DataFrame:
     """(doc_id, at, component): every line that goes, and the smallest name of a line in its component."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    pairs = cut(candidates(signatures(lines(docs), bands), bands, filter_bits))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    joined = cut(components(similar(pairs, cut(texts_of(docs, wanted, filter_bits)))))
+    met = cut(members(signatures(lines(docs), bands), bands, filter_bits))
+    texts = cut(texts_of(docs, met.select("key").distinct(), filter_bits))
+    labels = cut(components(similar(led(met), texts)))
+    more = similar(cut(crossed(met, labels, texts)), texts)
+    joined = cut(components(more.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
     found = cut(lines(docs).select("doc_id", "at", "key"))
     total = found.count()
     named = cut(found.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n")).join(joined, F.col("key") == joined.node, "left").where("n > 1 or node is not null").select("key", "doc", "n", F.coalesce("component", "key").alias("component")))
