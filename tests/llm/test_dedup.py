@@ -147,6 +147,16 @@ def test_every_pair_of_a_bucket_is_led_joined_or_crossed(spark, monkeypatch, sal
     assert set(found) == want and len(found) == len(want)
 
 
+def test_bands_have_a_high_recall_at_the_threshold(spark):
+    similarity = line_dedup.OVER / line_dedup.UNDER
+    assert 1 - (1 - similarity**line_dedup.ROWS) ** line_dedup.BANDS >= 0.993
+    # bands don't share buckets, however many there are
+    signed = line_dedup.signatures(line_dedup.lines(docs_of(spark, ["one line", "One line ", "another one"])), line_dedup.BANDS)
+    met = line_dedup.members(signed.unionByName(signed.withColumn("key", -F.col("key"))), line_dedup.BANDS, 12)
+    assert met.select("bucket", "key").distinct().count() == met.count() == 2 * 2 * line_dedup.BANDS
+    assert met.select(F.col("bucket").bitwiseAND(F.lit(15).cast("long"))).distinct().count() == line_dedup.BANDS
+
+
 def repeating_texts(seed):
     rng = random.Random(seed)
     shared = [words_of(rng, 30, 10**6) for _ in range(3)]

@@ -7,7 +7,7 @@ pairs of a bucket that still lie in two components are compared, so that compone
 had been. Of each component, exact copies included, the first line (smallest identifier, then line number) stays and all
 others go.
 
-A similar pair meets in a band with probability 1 - (1 - s ** ROWS) ** bands: 0.96 at s = 0.75, 0.986 at 0.8 and 0.9996
+A similar pair meets in a band with probability 1 - (1 - s ** ROWS) ** bands: 0.996 at s = 0.75, 0.9992 at 0.8 and 0.999998
 at 0.9, as the defaults stand. A distinct line is named by a 64-bit hash.
 
 Edge cases: a null or empty text has one empty line; blank lines always stay; a line shorter than a shingle has one
@@ -25,7 +25,7 @@ from tickspark.llm.exact_dedup import filter_position, filter_word, filters, has
 from tickspark.llm.spill import cut
 
 SHINGLE, CHUNK = 9, 64
-ROWS, BANDS = 3, 6  # no more than 8 bands
+ROWS, BANDS = 3, 10  # no more than 16 bands
 #: Lines outside a bucket's largest component that one task compares with the bucket.
 SALTED = 1024
 #: Similarity at which lines count as near copies, as a fraction.
@@ -67,7 +67,7 @@ def signatures(rows: DataFrame, bands: int) -> DataFrame:
 def members(signed: DataFrame, bands: int, filter_bits: int) -> DataFrame:
     """(bucket, key, low, high): the lines of each bucket that holds several, and its two leaders, the first and last name.
     A bucket's low bits number its band."""
-    met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
+    met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
     rows = signed.select("key", F.explode(F.array(*met)).alias("bucket"))
     leaders = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     return held_by(rows, leaders.select(F.col("bucket").alias("digest")), F.col("bucket"), filter_bits).join(leaders, "bucket")
