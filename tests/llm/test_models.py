@@ -51,6 +51,22 @@ def test_languages_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_is_learnt(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(70):  # the last ones are the rarest
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)]
+        rows += [(f"l{k:02}", " ".join(rng.choice(syllables) + rng.choice(syllables) for _ in range(12))) for _ in range(12 if k < 60 else 8)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    found = language.predict(docs, language.train(docs), keep=("doc_id", "lang")).collect()
+    assert {r.lang_pred for r in found} == {r.lang for r in found}
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
+    named = docs.select("doc_id", F.col("lang").alias("known"))
+    for total, least, each in ((210, 2, 3), (210, 5, 5), (None, 1, 6)):
+        counts = [r["count"] for r in features.sampled(named, docs, "known", 6, total, least).groupBy("known").count().collect()]
+        assert counts == [each] * 70
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 9])
 def test_codewords_lie_apart(n):
     words = language.codewords(n)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, prefix_hash, raw, slices, span_hash, word_spans
@@ -14,6 +14,9 @@ from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, prefix_hash
 #: Fixed multipliers, one for each order of character n-grams (any large odd numbers).
 SEEDS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint32)
 
+#: Up to so many label values are sampled by a sort of their own each, more of them by one window.
+FEW = 8
+
 Extract = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
 
 
@@ -93,19 +96,27 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int, most_classes: int = 64) -> DataFrame:
+def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int, total: int | None = None, least: int = 1) -> DataFrame:
     """(doc_id, label, text): of each label value up to ``per_class`` rows, those whose identifiers hash lowest.
 
-    ``labelled`` has (doc_id, label), one row for each identifier. Of label values the ``most_classes`` most frequent ones are
-    learnt from. The chosen identifiers are thus bounded, so they are broadcast.
+    ``labelled`` has (doc_id, label), one row for each identifier. Every label value is learnt from. If there are so many that
+    the sample would pass ``total`` rows, each gets an equal part of them, but ``least`` rows at the least. The chosen
+    identifiers are thus bounded, so they are broadcast.
     """
-    classes = labelled.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes)
-    parts = [labelled.where(F.col(label) == v).select("doc_id", label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in sorted(r[0] for r in classes.collect())]
-    if not parts:
+    labelled = labelled.where(F.col(label).isNotNull()).select("doc_id", label)
+    values = sorted(r[0] for r in labelled.select(label).distinct().collect())
+    if not values:
         return docs.select("doc_id", "text").withColumn(label, F.lit(None).cast(dict(labelled.dtypes)[label])).limit(0)
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    if total is not None:
+        per_class = min(per_class, max(least, total // len(values)))
+    if len(values) > FEW:
+        place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = labelled.withColumn("place", place).where(F.col("place") <= per_class).drop("place")
+    else:
+        parts = [labelled.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in values]
+        chosen = parts[0]
+        for p in parts[1:]:
+            chosen = chosen.unionByName(p)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 

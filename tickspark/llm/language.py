@@ -3,8 +3,9 @@
 Each language has a codeword of bits. For each bit a binary n-gram classifier (logistic, over log counts of hashed
 character n-grams, scaled to unit length) is fitted on a bounded sample of texts of known language. A text's bits are
 decoded by loss-weighted decoding: the codeword with the least total logistic loss, each bit weighted by its accuracy on
-the sample, is nearest; a text whose two nearest codewords lie close is flagged as ambiguous. At most ``per_language``
-texts of each language enter the fit, by hash of the identifier; every text is decoded whole.
+the sample, is nearest; a text whose two nearest codewords lie close is flagged as ambiguous. Every
+language is learnt. At most ``per_language`` texts of each enter the fit, by hash of the identifier; beyond ``total`` texts
+they are dealt equally to the languages, ``least`` to each at the least. Every text is decoded whole.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; with a single known language that is the answer
 for all others, score 1; without any known language all texts are `und`; texts with a null language are not learnt from
@@ -112,11 +113,12 @@ def fit(y: np.ndarray, rows: list[np.ndarray], steps: int = 150, rate: float = 0
     return model
 
 
-def train(docs: DataFrame, fold: tuple[int, int] = (4, 2), per_language: int = 400) -> Model:
-    """Learns from texts with a known language outside the held-out fold, at most ``per_language`` of each."""
+def train(docs: DataFrame, fold: tuple[int, int] = (4, 2), per_language: int = 400, total: int = 25_600, least: int = 50) -> Model:
+    """Learns from texts with a known language outside the held-out fold, at most ``per_language`` of each and, where each
+    then has ``least``, at most ``total``."""
     known = docs.where((remainder(F.col("doc_id"), fold[0]) != fold[1]) & F.col("lang").isNotNull() & has_letter(F.col("text")))
     named = known.groupBy("doc_id").agg(F.min("lang").alias("known"))
-    return fit(*collected(sampled(named, docs, "known", per_language), "known", Counted))
+    return fit(*collected(sampled(named, docs, "known", per_language, total, least), "known", Counted))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), close: float = 0.8) -> DataFrame:
