@@ -111,6 +111,18 @@ def test_scores_don_t_depend_on_blocks(spark):
     assert [r[2] for r in one] == pytest.approx([r[2] for r in many])
 
 
+def test_n_grams_with_the_same_first_bits_are_told_apart(spark):
+    names = [f"w{i}" for i in range(40_000)]
+    data = np.frombuffer(" ".join(names).encode(), np.uint8)
+    words, row = lm_score.word_hashes(data, np.array([0, len(data)]))
+    keys = lm_score.grams(words, row, np.uint64(64 - 25))[1][0]  # more bits than such small texts once had
+    order = np.argsort(keys, kind="stable")
+    at = np.flatnonzero(keys[order][1:] == keys[order][:-1])[0]
+    pair = [(0, names[order[at]]), (1, names[order[at + 1]])]
+    rows = lm_score.scores(spark.createDataFrame(pair, "doc_id long, text string")).collect()
+    assert [r.log_prob for r in rows] == pytest.approx([np.log(0.5)] * 2)
+
+
 def test_scores_of_awkward_rows(spark):
     df = awkward(spark)
     rows = lm_score.scores(df).collect()

@@ -8,8 +8,8 @@ S(w | u v) = c(u v w) / c(u v) if the trigram was met ``at_least`` times, else a
 the bigram was, else alpha * c(w) / N. The first words of a text have no context and start at the lower order. With
 at_least = 2 a text's own single n-grams don't count for themselves.
 
-Words are what blanks separate, A-Z lower-cased; n-grams are counted by hashes; one in about 260,000 (2**-KEY_MARGIN)
-meets another by chance and then counts with it.
+Words are what blanks separate, A-Z lower-cased; n-grams are counted by hashes of KEY_BITS bits at any size of the text: among
+a billion distinct n-grams some 0.05 pairs are expected to meet by chance and then count together.
 
 Edge cases: a null, empty or blank text has 0 words, log_prob 0 and no perplexity; repeated rows count each; a null
 identifier is scored like any other; an empty table gives no rows; other columns are ignored.
@@ -27,7 +27,7 @@ from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash,
 
 ALPHA = 0.4
 AT_LEAST = 2
-KEY_MARGIN = 18
+KEY_BITS = 63  # the widest that exchange takes
 SCORES = "doc_id long, n_words long, log_prob double, n_tri long, n_bi long, n_uni long"
 
 
@@ -56,7 +56,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
     bounded_batches(docs.sparkSession)
     n_bytes = text_bytes(docs)
     blocks, buckets = exchange.block_counts(n_bytes, block_bytes)
-    bits = exchange.key_bits(n_bytes, KEY_MARGIN)
+    bits = KEY_BITS
     shift = np.uint64(64 - bits)
     texts = exchange.by_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks).groupBy("block")
 
