@@ -52,15 +52,16 @@ def evt_erlang(events: DataFrame, every: str | int | None = None, base: str | in
 
 
 def fit_gaps(hist: DataFrame, k: int = 1, by: tuple[str, ...] = ("cndl",)) -> DataFrame:
-    """Laws fitted to a gap histogram: Erlang (shape k, rate), gamma (shape; its rate is set to the same value) and Lomax."""
+    """Laws fitted to a gap histogram: Erlang (shape k, rate a second), gamma (shape; its rate is set to the same value) and
+    Lomax. All gaps count. Bin 0 stays out of the sums and logs of gamma and Lomax, whose gaps are in nanoseconds."""
     n, hi = F.col("cnt").cast("double"), F.col("hi")
-    some = (F.col("bin") > 0) & (hi > 0)
-    sums = hist.where("hi > 0").groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * hi).alias("total"), F.sum(n * F.log(hi)).alias("logs"), F.sum(F.when(some, n)).alias("n1"), F.sum(F.when(some, n * F.log(hi))).alias("logs1"))
-    s = F.log(F.col("total") / F.col("n")) - F.col("logs") / F.col("n")
+    above = lambda x: F.sum(F.when((F.col("bin") > 0) & (hi > 0), x))
+    sums = hist.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * hi).alias("all"), above(n * hi).alias("total"), above(n * F.log(hi)).alias("logs"), above(n * F.log(hi * 1e9)).alias("logs_ns"))
+    s = F.log("total") - F.log("n") - F.col("logs") / F.col("n")
     shape = (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
-    rate = shape * F.col("n") / F.col("total")
-    r = lambda x: F.round(x, 6)
-    return sums.select(*by, F.col("n").cast("long").alias("n"), F.lit(k).alias("erlang_shape"), r(F.col("n") * k / F.col("total")).alias("erlang_rate"), r(F.sqrt(shape * rate)).alias("gamma_shape"), r(F.col("n1") / F.nullif("logs1", F.lit(0.0))).alias("lomax_shape"))
+    gamma = F.sqrt(shape * (shape * F.col("n") / (F.col("total") * 1e9)))
+    r = lambda x, digits=6: F.round(x, digits)
+    return sums.select(*by, F.col("n").cast("long").alias("n"), F.lit(k).alias("erlang_shape"), r(F.col("n") * k / F.nullif("all", F.lit(0.0))).alias("erlang_rate"), r(gamma, 12).alias("gamma_shape"), r(F.col("n") / F.nullif("logs_ns", F.lit(0.0)), 9).alias("lomax_shape"))
 
 
 def evt_poisson(events: DataFrame, base: str | int, every: str | int | None = None, by: list[str] | None = None) -> DataFrame:

@@ -93,6 +93,7 @@ QUERIES = {
     "qq_latent": _one(folds.qq),
     "opt": _one(lambda q: folds.opt(q, "5", limit_orders=True)),
     "sex1": lambda s, d: plain(execution.sex1(orders(s, d), quotes(s, d), comb="0.001", comt="0.0001", qty=2, absqty=True)),
+    "sex1_market": lambda s, d: plain(execution.sex1(orders(s, d).withColumn("limit_px", F.lit(None).cast("decimal(18,9)")), quotes(s, d), comb="0.001", comt="0.0001", qty=2, absqty=True)),
     "candle": _one(lambda q: resample.candle(q, "10m")),
     "candle_all": _one(resample.candle),
     "candle_day": _one(lambda q: resample.candle(q, "1d")),
@@ -115,14 +116,13 @@ QUERIES = {
     "imp_tod": lambda s, d: plain(combine.imp(orders(s, d), quotes(s, d), ["2h", "12h"], abs_tod="1d")),
     "imp_summary": lambda s, d: combine.imp_summary(combine.imp(orders(s, d), quotes(s, d), LAGS)).select("lag", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "skew", "kurt"))),
     "xevent": lambda s, d: plain(combine.xevent(quotes(s, d), shocks(s, d), "30m", "10m", start=5, mark=True)),
-    "rolling": _one(lambda q: smooth.rolling(q.where("seq % 5 = 0"), "1h", by=["instr"])),
-    # a nudge takes exact halves to one side in either engine
-    "sma": _one(lambda q: smooth.sma(q, "1h").select("t", "seq", "instr", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("sma_bid", "smv_bid", "sma_ask", "smv_ask")))),
+    "rolling": _one(lambda q: smooth.rolling(q, "1h", by=["instr"])),
+    "sma": _one(lambda q: smooth.sma(q, "1h")),
     "ewma": lambda s, d: smooth.ewma(quotes(s, d), ["bid", "ask"], "1h", by=["instr"]).select("t", "seq", "instr", *(F.round(c, 6).alias(c) for c in ("bid_mean", "bid_dev", "ask_mean", "ask_dev"))),
     "sea_profile": lambda s, d: _sea(s, d).select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
     "sea_profile_velo": lambda s, d: _sea(s, d, "velo").select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
-    "sea_apply": lambda s, d: smooth.sea_apply(quotes(s, d), _sea(s, d)).select("t", "seq", "instr", F.round(F.col("seasoned") + 1e-6, 2).alias("seasoned")),
-    "sea_reverse": lambda s, d: smooth.sea_apply(quotes(s, d), _sea(s, d), reverse=True).select("t", "seq", "instr", F.round(F.col("seasoned") + 1e-6, 2).alias("seasoned")),
+    "sea_apply": lambda s, d: plain(smooth.sea_apply(quotes(s, d), _sea(s, d)).select("t", "seq", "instr", "bid", "ask")),
+    "sea_reverse": lambda s, d: plain(smooth.sea_apply(quotes(s, d), _sea(s, d), reverse=True).select("t", "seq", "instr", "bid", "ask")),
     "sea_tdlt": lambda s, d: smooth.sea_apply(quotes(s, d), _sea(s, d, "tdlt"), mode="tdlt").select("t", "seq", "instr", F.round("seasoned", 0).alias("seasoned")),
     "accsum": lambda s, d: accounts.accsum(account_rows(s, d)),
     "accsum_gross": lambda s, d: accounts.accsum(account_rows(s, d), exec_rows(s, d), gross=2, edge=True),

@@ -144,10 +144,17 @@ prof AS (SELECT bin, coalesce(n, 0) AS n, coalesce(mean, 1) AS mean, CASE WHEN n
   UNION ALL SELECT -1, CAST(sum(coalesce(n, 0)) AS BIGINT), avg(coalesce(mean, 0)), var_samp(coalesce(mean, 0)) FROM ev)"""
 
 
+def _even(x: str, n: str) -> str:
+    """x / n as a whole number, halves to the even one."""
+    return f"""(CASE WHEN abs(({x}) % {n}) * 2 = {n} THEN 2 * CAST(floor((floor(({x}) / {n}) + 1) / 2) AS BIGINT) ELSE CAST(floor((2 * CAST({x} AS HUGEINT) + {n}) / (2 * {n})) AS BIGINT) END)"""
+
+
 def _sea(reverse: bool) -> str:
     f = "mean / (al * al)" if reverse else "al * al / mean"
     return f"""WITH {_profile("abs(change)")}, fac AS (SELECT bin, {f} AS f FROM prof, (SELECT mean AS al FROM prof WHERE bin = -1) WHERE bin >= 0)
-SELECT t, seq, instr, round(sum(CASE WHEN mid0 IS NULL THEN mid ELSE (mid - mid0) * f END) OVER (PARTITION BY instr ORDER BY t, seq) + 1e-6, 2) AS seasoned FROM ml JOIN fac ON fac.bin = (t % {DAY}) // {HOUR}"""
+SELECT t, seq, instr, round_even(base - half, 2) AS bid, round_even(base + half, 2) AS ask FROM (SELECT t, seq, instr,
+  sum(CASE WHEN mid0 IS NULL THEN mid ELSE (mid - mid0) * f END) OVER p AS base, last_value(CASE WHEN mid0 IS NULL OR mid <> mid0 THEN CAST(ask - bid AS DOUBLE) / 2 END IGNORE NULLS) OVER p AS half
+  FROM ml JOIN fac ON fac.bin = (t % {DAY}) // {HOUR} WINDOW p AS (PARTITION BY instr ORDER BY t, seq ROWS UNBOUNDED PRECEDING))"""
 
 
 LINES = "l AS (SELECT epoch_us(l_shipdate) * 1000 AS t, l_extendedprice AS v FROM lineitem)"
@@ -180,6 +187,20 @@ r AS (SELECT instr, rn, bid AS hb, t AS hbt, ask AS la, t AS lat, 0 AS side, FAL
       FROM (SELECT o.instr, o.rn, o.t AS nt, o.bid AS nb, o.ask AS nask, r.hb, r.hbt, r.la, r.lat, r.side, o.bid >= r.hb AS up, o.bid < r.hb AND r.side <> -1 AND r.hb - o.ask > 5 AS sh FROM r JOIN o ON o.instr = r.instr AND o.rn = r.rn + 1))))
 SELECT instr, est AS t, 'SHORT' AS side, CAST(esp AS DOUBLE) AS price FROM r WHERE es UNION ALL SELECT instr, elt, 'LONG', CAST(elp AS DOUBLE) FROM r WHERE el
 UNION ALL SELECT instr, CASE WHEN side = 1 THEN hbt ELSE lat END, 'CANCEL', CAST(CASE WHEN side = 1 THEN hb ELSE la END AS DOUBLE) FROM (SELECT *, max(rn) OVER (PARTITION BY instr) AS z FROM r) WHERE rn = z AND side <> 0""",
+    # market orders only: each is done at the quote that stands when it comes; what is open at the end is closed
+    "sex1_market": f"""WITH RECURSIVE {Q}, lq AS (SELECT instr, t, arg_max(bid, seq) AS bid, arg_max(ask, seq) AS ask FROM q GROUP BY 1, 2), span AS (SELECT instr, max(t) AS hi FROM q GROUP BY 1),
+od AS (SELECT instr, t + 60000000 AS t, seq, CASE seq % 50 WHEN 0 THEN 2 WHEN 25 THEN -2 ELSE 0 END AS qty, seq % 50 = 40 AS cancel FROM q WHERE seq % 50 IN (0, 25, 40)),
+met AS (SELECT od.instr, od.t, od.seq, od.qty, od.cancel, max(lq.t) AS qt FROM od JOIN lq ON od.instr = lq.instr AND od.t >= lq.t JOIN span ON span.instr = od.instr WHERE od.t < hi GROUP BY ALL),
+a AS MATERIALIZED (SELECT met.instr, met.t, met.qty, met.cancel, met.qt, lq.bid, lq.ask, row_number() OVER (PARTITION BY met.instr ORDER BY met.t, met.seq) AS rn FROM met JOIN lq ON met.instr = lq.instr AND met.qt = lq.t),
+r AS (SELECT instr, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS qt, 0 AS qty, CAST(NULL AS DECIMAL(18,2)) AS px, CAST(0 AS DECIMAL(18,2)) AS spread, 0 AS base, CAST(0 AS DECIMAL(18,2)) AS term, CAST(0 AS DECIMAL(18,2)) AS comb, CAST(0 AS DECIMAL(18,2)) AS comt FROM span
+  UNION ALL SELECT instr, rn, t, qt, n, px, spread, base + CASE WHEN px IS NULL THEN 0 ELSE n END, CAST(term - CASE WHEN px IS NULL THEN 0 ELSE n * px END AS DECIMAL(18,2)),
+    CAST(round(comb - CASE WHEN px IS NULL THEN 0 ELSE abs(n) * 0.001 END, 2) AS DECIMAL(18,2)), CAST(round(comt - CASE WHEN px IS NULL THEN 0 ELSE abs(n * px) * 0.0001 END, 2) AS DECIMAL(18,2))
+  FROM (SELECT *, CASE WHEN n > 0 THEN ask WHEN n < 0 THEN bid END AS px, ask - bid AS spread
+    FROM (SELECT a.*, r.base, r.term, r.comb, r.comt, CASE WHEN cancel THEN -r.base WHEN a.qty * r.base < 0 THEN a.qty - r.base ELSE a.qty END AS n FROM r JOIN a ON a.instr = r.instr AND a.rn = r.rn + 1))),
+z AS (SELECT r.*, lq.t AS lt, lq.bid, lq.ask FROM (SELECT *, max(rn) OVER (PARTITION BY instr) AS last FROM r) r JOIN span USING (instr) JOIN lq ON lq.instr = r.instr AND lq.t = hi WHERE rn = last AND base <> 0),
+every AS (SELECT instr, t, qty, px, spread, t - qt AS age, base, term, comb, comt FROM r WHERE rn > 0
+  UNION ALL SELECT instr, lt, -base, p, ask - bid, 0, 0, term + base * p, round(comb - abs(base) * 0.001, 2), round(comt - abs(base * p) * 0.0001, 2) FROM (SELECT *, CASE WHEN base > 0 THEN bid ELSE ask END AS p FROM z))
+SELECT instr, t, CASE WHEN px IS NULL THEN 'REJ' ELSE 'EXE' END AS verb, CAST(qty AS DOUBLE) AS qty, CAST(px AS DOUBLE) AS px, CAST(spread AS DOUBLE) AS spread, age, CAST(base AS DOUBLE) AS base, CAST(term AS DOUBLE) AS term, CAST(comb AS DOUBLE) AS comb, CAST(comt AS DOUBLE) AS comt FROM every""",
     "candle": _candle(_windows(10 * MIN), STAMP),
     "candle_all": _candle(_windows(None), "'ALL'"),
     "candle_day": _candle(DAYS, "strftime(make_timestamp((edge // 1000000000 - 1) * 1000000), '%Y-%m-%d')"),
@@ -191,9 +212,9 @@ SELECT cndl, instr, dimen, 'n' AS metric, CAST(cnt AS DOUBLE) AS v0 FROM long UN
     "evt_erlagg": f"""WITH RECURSIVE {Q}, {_windows(4 * HOUR, "")}, g AS (SELECT edge, (t - lag(t) OVER (ORDER BY t, seq)) / 1e9 AS gap FROM w)
 SELECT {STAMP} AS cndl, round(sum(1 / nullif(gap, 0)), 6) AS erlagg, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY edge""",
     "evt_erlang": f"WITH {_GAPS.format(where=' WHERE (rn - 1) % 2 = 0')} SELECT 'ALL' AS cndl, instr, bin, lo, hi, cnt FROM hist",
-    "evt_erlang_fit": f"""WITH {_GAPS.format(where='')}, s AS (SELECT instr, sum(cnt) AS n, sum(cnt * hi) AS total, sum(cnt * ln(hi)) AS logs, sum(cnt) FILTER (bin > 0) AS n1, sum(cnt * ln(hi)) FILTER (bin > 0) AS logs1 FROM hist WHERE hi > 0 GROUP BY instr),
-f AS (SELECT *, ln(total / n) - logs / n AS s FROM s), k AS (SELECT *, (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) AS k FROM f)
-SELECT 'ALL' AS cndl, instr, CAST(n AS BIGINT) AS n, 1 AS erlang_shape, round(n / total, 6) AS erlang_rate, round(sqrt(k * k * n / total), 6) AS gamma_shape, round(n1 / logs1, 6) AS lomax_shape FROM k""",
+    "evt_erlang_fit": f"""WITH {_GAPS.format(where='')}, s AS (SELECT instr, sum(cnt) AS n, sum(cnt * hi) AS every, sum(cnt * hi * 1e9) FILTER (bin > 0) AS su, sum(cnt * (ln(hi * 1e9) - ln(1e9))) FILTER (bin > 0) AS ls, sum(cnt * ln(hi * 1e9)) FILTER (bin > 0) AS sh FROM hist GROUP BY instr),
+f AS (SELECT *, ln(su) - ln(n) - ln(1e9) - ls / n AS s FROM s), k AS (SELECT *, (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) AS k FROM f)
+SELECT 'ALL' AS cndl, instr, CAST(n AS BIGINT) AS n, 1 AS erlang_shape, round(n / every, 6) AS erlang_rate, round(k / sqrt(k / (n * k / su)), 12) AS gamma_shape, round(n / sh, 9) AS lomax_shape FROM k""",
     "evt_poisson": f"WITH {_SLOTS} SELECT 'ALL' AS cndl, instr, k, cnt FROM c",
     "evt_poisson_fit": f"""WITH RECURSIVE {_SLOTS}, m AS (SELECT instr, CAST(sum(cnt) AS BIGINT) AS n, sum(k * cnt) / sum(cnt) AS mean, coalesce(sum(cnt) FILTER (k = 0), 0) / sum(cnt) AS z FROM c GROUP BY instr),
 r AS (SELECT *, CAST(2 AS DOUBLE) AS rate, 0 AS i FROM m UNION ALL SELECT instr, n, mean, z, mean * (1 - exp(-rate)) / (1 - z), i + 1 FROM r WHERE i < 10)
@@ -217,12 +238,13 @@ SELECT lag, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sqrt(n) * m3 /
     "xevent": f"""WITH {Q}, e AS (SELECT t, row_number() OVER (ORDER BY t, seq) + 4 AS chunk, CASE WHEN seq % 1000 = 7 THEN instr ELSE 'SHOCK' END AS mark FROM q WHERE seq % 500 = 7)
 SELECT e.chunk, q.t, q.seq, q.instr, CAST(q.bid AS DOUBLE) AS bid, CAST(q.ask AS DOUBLE) AS ask, CAST(q.bsz AS DOUBLE) AS bsz, CAST(q.asz AS DOUBLE) AS asz, NULL AS mark FROM e JOIN q ON q.t BETWEEN e.t - {30 * MIN} AND e.t + {10 * MIN}
 UNION ALL SELECT chunk, t, NULL, NULL, NULL, NULL, NULL, NULL, mark FROM e""",
-    "rolling": f"""WITH {Q}, n AS (SELECT *, row_number() OVER p AS k, lead(t) OVER p AS nxt FROM q WHERE seq % 5 = 0 WINDOW p AS (PARTITION BY instr ORDER BY t, seq)),
+    "rolling": f"""WITH {Q}, n AS (SELECT *, row_number() OVER p AS k, lead(t) OVER p AS nxt FROM q WINDOW p AS (PARTITION BY instr ORDER BY t, seq)),
 h AS (SELECT a.instr, a.k, a.nxt, min(b.t) AS head FROM n a JOIN n b ON a.instr = b.instr AND b.k <= a.k AND b.t > a.t - {HOUR} GROUP BY 1, 2, 3)
 SELECT h.k AS window_id, n.t, n.seq, n.instr, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM h JOIN n ON n.instr = h.instr AND n.k <= h.k AND n.t >= head WHERE h.nxt IS NULL OR h.nxt - head >= {HOUR}""",
-    "sma": f"""WITH {Q}, d AS (SELECT t, seq, instr, CAST(bid - lag(bid) OVER p AS DOUBLE) AS db, CAST(ask - lag(ask) OVER p AS DOUBLE) AS da FROM q WINDOW p AS (PARTITION BY instr ORDER BY t, seq)),
+    "sma": f"""WITH {Q}, d AS (SELECT t, seq, instr, CAST((bid - lag(bid) OVER p) * 100 AS BIGINT) AS db, CAST((ask - lag(ask) OVER p) * 100 AS BIGINT) AS da FROM q WINDOW p AS (PARTITION BY instr ORDER BY t, seq)),
 s AS (SELECT t, seq, instr, count(*) OVER r AS n, sum(db) OVER r AS sb, sum(db * db) OVER r AS qb, sum(da) OVER r AS sa, sum(da * da) OVER r AS qa FROM d WHERE db IS NOT NULL WINDOW r AS (PARTITION BY instr ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW))
-SELECT t, seq, instr, round(sb / n + 1e-9, 6) AS sma_bid, round((qb - (sb / n) ** 2) / n + 1e-9, 6) AS smv_bid, round(sa / n + 1e-9, 6) AS sma_ask, round((qa - (sa / n) ** 2) / n + 1e-9, 6) AS smv_ask FROM s""",
+SELECT t, seq, instr, mb / 100 AS sma_bid, {_even('(qb - mb * mb) * 100', 'n')} / 1000000 AS smv_bid, ma / 100 AS sma_ask, {_even('(qa - ma * ma) * 100', 'n')} / 1000000 AS smv_ask
+FROM (SELECT *, {_even('sb', 'n')} AS mb, {_even('sa', 'n')} AS ma FROM s)""",
     "ewma": f"""WITH RECURSIVE {O}, r AS (SELECT instr, rn, t, seq, CAST(1 AS DOUBLE) AS m0, CAST(bid AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2, CAST(ask AS DOUBLE) AS a1, CAST(0 AS DOUBLE) AS a2 FROM o WHERE rn = 1
   UNION ALL SELECT instr, rn, t, seq, m, b, d * b2 + (bid - b / m) ** 2, a, d * a2 + (ask - a / m) ** 2 FROM (SELECT *, d * m0 + 1 AS m, d * b1 + bid AS b, d * a1 + ask AS a
     FROM (SELECT o.instr, o.rn, o.t, o.seq, CAST(o.bid AS DOUBLE) AS bid, CAST(o.ask AS DOUBLE) AS ask, r.m0, r.b1, r.b2, r.a1, r.a2, (1 - ln(2) / 3600) ** ((o.t - r.t) / 1e9) AS d FROM r JOIN o ON o.instr = r.instr AND o.rn = r.rn + 1)))
