@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,6 +46,34 @@ def near_copies(rng, n=120):
     return out
 
 
+def family(rng, n, length=100):
+    """Texts of one family: each has one to five words of a common text changed, so that many don't link with each other."""
+    base, out = words_of(rng, length, 10**6).split(), []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(length), rng.randrange(1, 6)):
+            words[at] = f"x{rng.randrange(50)}"
+        out.append(" ".join(words))
+    return out
+
+
+def linked_components(texts):
+    """As ``jaccard_components``, for texts that nearly all share shingles: all pairs by one product of matrices."""
+    sets = [shingles(t) for t in texts]
+    names = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [names[g] for g in s]] = 1
+    met, size = held @ held.T, held.sum(axis=1)
+    linked = 100 * met >= 75 * (size[:, None] + size[None] - met)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label[None], len(sets)).min(axis=1)
+        if (new == label).all():
+            return dict(enumerate(label.tolist()))
+        label = new
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     if len(words) < 5:

@@ -5,10 +5,12 @@
 3. A document's shingles are ordered rare-first. Those that no other class has can't be met; a document in which more
    than a quarter are of that kind can't link and leaves. Of the rest only a prefix takes part in the join.
 4. Prefixes meet on shingles. To keep a large group from forming all its pairs, each shingle first links its documents
-   with two leaders; links are verified, components formed, and then every pair that shares a prefix shingle and still
-   lies in two components is tried, the largest component of a shingle on one side. A pair passes the length and
-   positional filters and the suffix filter (parities of the shingles in BITS parts of the hash space bound the Hamming
-   distance of two sets from below); it is verified once, exactly.
+   with two leaders, in several turns with leaders of their own; links are verified, components formed, and then every pair that shares a prefix shingle and still
+   lies in two components is tried, the largest component of a shingle on one side and large groups dealt by salt. Within
+   that join a pair passes the length and positional filters and the suffix filter: the shingle on which two documents
+   meet first has nothing shared before it, and behind it the parities of the shingles in BITS parts of the hash space
+   bound the suffixes' Hamming distance from below. Hence what comes out are nearly only pairs that link, each of which
+   is verified once, exactly; texts of one family that don't link are told apart within the join.
 Components come out as if all links had been formed: a pair that isn't tried lies in one component already.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer than five words has its
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tickspark.llm import exchange
 from tickspark.llm.components import components
 from tickspark.llm.spill import cut
-from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash, mix, prefix_hash, raw, slices, span_hash, text_bytes, word_spans
+from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, given_back, gram_hash, mix, prefix_hash, raw, set_aside, slices, span_hash, text_bytes, word_spans
 
 WORDS = 5
 #: The similarity threshold as a fraction, and the parts of the hash space of which the suffix filter holds a parity.
@@ -36,8 +38,10 @@ OVER, UNDER = 3, 4
 BITS = 512
 #: Orders by which leaders are chosen.
 ORDERS = 4
+#: Documents outside a shingle's largest component that one task compares with its others.
+SALTED = 1024
 SETS = "doc_id long, n_shingles long, d1 long, d2 long"
-SURVIVORS = "doc long, n int, lone int, parities array<long>, tokens array<long>"
+SURVIVORS = "doc long, n int, lone int, parities array<long>, tokens array<long>, suffixes array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -89,8 +93,9 @@ def _wanted(table: pa.Table) -> set[tuple[int, int, int]]:
 
 
 def survivors(docs: DataFrame, reps: DataFrame, n_bytes: int, block_bytes: int = 4 << 20) -> DataFrame:
-    """SURVIVORS: of each representative that may link, its number of shingles, of those that no other has, the
-    parities and the others, rare-first."""
+    """SURVIVORS: of each representative that may link, its number of shingles, of those that no other has, the parities of
+    the others, the others, rare-first, and the parities of what stands behind each shingle of the prefix, one after the
+    other."""
     blocks, buckets = exchange.block_counts(n_bytes, block_bytes)
     bits = exchange.key_bits(n_bytes)
     shift = np.uint64(64 - bits)
@@ -113,25 +118,42 @@ def survivors(docs: DataFrame, reps: DataFrame, n_bytes: int, block_bytes: int =
         edges = np.cumsum([0, *(len(s) for _, s in found)])
         met_before = np.concatenate([[0], np.cumsum(often > 1)])
         many = np.diff(met_before[edges])
-        out: dict[str, list] = {"doc": [], "n": [], "lone": [], "parities": [], "tokens": []}
+        out: dict[str, list] = {"doc": [], "n": [], "lone": [], "parities": [], "tokens": [], "suffixes": []}
         for i in np.flatnonzero(UNDER * many >= OVER * np.diff(edges)):
             (doc, shingles), own = found[i], often[edges[i] : edges[i + 1]]
             met = shingles[own > 1]
             met = met[np.lexsort((met, own[own > 1]))].view(np.int64)
-            for name, value in (("doc", doc), ("n", len(shingles)), ("lone", len(shingles) - len(met)), ("parities", np.packbits((np.bincount(met & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)), ("tokens", met)):
+            whole, suffixes = parities(met, prefix_length(len(shingles), len(shingles) - len(met)))
+            for name, value in (("doc", doc), ("n", len(shingles)), ("lone", len(shingles) - len(met)), ("parities", whole), ("tokens", met), ("suffixes", suffixes)):
                 out[name].append(value)
-        return pa.table({"doc": pa.array(out["doc"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "lone": pa.array(out["lone"], pa.int32()), "parities": pa.array(out["parities"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.list_(pa.int64()))})
+        return pa.table({n: pa.array(v, pa.int64() if n == "doc" else pa.int32() if n in ("n", "lone") else pa.list_(pa.int64())) for n, v in out.items()})
 
     return texts.cogroup(told.groupBy("block")).applyInArrow(order, SURVIVORS)
 
 
+def prefix_length(n: int, lone: int) -> int:
+    """How many of the shingles that others have too belong to the prefix of a set of ``n``, after the ``lone`` ones."""
+    return max(0, n - -(-OVER * n // UNDER) + 1 - lone)
+
+
+def parities(tokens: np.ndarray, taken: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of all tokens in BITS parts, as 64-bit words; and those of the tokens behind each of the first ``taken``."""
+    place = tokens & (BITS - 1)
+    steps = np.zeros((len(tokens), BITS // 64), np.uint64)
+    steps[np.arange(len(tokens)), place >> 6] = np.uint64(1) << (place & 63).astype(np.uint64)
+    whole = np.bitwise_xor.reduce(steps, axis=0)
+    return whole.view(np.int64), (np.bitwise_xor.accumulate(steps[:taken], axis=0) ^ whole).reshape(-1).view(np.int64)
+
+
 def _prefixes(held: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, doc, n, at, label): a row for each shingle of a prefix; ``at`` is its place in the rare-first order."""
-    alpha = F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int")
-    taken = F.greatest(F.col("n") - alpha + 1 - F.col("lone"), F.lit(0))
+    """(token, doc, n, at, label, behind): a row for each shingle of a prefix; ``at`` is its place in the rare-first order,
+    ``behind`` has the parities of what follows it."""
+    words = BITS // 64
     own = held if labels is None else held.join(labels, held.doc == labels.node, "left")
     label = F.col("doc") if labels is None else F.coalesce("component", "doc")
-    return own.select("doc", "n", "lone", label.alias("label"), F.posexplode(F.slice("tokens", F.lit(1), taken)).alias("i", "token")).select("token", "doc", "n", (F.col("lone") + F.col("i")).alias("at"), "label")
+    taken = F.slice("tokens", F.lit(1), (F.size("suffixes") / words).cast("int"))
+    rows = own.select("doc", "n", "lone", "suffixes", label.alias("label"), F.posexplode(taken).alias("i", "token"))
+    return rows.select("token", "doc", "n", (F.col("lone") + F.col("i")).alias("at"), "label", F.slice("suffixes", F.col("i") * words + 1, F.lit(words)).alias("behind"))
 
 
 def _may_link(x: str, y: str):
@@ -141,8 +163,15 @@ def _may_link(x: str, y: str):
     return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * rest >= OVER * (n + m))
 
 
-def _named(df: DataFrame, start: str) -> DataFrame:
-    return df.select("token", *(F.col(c).alias(start + c) for c in ("doc", "n", "at", "label")))
+def _suffixes_may_link(x: str, y: str):
+    """Suffix filter between two prefix rows: no shingle before the first on which two documents meet is in both sets, so
+    those and the parities that differ behind it bound the sets' Hamming distance, which must be a seventh of their sizes."""
+    apart = sum((F.bit_count(F.col(f"{x}behind")[i].bitwiseXOR(F.col(f"{y}behind")[i])) for i in range(BITS // 64)), F.col(f"{x}at") + F.col(f"{y}at"))
+    return (OVER + UNDER) * apart <= (UNDER - OVER) * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
+def _named(df: DataFrame, start: str, *keys: str) -> DataFrame:
+    return df.select("token", *keys, *(F.col(c).alias(start + c) for c in ("doc", "n", "at", "label", *(("behind",) if "behind" in df.columns else ()))))
 
 
 def _led(prefixes: DataFrame, turn: int) -> DataFrame:
@@ -155,25 +184,27 @@ def _led(prefixes: DataFrame, turn: int) -> DataFrame:
     one = F.struct(rank.alias("h"), "doc", "n", "at", "label")
     lead = prefixes.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("z"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     lead = lead.select("token", F.explode(F.array("x", "z")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc", "n", "at", "label")))
-    return _pairs(_named(prefixes, "y_").join(lead, "token"))
+    return _each_once(_named(prefixes.drop("behind"), "y_").join(lead, "token").where(F.col("x_label") != F.col("y_label")).where(_may_link("x_", "y_")))
 
 
 def _crossed(prefixes: DataFrame) -> DataFrame:
     """All candidate pairs between components: rows outside a shingle's largest component against all of its rows."""
     sizes = prefixes.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("main"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    main = main.select("token", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("m.k")) / SALTED).cast("int").alias("salts"))
     rows = prefixes.join(main, "token")
-    left = _named(rows.where("label <> main"), "x_")
-    return _pairs(left.join(_named(rows, "y_"), "token"))
+    left = _named(rows.where("label <> main").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")), "x_", "salt")
+    right = _named(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "y_", "salt")
+    on = (left.token == right.token) & (left.salt == right.salt) & (F.col("x_label") != F.col("y_label")) & _may_link("x_", "y_") & _suffixes_may_link("x_", "y_")
+    return _each_once(left.join(right, on))
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    kept = joined.where(F.col("x_label") != F.col("y_label")).where(_may_link("x_", "y_"))
-    return kept.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+def _each_once(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold: suffix filter on parities first, then the exact intersection."""
+    """The pairs whose sets reach the threshold: parities of the whole sets first, then the exact intersection."""
     side = lambda x, *also: held.select(F.col("doc").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in also))
     both = pairs.join(side("a", "n", "lone", "parities"), "a").join(side("b", "n", "lone", "parities"), "b")
     apart = sum((F.bit_count(F.col("a_parities")[i].bitwiseXOR(F.col("b_parities")[i])) for i in range(BITS // 64)), F.lit(0))
@@ -183,7 +214,7 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return met.where((OVER + UNDER) * F.size(F.array_intersect("a_tokens", "b_tokens")) >= OVER * F.col("total")).select("a", "b")
 
 
-def linked(held: DataFrame, parts: int | None = None, turns: int = 1) -> DataFrame:
+def linked(held: DataFrame, parts: int | None = None, turns: int = 3) -> DataFrame:
     """(node, component) of all survivors that link with another one. parts: see ``cut``."""
     labels, links = None, None
     for turn in range(turns + 1):
@@ -212,8 +243,9 @@ def near_duplicates(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns."""
-    stay = near_duplicates(docs, **how).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    stay = near_duplicates(docs, **how).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    aside, names = set_aside(docs, "doc_id")
+    return given_back(aside.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi"), names, docs.columns)
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
