@@ -1,30 +1,43 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over indicators of character n-grams is trained with numpy from texts confirmed as toxic and from
-unlabelled texts. The risk of the unlabelled part, less the positives' share of it (class prior times the risk of calling
-positives negative), estimates the risk on negatives; where that estimate turns negative for a batch, its gradient is
-reversed, as the non-negative estimator asks for. Features are chosen by their shares in the two samples. The fit takes
-at most ``positives`` and ``unlabelled`` texts (lowest hashes of the identifier), whatever the size of the table; every
-text is scored whole.
+A linear model over indicators of character n-grams is trained with numpy from texts confirmed as toxic and from unlabelled
+texts. The risk of the unlabelled part, less the positives' share of it (class prior times the risk of calling positives
+negative), estimates the risk on negatives; where that estimate turns negative for a batch, its gradient is reversed, as the
+non-negative estimator asks for.
+
+Only the confirmed texts are a sample (at most ``positives`` of them, lowest hashes of the identifier). All rows outside the
+held-out fold are the unlabelled part, whatever the size of the table: one pass counts their features, those that mark the
+positives best are chosen, a second pass keeps each row's chosen features, and rounds of mini-batches over them follow. In
+a round each partition goes through its rows from the same weights, and the results are averaged by numbers of rows. Last,
+the intercept is set so that the scores of all these rows average to the class prior. Every text is scored whole.
 
 Edge cases: null and empty texts have no features and score as the intercept says; null labels are left out; an
 identifier with both labels counts as not confirmed; without confirmed texts every score is the class prior, 0 when
-there is none; repeated rows are scored alike; an empty table gives no rows.
+there is none; repeated rows count each and are scored alike; a very long text is one row like any other; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.features import collected, indicators, logistic, remainder, sampled, scored
+from tickspark.llm.features import indicators, logistic, remainder, sampled, scored
+from tickspark.llm.spill import cut
+from tickspark.llm.text import bounded_batches, raw
 
 BITS = 20
 ORDERS = (4, 5, 6)
 THRESHOLD = 0.3
+#: Rows of which a partition of the fit holds the chosen features at once.
+PART_ROWS = 50_000
+#: Parts in which counts and weights are added up before they come to the driver.
+SUMS = 64
 
 
 class Model:
@@ -37,43 +50,84 @@ class Model:
         return np.array([self.weights[c].sum() for c in rows], np.float64)
 
 
-def chosen_features(rows: list[np.ndarray], positive: np.ndarray, size: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the features that mark positives best, and the log ratio of their shares in the two samples."""
-    counts = np.zeros((2, size), np.float32)
-    for codes, y in zip(rows, positive, strict=True):
-        counts[int(y), codes] += 1
-    n = np.array([(~positive).sum(), positive.sum()], np.float32)
-    p, u = counts[1] / n[1], counts[0] / n[0]
-    gain = np.where(counts[1] >= 3, (p - u) / np.sqrt((p + u) / 2 * (1 / n[1] + 1 / n[0]) + 1e-9), 0)
-    best = np.argpartition(-gain, min(most, size - 1))[:most]
+def features():
+    return indicators(ORDERS, BITS, shapes=False, lower=True)
+
+
+def counted(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the rows each feature occurs, and the rows. A task sends its counts in SUMS parts, added up by part."""
+    bounded_batches(rows.sparkSession)
+    width = (1 << BITS) // SUMS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts, n = features(), np.zeros(1 << BITS, np.int64), 0
+        for b in batches:
+            for codes in of(*raw(b.column("text"))):
+                counts[codes] += 1
+                n += 1
+        if n:
+            yield pa.record_batch({"part": pa.array(range(SUMS), pa.int32()), "n": pa.array([n] * SUMS, pa.int64()), "counts": pa.array([c.tobytes() for c in counts.reshape(SUMS, width)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, n long, counts binary"
+    got = rows.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toArrow().sort_by("part")
+    if not got.num_rows:
+        return np.zeros(1 << BITS, np.int64), 0
+    return np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in got.column("counts")]), got.column("n")[0].as_py()
+
+
+def chosen_features(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the features that mark positives best, and the log ratio of their shares in the two parts."""
+    p, u = positive / n_positive, unlabelled / n_unlabelled
+    gain = np.where(positive >= 3, (p - u) / np.sqrt((p + u) / 2 * (1 / n_positive + 1 / n_unlabelled) + 1e-9), 0)
+    best = np.argpartition(-gain, min(most, len(gain) - 1))[:most]
     best = best[gain[best] > 3]
-    return best, np.log((p[best] + 1 / n[1]) / (u[best] + 1 / n[0]))
+    return best, np.log((p[best] + 1 / n_positive) / (u[best] + 1 / n_unlabelled))
+
+
+def shortened(rows: DataFrame, best: np.ndarray) -> DataFrame:
+    """(codes): of each row the places in ``best`` of the features that it has, as 16-bit numbers."""
+    place = np.full(1 << BITS, -1, np.int16)
+    place[best] = np.arange(len(best))
+    shared = rows.sparkSession.sparkContext.broadcast(place)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, place = features(), shared.value
+        for b in batches:
+            found = (place[codes] for codes in of(*raw(b.column("text"))))
+            yield pa.record_batch({"codes": pa.array([c[c >= 0].tobytes() for c in found], pa.binary())})
+
+    return rows.select("text").mapInArrow(shorten, "codes binary")
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width: int, start: np.ndarray, epochs: int = 300, rate: float = 0.03, batch: int = 1 << 14, decay: float = 2e-4, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative PU risk with the logistic loss, by Adam in mini-batches."""
-    rng = np.random.default_rng(seed)
-    theta = np.concatenate([start * 0.1, [np.log(prior / (1 - prior))]])
-    first, second, t = np.zeros(width + 1), np.zeros(width + 1), 0
-    groups = [np.flatnonzero(positive), np.flatnonzero(~positive)]
-    n_batches = max(1, len(rows) // batch)
+def unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.int16).astype(np.int64) for c in column.to_pylist()]
 
-    def pass_over(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def nnpu_steps(theta: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 50, rate: float = 0.03, batch: int = 2048, decay: float = 2e-4, seed: int = 3) -> np.ndarray:
+    """Weights and intercept after passes over the unlabelled rows in mini-batches, ``least`` of them at the least, each with
+    its share of positives: the non-negative risk with the logistic loss, by Adam."""
+    rng, width = np.random.default_rng(seed), len(theta) - 1
+    theta, first, second, t = theta.copy(), np.zeros(width + 1), np.zeros(width + 1), 0
+    n_batches = max(1, len(unlabelled) // batch)
+
+    def look(rows: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = [rows[i] for i in at]
         owner = np.repeat(np.arange(len(at)), [len(c) for c in codes])
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        flat = np.concatenate(codes)
         return flat, owner, np.bincount(owner, theta[flat], len(at)) + theta[-1]
 
-    def gradient(flat, owner, slope) -> np.ndarray:
+    def gradient(flat: np.ndarray, owner: np.ndarray, slope: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(flat, slope[owner], width), [slope.sum()]])
 
-    for _ in range(epochs):
-        shuffled = [np.array_split(rng.permutation(g), n_batches) for g in groups]
-        for at_p, at_u in zip(*shuffled, strict=True):
-            if not len(at_p) or not len(at_u):
-                continue
-            flat_p, own_p, z_p = pass_over(at_p)
-            flat_u, own_u, z_u = pass_over(at_u)
+    while t < least:
+        for at_u in np.array_split(rng.permutation(len(unlabelled)), n_batches):
+            at_p = rng.permutation(len(positive))[: max(1, min(len(positive), batch))]
+            flat_p, own_p, z_p = look(positive, at_p)
+            flat_u, own_u, z_u = look(unlabelled, at_u)
             # the loss of calling a row negative is log(1 + e^z), of slope s; of calling it positive log(1 + e^-z), of slope s - 1
             negative_risk = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
             s_p, s_u = logistic(z_p) / len(z_p), logistic(z_u) / len(z_u)
@@ -86,49 +140,86 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width:
             first = 0.9 * first + 0.1 * grad
             second = 0.999 * second + 0.001 * grad**2
             theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
-
-
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, size: int) -> Model:
-    if not positive.any() or positive.all():
-        p = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(size, np.float32), 0.0, float(np.log(p / (1 - p))))
-    best, ratio = chosen_features(rows, positive, size)
-    place = np.full(size, -1, np.int64)
-    place[best] = np.arange(len(best))
-    short = [p[p >= 0] for p in (place[c] for c in rows)]
-    found, _ = fit_nnpu(short, positive, min(max(prior, 1e-3), 0.9), len(best), ratio)
-    weights = np.zeros(size, np.float32)
-    weights[best] = found
-    margins = np.array([found[c].sum() for c, y in zip(short, positive, strict=True) if not y])
-    return Model(weights, 1.0, intercept_for(margins, min(max(prior, 1e-3), 0.9)))
-
-
-def intercept_for(margins: np.ndarray, prior: float) -> float:
-    """The intercept at which the scores of the unlabelled sample average to the class prior."""
-    low, high = -60.0, 60.0
+    return theta
+
+
+def fitted(held: DataFrame, positive: list[np.ndarray], prior: float, ratio: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Weights of the chosen features after ``rounds`` in which partitions learn from the same start and are averaged."""
+    theta = np.concatenate([ratio * 0.1, [np.log(prior / (1 - prior))]])
+    schema = "part int, n long, theta binary"
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.float64) for c in table.column("theta").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "theta": pa.array([total.tobytes()], pa.binary())})
+
+    for turn in range(rounds):
+        shared = held.sparkSession.sparkContext.broadcast((theta, positive))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            start, positive = shared.value
+            rows: list[np.ndarray] = []
+            part = 0
+            for b in batches:
+                rows += unpacked(b.column("codes"))
+                part = b.column("part")[0].as_py() if b.num_rows else part
+            if rows:
+                found = nnpu_steps(start, positive, rows, prior, seed=turn) * len(rows)
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "n": pa.array([len(rows)], pa.int64()), "theta": pa.array([found.tobytes()], pa.binary())})
+
+        given = held.select("codes", F.pmod(F.spark_partition_id(), F.lit(SUMS)).alias("part"))
+        got = given.mapInArrow(learn, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+        if got.num_rows:
+            theta = sum(np.frombuffer(c, np.float64) for c in got.column("theta").to_pylist()) / sum(got.column("n").to_pylist())
+        shared.unpersist()
+    return theta[:-1]
+
+
+def intercept_for(held: DataFrame, weights: np.ndarray, prior: float) -> float:
+    """The intercept at which the scores of all held rows average to the class prior, from their margins' histogram in
+    hundredths: at most 12,001 rows."""
+    shared = held.sparkSession.sparkContext.broadcast(weights)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([shared.value[c].sum() for c in unpacked(b.column("codes"))], np.float64)
+            yield pa.record_batch({"m": pa.array(np.rint(np.clip(found, -60, 60) * 100).astype(np.int32))})
+
+    got = held.mapInArrow(margins, "m int").groupBy("m").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    at, many = np.asarray(got.column("m")) / 100, np.asarray(got.column("n"))
+    low, high = -120.0, 120.0
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if logistic(margins + middle).mean() < prior else (low, middle)
+        low, high = (middle, high) if (logistic(at + middle) * many).sum() < prior * many.sum() else (low, middle)
     return (low + high) / 2
 
 
-def features():
-    return indicators(ORDERS, BITS, shapes=False, lower=True)
+def constant(prior: float) -> Model:
+    p = min(max(prior, 1e-6), 1 - 1e-6)
+    return Model(np.zeros(1 << BITS, np.float32), 0.0, float(np.log(p / (1 - p))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2), positives: int = 2000, unlabelled: int = 3000, prior: float | None = None) -> Model:
-    """Learns from confirmed toxic texts and unlabelled ones, both outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2), positives: int = 2000, prior: float | None = None) -> Model:
+    """Learns from at most ``positives`` confirmed toxic texts and from all others, both outside the held-out fold.
 
     prior: the share of toxic texts; by default their share of the labelled rows outside the held-out fold.
     """
     open_ = lambda df: df.where(remainder(F.col("doc_id"), fold[0]) != fold[1])
     known = open_(labels).where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias(label))
     share, n = known.agg(F.avg(label), F.count(F.lit(1))).first()
-    confirmed = known.where(F.col(label) == 1).select("doc_id", F.lit(1).alias("confirmed"))
-    pool = open_(docs).where(F.col("doc_id").isNotNull()).select("doc_id").distinct().select("doc_id", F.lit(0).alias("confirmed"))
-    y, rows = collected(sampled(confirmed, docs, "confirmed", positives).unionByName(sampled(pool, docs, "confirmed", unlabelled)), "confirmed", features)
-    return fit(rows, y == 1, prior if prior is not None else (share if n else 0.0), 1 << BITS)
+    share = prior if prior is not None else (share if n else 0.0)
+    confirmed = sampled(known.where(F.col(label) == 1).select("doc_id", F.lit(1).alias("confirmed")), docs, "confirmed", positives)
+    in_positive, n_positive = counted(confirmed)
+    pool = open_(docs)
+    in_pool, n_pool = counted(pool)
+    if not n_positive or not n_pool:
+        return constant(share)
+    best, ratio = chosen_features(in_positive, n_positive, in_pool, n_pool)
+    share = min(max(share, 1e-3), 0.9)
+    positive = unpacked(shortened(confirmed, best).toArrow().column("codes"))
+    held = cut(shortened(pool, best), max(1, -(-n_pool // PART_ROWS)))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[best] = found = fitted(held, positive, share, ratio)
+    return Model(weights, 1.0, intercept_for(held, found, share))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
