@@ -2,15 +2,17 @@
 
 Every window of 13 consecutive words of a benchmark item (all words of a shorter item) is a pattern over normalised text;
 each document is normalised the same way, scanned once, and matches are mapped back to its words and to byte spans of the
-original. The automaton is built once in each Python worker from a broadcast of the windows. That table is bounded:
-up to ``max_pattern_bytes`` of windows go into an automaton; a larger benchmark is dealt into as many parts, each with its
-own automaton and scan, and hits are united per document, so that nothing is left out.
+original. The automaton is built once in each Python worker from a broadcast of the items, and is bounded: windows of up to
+``max_pattern_bytes`` go into one, some 200 MB of memory as it stands. The items of a larger benchmark are dealt into parts,
+each with its own automaton, that scan one after the other and add to each other's hits, so that nothing is left out. The
+benchmark's text as such passes through the driver.
 
 Words: A-Z are lower-cased; letters, digits and all characters beyond ASCII belong to words, all else separates.
 
 Edge cases: a null or empty text, or one without words, has no hits and is clean; an item without words has no window;
 windows that several items share count for each of them; items that repeat an item_id are one item; matches may overlap
-and each word counts once; an empty benchmark leaves all clean; an empty table gives no rows.
+and each word counts once; repeated rows are judged each; a very long text is scanned whole, over a MiB alone in its slice;
+an empty benchmark leaves all clean; an empty table gives no rows; other columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,62 +90,69 @@ def scan(machine, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int,
             yield len(begin), int(hit.sum()), sorted(items), spans
 
 
-def parts_of(benchmark: DataFrame, max_pattern_bytes: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's windows in parts of bounded size, read item by item."""
-    part: list[tuple[str, list[bytes]]] = []
+def parts_of(benchmark: DataFrame, max_pattern_bytes: int, window: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in parts whose windows are of bounded size, read item by item."""
+    part: list[tuple[str, str]] = []
     size = 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        made = item_windows(text, window)
-        n = sum(map(len, made))
+        n = window * len((text or "").encode())
         if part and size + n > max_pattern_bytes:
             yield part
             part, size = [], 0
-        part.append((item or "", made))
+        part.append((item or "", text or ""))
         size += n
     yield part
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, max_pattern_bytes: int = 32 << 20) -> DataFrame:
+def built(part: list[tuple[str, str]], window: int):
+    """The automaton of a part's items."""
+    windows: dict[bytes, tuple[int, list[str]]] = {}
+    for item, text in part:
+        for w in item_windows(text, window):
+            windows.setdefault(w, (w.count(b" ") - 1, []))[1].append(item)
+    return automaton(windows)
+
+
+def united(a: list[dict], b: list[dict]) -> list[dict]:
+    """The union of two lists of spans, sorted; spans that touch or overlap in words become one."""
+    out: list[dict] = []
+    for s in sorted([*a, *b], key=lambda s: (s["first"], s["past"])):
+        if out and s["first"] <= out[-1]["past"]:
+            out[-1] = out[-1] | {"end": max(out[-1]["end"], s["end"]), "past": max(out[-1]["past"], s["past"])}
+        else:
+            out.append(s)
+    return out
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, max_pattern_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` columns and FIELDS of every row: words, words hit, items met, and spans of hit bytes in the original."""
     bounded_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    given = docs.select(*{*keep, "text"})
-    scanned = []
-    parts = [(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part)) for part in parts_of(benchmark, max_pattern_bytes, window)]
-    if len(parts) > 1:
-        given = given.withColumn("_row", F.monotonically_increasing_id())
-    held = (*keep, "_row") if len(parts) > 1 else keep
-    for key, shared in parts:
-
-        def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared) -> Iterator[pa.RecordBatch]:
+    names = [f"_k{i}" for i in range(len(keep))]
+    df = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").alias("_text"))
+    schema = ", ".join([*(f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)), FIELDS])
+    parts = list(parts_of(benchmark, max_pattern_bytes, window))
+    types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "past")])))
+    for i, part in enumerate(parts):
+        key, shared, last = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part), i + 1 == len(parts)
+        held = names if last else [*names, "_text"]
+
+        def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared, first=not i, held=held) -> Iterator[pa.RecordBatch]:
             if key not in _automata:
                 _automata.clear()
-                windows: dict[bytes, tuple[int, list[str]]] = {}
-                for item, made in shared.value:
-                    for w in made:
-                        windows.setdefault(w, (w.count(b" ") - 1, []))[1].append(item)
-                _automata[key] = automaton(windows)
+                _automata[key] = built(shared.value, window)
             for b in batches:
-                rows = list(scan(_automata[key], *raw(b.column("text"))))
-                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "past")]))))]
+                rows = list(scan(_automata[key], *raw(b.column("_text"))))
+                if not first:  # what the automata before have found stays
+                    before = zip(b.column("items").to_pylist(), b.column("spans").to_pylist(), strict=True)
+                    spans = [united(s, r[3]) for r, (_, s) in zip(rows, before, strict=True)]
+                    items = [sorted({*own, *r[2]}) for r, own in zip(rows, b.column("items").to_pylist(), strict=True)]
+                    rows = [(r[0], sum(s["past"] - s["first"] for s in sp), it, sp) for r, it, sp in zip(rows, items, spans, strict=True)]
+                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.record_batch([b.column(c) for c in held] + made, [*held, "n_words", "n_hit", "items", "spans"])
 
-        scanned.append(given.mapInArrow(run, ", ".join([*(f"`{c}` {kinds.get(c, 'long')}" for c in held), FIELDS])))
-    return scanned[0] if len(scanned) == 1 else _united(scanned, keep)
-
-
-def _united(scanned: list[DataFrame], keep: tuple[str, ...]) -> DataFrame:
-    """Hits of several automata on the same rows: spans and items united. A row's spans are bounded by its own words."""
-    every = scanned[0]
-    for s in scanned[1:]:
-        every = every.unionByName(s)
-    grouped = every.groupBy("_row").agg(*(F.first(c).alias(c) for c in keep), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    joined = f"""aggregate(spans, cast(array() as array<{SPAN}>), (a, s) -> case
-        when size(a) > 0 and s.first <= element_at(a, -1).past then concat(slice(a, 1, size(a) - 1), array(named_struct(
-            'start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'first', element_at(a, -1).first, 'past', greatest(element_at(a, -1).past, s.past))))
-        else concat(a, array(s)) end)"""
-    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.past - s.first)")
-    return grouped.withColumn("spans", F.expr(joined)).withColumn("n_hit", n_hit).select(*keep, "n_words", "n_hit", "items", "spans")
+        df = df.mapInArrow(run, schema if last else schema.replace(FIELDS, f"_text string, {FIELDS}"))
+    return df.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "n_words", "n_hit", "items", "spans")
 
 
 def contaminated():
