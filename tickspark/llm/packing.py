@@ -1,15 +1,16 @@
 """Conflict-constrained best-fit packing of documents into sequences of fixed capacity.
 
-Texts are cut into pieces of at most ``capacity`` words; pieces are dealt by hash to shards of about ``shard_rows`` rows,
-and each shard packs its pieces from long to short. A bin carries a bitmap of sources and one of duplicate clusters; a
+Texts are cut into pieces of at most ``capacity`` words; pieces are dealt by hash to shards of at most about ``shard_rows``
+pieces (their number is bounded from the texts' bytes, as a word has two with its blank), and each shard packs its pieces from long to short. A bin carries a bitmap of sources and one of duplicate clusters; a
 piece fits a bin if it has room and neither bitmap has the piece's bits. Open bins are ordered by residual room: the
 search starts at the least residual that holds the piece and goes on to the next larger ones until a compatible bin, which
 is the tightest, is found; else a new bin opens. The number of shards grows with the table, so a shard stays bounded, and
 a hot source or cluster is spread over all shards.
 
 Edge cases: a null or empty text, or one of blanks only, has one row with 0 words and no bin; a null source or cluster
-conflicts with nothing; equal pieces are taken in the order of identifier and piece; repeated rows are packed each; an
-empty table gives no rows; other columns are ignored.
+conflicts with nothing; equal pieces are taken in the order of identifier and piece; repeated rows are packed each; the
+pieces of a very long text are spread over all shards; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = Non
     full = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)).cast("int")
     pieces = sized.select("doc_id", "source", "cluster", "words", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
     pieces = pieces.withColumn("n_words", F.least(F.col("words") - F.col("piece") * capacity, F.lit(capacity)).cast("int"))
-    shards = max(1, -(-docs.count() // shard_rows))
+    most = docs.agg(F.sum(F.greatest(F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / (2 * capacity)), F.lit(1)))).first()[0] or 0
+    shards = max(1, -(-int(most) // shard_rows))
     dealt = pieces.select("doc_id", "piece", "n_words", "source", "cluster", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard"))
 
     def run(table: pa.Table) -> pa.Table:
