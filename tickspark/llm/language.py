@@ -8,8 +8,10 @@ language is learnt. At most ``per_language`` texts of each enter the fit, by has
 they are dealt equally to the languages, ``least`` to each at the least. Every text is decoded whole.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; with a single known language that is the answer
-for all others, score 1; without any known language all texts are `und`; texts with a null language are not learnt from
-but decoded; ties go to the language that sorts first; repeated rows get the same answer; an empty table gives no rows.
+for all others, score 1; without any known language all texts are `und`; rows with a null language are not learnt from
+but decoded, and neither are identifiers that several languages share; ties go to the language that sorts first; repeated
+rows get the same answer; a very long text is decoded whole, over a MiB alone in its slice; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,8 +119,9 @@ def train(docs: DataFrame, fold: tuple[int, int] = (4, 2), per_language: int = 4
     """Learns from texts with a known language outside the held-out fold, at most ``per_language`` of each and, where each
     then has ``least``, at most ``total``."""
     known = docs.where((remainder(F.col("doc_id"), fold[0]) != fold[1]) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    named = known.groupBy("doc_id").agg(F.min("lang").alias("known"))
-    return fit(*collected(sampled(named, docs, "known", per_language, total, least), "known", Counted))
+    named = known.groupBy("doc_id").agg(F.min("lang").alias("known"), F.max("lang").alias("other")).where("known = other")
+    # texts come from the rows that name a language, not from others of their identifier
+    return fit(*collected(sampled(named, known, "known", per_language, total, least), "known", Counted))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), close: float = 0.8) -> DataFrame:
