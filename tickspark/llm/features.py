@@ -96,8 +96,9 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int, total: int | None = None, least: int = 1) -> DataFrame:
-    """(doc_id, label, text): of each label value up to ``per_class`` rows, those whose identifiers hash lowest.
+def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int, total: int | None = None, least: int = 1, longest: int = 1 << 15) -> DataFrame:
+    """(doc_id, label, text): of each label value up to ``per_class`` rows, those whose identifiers hash lowest. Texts of more
+    than ``longest`` bytes are left out, so that the sample is bounded in bytes as well.
 
     ``labelled`` has (doc_id, label), one row for each identifier. Every label value is learnt from. If there are so many that
     the sample would pass ``total`` rows, each gets an equal part of them, but ``least`` rows at the least. The chosen
@@ -117,7 +118,7 @@ def sampled(labelled: DataFrame, docs: DataFrame, label: str, per_class: int, to
         chosen = parts[0]
         for p in parts[1:]:
             chosen = chosen.unionByName(p)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id")
 
 
 def collected(rows: DataFrame, label: str, make: Callable) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read back. Only where that is unset, as in local tests, is a folder made.
+    """``df`` written to spark.checkpoint.dir and read back. Where that is unset a folder is made in local mode, as in tests; a
+    cluster must name one that its machines share. Spark removes what is no longer referred to if the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints.
 
     parts: at most so many partitions, for tables that are small beside what they come from; each costs files in every
     shuffle that follows. Callers take it from the size of the input.
@@ -16,5 +18,7 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return (df.coalesce(parts) if parts else df).checkpoint()
