@@ -1,10 +1,11 @@
 """Exact, near and line copies, repeated strings and packing against plain versions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import DATA, awkward, cut_repeats, duck, jaccard_components, near_copies, words_of
+from helpers import DATA, awkward, cut_repeats, duck, family, jaccard_components, linked_components, near_copies, words_of
 from pyspark.sql import functions as F
 
 from tickspark.llm import components, exact_dedup, line_dedup, ngram_join, packing, suffix_dedup
@@ -58,6 +59,15 @@ def test_exact_dedup_of_awkward_rows(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_keeps_rows_not_identifiers(spark):
+    rows = [(5, "x"), (9, "X"), (5, "y"), (7, "z"), (7, "z"), (None, "z"), (None, "w"), (None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept_id", F.lit(1))
+    for smallest, want in ((True, [(5, "x"), (5, "y"), (7, "z"), (None, "w")]), (False, [(9, "X"), (5, "y"), (7, "z"), (None, "w")])):
+        found = exact_dedup.exact_dedup(df, smallest=smallest)
+        assert found.columns == df.columns
+        assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_near_copies_equal_all_pairs(spark, seed):
     texts = near_copies(random.Random(seed), 160)
@@ -71,6 +81,25 @@ def test_near_copies_over_many_blocks(spark):
     assert got == jaccard_components(dict(enumerate(texts)))
 
 
+def test_pairs_of_a_family_of_which_many_do_not_link_stay_in_proportion(spark, monkeypatch):
+    rng, tried, crossed = random.Random(7), [], ngram_join._crossed
+
+    def counted(prefixes):
+        found = crossed(prefixes)
+        tried.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_crossed", counted)
+    for n in (250, 500, 1000):
+        texts = family(rng, n)
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
+        want = linked_components(texts)
+        assert got == want
+        assert 0.3 * n < sum(v == 1 for v in Counter(want.values()).values()) < 0.9 * n
+    print("pairs from the crossing of 250, 500 and 1000 texts:", tried)
+    assert all(k <= 5 * n for k, n in zip(tried, (250, 500, 1000), strict=True))
+
+
 def test_near_copies_of_awkward_rows(spark):
     df = awkward(spark)
     rows = ngram_join.near_duplicates(df).collect()
@@ -140,10 +169,12 @@ def test_every_pair_of_a_bucket_is_led_joined_or_crossed(spark, monkeypatch, sal
     rows = [(b, k, low, high) for b, low, high in ((8, 1, 40), (16, 50, 60)) for k in range(low, high + 1)]
     met = spark.createDataFrame(rows, "bucket long, key long, low long, high long")
     labels = spark.createDataFrame([(k, 2 if k < 9 else 9) for k in range(2, 12)], "node long, component long")
-    texts = spark.createDataFrame([(k, "", 100 if k % 5 else 50) for k in range(61)], "key long, norm string, n int")
+    # lines of a long and of a short kind, whose minima differ in every byte
+    words = ", ".join(f"s{i} long" for i in range(5))
+    signed = spark.createDataFrame([(k, 100, 0, 0, *[0x010101010101 if k % 5 else 0x020202020202] * 5) for k in range(61)], f"key long, size int, held0 long, held1 long, {words}")
     label = lambda k: (2 if k < 9 else 9) if 2 <= k < 12 else k
     want = {(a, b) for low, high in ((2, 39), (51, 59)) for b in range(low, high + 1) for a in range(low, b) if label(a) != label(b) and bool(a % 5) == bool(b % 5)}
-    found = [tuple(r) for r in line_dedup.crossed(met, labels, texts).collect()]
+    found = [tuple(r) for r in line_dedup.crossed(met, labels, signed).collect()]
     assert set(found) == want and len(found) == len(want)
 
 
@@ -152,7 +183,7 @@ def test_bands_have_a_high_recall_at_the_threshold(spark):
     assert 1 - (1 - similarity**line_dedup.ROWS) ** line_dedup.BANDS >= 0.993
     # bands don't share buckets, however many there are
     signed = line_dedup.signatures(line_dedup.lines(docs_of(spark, ["one line", "One line ", "another one"])), line_dedup.BANDS)
-    met = line_dedup.members(signed.unionByName(signed.withColumn("key", -F.col("key"))), line_dedup.BANDS, 12)
+    met = line_dedup.members(signed.unionByName(signed.withColumn("key", -F.col("key"))), 12)
     assert met.select("bucket", "key").distinct().count() == met.count() == 2 * 2 * line_dedup.BANDS
     assert met.select(F.col("bucket").bitwiseAND(F.lit(15).cast("long"))).distinct().count() == line_dedup.BANDS
 

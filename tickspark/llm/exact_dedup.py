@@ -13,10 +13,11 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.llm.spill import cut
+from tickspark.llm.text import given_back, set_aside
 
 #: The letters that normalisation touches.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,9 +125,15 @@ def _decided(entries: DataFrame, hits: DataFrame, smallest: bool) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, **how).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each group of equal texts, with all its columns: that of the kept identifier, and one of them if rows
+    repeat identifier and text. What an identifier's other rows say doesn't matter."""
+    aside, names = set_aside(docs, "doc_id", "text")
+    kept = exact_groups(docs, **how).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
+    named = aside.withColumn("own", F.sha2(lower_ascii(F.col("text")), 256))
+    met = named.join(kept, (F.col("own") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    # partitioned and sorted as the join left it
+    first = met.withColumn("place", F.row_number().over(Window.partitionBy("own", "doc_id").orderBy(F.lit(0)))).where("place = 1")
+    return given_back(first, names, docs.columns)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
