@@ -218,3 +218,15 @@ def test_empty_tables(spark):
     q = some_quotes(spark).limit(0)
     for df in (resample.align(q, "1m"), resample.candle(q, "1m"), resample.quodist(q, "1m"), folds.qq(q, "1"), folds.opt(q), smooth.sma(q), smooth.rolling(q, "1m")):
         assert df.count() == 0
+
+
+def test_table_functions(spark):
+    from tickspark import sql
+
+    some_quotes(spark).createOrReplaceTempView("quotes")
+    sql.tables(spark)
+    every = 600 * 10**9
+    aligned = resample.align(some_quotes(spark), "10m")
+    assert sorted(map(tuple, spark.sql(f"SELECT * FROM align_quotes({every})").select(*aligned.columns).collect())) == sorted(map(tuple, aligned.collect()))
+    assert spark.sql("SELECT * FROM mid_quotes()").count() == some_quotes(spark).count()
+    assert spark.sql(f"SELECT sum(1) FROM quote_candles({every})").first()[0] > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -61,7 +61,7 @@ def fit_gaps(hist: DataFrame, k: int = 1, by: tuple[str, ...] = ("cndl",)) -> Da
     shape = (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
     gamma = F.sqrt(shape * (shape * F.col("n") / (F.col("total") * 1e9)))
     r = lambda x, digits=6: F.round(x, digits)
-    return sums.select(*by, F.col("n").cast("long").alias("n"), F.lit(k).alias("erlang_shape"), r(F.col("n") * k / F.nullif("all", F.lit(0.0))).alias("erlang_rate"), r(gamma, 12).alias("gamma_shape"), r(F.col("n") / F.nullif("logs_ns", F.lit(0.0)), 9).alias("lomax_shape"))
+    return sums.select(*by, F.col("n").cast("long").alias("n"), F.lit(k).alias("erlang_shape"), r(F.col("n") * k / F.nullif("all", F.lit(0.0)), 12).alias("erlang_rate"), r(gamma, 12).alias("gamma_shape"), r(F.col("n") / F.nullif("logs_ns", F.lit(0.0)), 9).alias("lomax_shape"))
 
 
 def evt_poisson(events: DataFrame, base: str | int, every: str | int | None = None, by: list[str] | None = None) -> DataFrame:
@@ -101,3 +101,29 @@ def log_gamma(x: Column, shape: Column, rate: Column) -> Column:
 
 def log_lomax(x: Column, shape: Column, scale: Column) -> Column:
     return F.log(shape / scale) - (shape + 1) * F.log(1 + x / scale)
+
+
+def fitted_gaps(hist: DataFrame, k: int = 1, by: tuple[str, ...] = ("cndl",)) -> DataFrame:
+    """``hist`` with what each fitted law expects in a bin: its density at the bin's largest gap, scaled so that all bins of a
+    histogram add up to its count. Null where a bin has no gap above 0."""
+    fits = fit_gaps(hist, k, by)
+    rows = hist.join(fits, list(by)).withColumn("_x", F.when(F.col("hi") > 0, F.col("hi")))
+    laws = {
+        "erlang": F.log("erlang_rate") * k + F.log("_x") * (k - 1) - F.col("erlang_rate") * F.col("_x") - math.lgamma(k),
+        "gamma": log_gamma(F.col("_x"), F.col("gamma_shape"), F.col("gamma_shape")),
+        "lomax": log_lomax(F.col("_x") * 1e9, F.col("lomax_shape"), F.lit(1.0)),
+    }
+    return _scaled(rows, laws, F.col("n"), by).select(*hist.columns, *laws)
+
+
+def fitted_slots(counts: DataFrame, by: tuple[str, ...] = ("cndl",)) -> DataFrame:
+    """``counts`` with how many slots of k events the zero-inflated Poisson law expects."""
+    rows = counts.join(fit_zip(counts, by), list(by))
+    return rows.select(*counts.columns, F.round(F.col("n") * F.exp(log_zip(F.col("k"), F.col("rate"), F.col("extra"))), 6).alias("zip"))
+
+
+def _scaled(rows: DataFrame, laws: dict[str, Column], total: Column, by: tuple[str, ...]) -> DataFrame:
+    """Shares of the laws' densities in their sum over a histogram's bins, which are bounded, times the total."""
+    over = Window.partitionBy(*by)
+    dense = rows.withColumns({f"_{name}": F.exp(law) for name, law in laws.items()})
+    return dense.withColumns({name: F.round(total * F.col(f"_{name}") / F.sum(f"_{name}").over(over), 6) for name in laws})

@@ -99,11 +99,17 @@ QUERIES = {
     "candle_day": _one(lambda q: resample.candle(q, "1d")),
     "quodist": _one(lambda q: resample.quodist(q, "4h", places=2)),
     "quodist_fine": _one(lambda q: resample.quodist(q, None, res=2, places=2)),
+    "quodist_res1": _one(lambda q: resample.quodist(q, None, res=1, places=2)),
+    "quodist_res3": _one(lambda q: resample.quodist(q, None, res=3, places=2)),
+    "quodist_res4": _one(lambda q: resample.quodist(q, None, res=4, places=2)),
+    "quodist_res5": _one(lambda q: resample.quodist(q, None, res=5, places=2)),
     "quodist_time": _one(lambda q: resample.quodist(q, None, elapsed=True, places=2)),
     "quodist_table": _one(lambda q: resample.to_table(resample.quodist(q, "1d", places=2))),
     "evt_erlagg": _one(lambda q: events.evt_erlagg(q, "4h")),
     "evt_erlang": _one(lambda q: events.evt_erlang(q, None, k=2, by=["instr"])),
     "evt_erlang_fit": _one(lambda q: events.fit_gaps(events.evt_erlang(q, None, by=["instr"]), by=("cndl", "instr"))),
+    "evt_erlang_fitted": _one(lambda q: events.fitted_gaps(events.evt_erlang(q, None, by=["instr"]), by=("cndl", "instr"))),
+    "evt_poisson_fitted": _one(lambda q: events.fitted_slots(events.evt_poisson(q, "10m", by=["instr"]), by=("cndl", "instr"))),
     "evt_poisson": _one(lambda q: events.evt_poisson(q, "10m", by=["instr"])),
     "evt_poisson_fit": _one(lambda q: events.fit_zip(events.evt_poisson(q, "10m", by=["instr"]), by=("cndl", "instr"))),
     "loghist": lambda s, d: plain(resample.loghist(_lines(s, d), "v")),

@@ -162,6 +162,12 @@ _GAPS = f"{O}, g AS (SELECT instr, (t - lag(t) OVER (PARTITION BY instr ORDER BY
 _SLOTS = f"""{Q}, s AS (SELECT instr, t // {10 * MIN} AS slot, count(*) AS k FROM q GROUP BY 1, 2),
 c AS (SELECT instr, k, count(*) AS cnt FROM s GROUP BY 1, 2 UNION ALL SELECT * FROM (SELECT instr, 0, max(slot) - min(slot) + 1 - count(*) AS z FROM s GROUP BY 1) WHERE z > 0)"""
 
+_FITS = f"""{_GAPS.format(where='')}, s AS (SELECT instr, sum(cnt) AS n, sum(cnt * hi) AS every, sum(cnt * hi * 1e9) FILTER (bin > 0) AS su, sum(cnt * (ln(hi * 1e9) - ln(1e9))) FILTER (bin > 0) AS ls, sum(cnt * ln(hi * 1e9)) FILTER (bin > 0) AS sh FROM hist GROUP BY instr),
+f AS (SELECT *, ln(su) - ln(n) - ln(1e9) - ls / n AS s FROM s), k AS (SELECT *, (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) AS k FROM f),
+fits AS (SELECT 'ALL' AS cndl, instr, CAST(n AS BIGINT) AS n, 1 AS erlang_shape, round(n / every, 12) AS erlang_rate, round(k / sqrt(k / (n * k / su)), 12) AS gamma_shape, round(n / sh, 9) AS lomax_shape FROM k)"""
+_ZIP = f"""{_SLOTS}, m AS (SELECT instr, CAST(sum(cnt) AS BIGINT) AS n, sum(k * cnt) / sum(cnt) AS mean, coalesce(sum(cnt) FILTER (k = 0), 0) / sum(cnt) AS z FROM c GROUP BY instr),
+r AS (SELECT *, CAST(2 AS DOUBLE) AS rate, 0 AS i FROM m UNION ALL SELECT instr, n, mean, z, mean * (1 - exp(-rate)) / (1 - z), i + 1 FROM r WHERE i < 10)"""
+
 ORACLES = {
     "align": _align(10 * MIN),
     "align_offset": _align(30 * MIN, -90 * 10**9),
@@ -206,18 +212,25 @@ SELECT instr, t, CASE WHEN px IS NULL THEN 'REJ' ELSE 'EXE' END AS verb, CAST(qt
     "candle_day": _candle(DAYS, "strftime(make_timestamp((edge // 1000000000 - 1) * 1000000), '%Y-%m-%d')"),
     "quodist": _quodist(4 * HOUR),
     "quodist_fine": _quodist(None, bits=9),
+    "quodist_res1": _quodist(None, bits=5),
+    "quodist_res3": _quodist(None, bits=13),
+    "quodist_res4": _quodist(None, bits=17),
+    "quodist_res5": _quodist(None, bits=21),
     "quodist_time": _quodist(None, elapsed=True),
     "quodist_table": f"""WITH long AS ({_quodist(None, day=True)})
 SELECT cndl, instr, dimen, 'n' AS metric, CAST(cnt AS DOUBLE) AS v0 FROM long UNION ALL SELECT cndl, instr, dimen, 'L', lo FROM long UNION ALL SELECT cndl, instr, dimen, 'H', hi FROM long""",
     "evt_erlagg": f"""WITH RECURSIVE {Q}, {_windows(4 * HOUR, "")}, g AS (SELECT edge, (t - lag(t) OVER (ORDER BY t, seq)) / 1e9 AS gap FROM w)
 SELECT {STAMP} AS cndl, round(sum(1 / nullif(gap, 0)), 6) AS erlagg, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY edge""",
     "evt_erlang": f"WITH {_GAPS.format(where=' WHERE (rn - 1) % 2 = 0')} SELECT 'ALL' AS cndl, instr, bin, lo, hi, cnt FROM hist",
-    "evt_erlang_fit": f"""WITH {_GAPS.format(where='')}, s AS (SELECT instr, sum(cnt) AS n, sum(cnt * hi) AS every, sum(cnt * hi * 1e9) FILTER (bin > 0) AS su, sum(cnt * (ln(hi * 1e9) - ln(1e9))) FILTER (bin > 0) AS ls, sum(cnt * ln(hi * 1e9)) FILTER (bin > 0) AS sh FROM hist GROUP BY instr),
-f AS (SELECT *, ln(su) - ln(n) - ln(1e9) - ls / n AS s FROM s), k AS (SELECT *, (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) AS k FROM f)
-SELECT 'ALL' AS cndl, instr, CAST(n AS BIGINT) AS n, 1 AS erlang_shape, round(n / every, 6) AS erlang_rate, round(k / sqrt(k / (n * k / su)), 12) AS gamma_shape, round(n / sh, 9) AS lomax_shape FROM k""",
+    "evt_erlang_fit": f"WITH {_FITS} SELECT * FROM fits",
+    "evt_erlang_fitted": f"""WITH {_FITS}, d AS (SELECT hist.*, n, exp(ln(erlang_rate) - erlang_rate * hi) AS e, exp(gamma_shape * ln(gamma_shape) + (gamma_shape - 1) * ln(hi) - gamma_shape * hi - lgamma(gamma_shape)) AS g,
+  exp(ln(lomax_shape) - (lomax_shape + 1) * ln(1 + hi * 1e9)) AS l FROM (SELECT instr, bin, lo, hi, cnt FROM hist) hist JOIN fits USING (instr) WHERE hi > 0)
+SELECT 'ALL' AS cndl, hist.instr, hist.bin, hist.lo, hist.hi, hist.cnt, round(n * e / sum(e) OVER p, 6) AS erlang, round(n * g / sum(g) OVER p, 6) AS gamma, round(n * l / sum(l) OVER p, 6) AS lomax
+FROM hist LEFT JOIN d ON d.instr = hist.instr AND d.bin = hist.bin WINDOW p AS (PARTITION BY hist.instr)""",
+    "evt_poisson_fitted": f"""WITH RECURSIVE {_ZIP}, z AS (SELECT instr, n, round(rate, 6) AS rate, round(1 - mean / rate, 6) AS extra FROM r WHERE i = 10)
+SELECT 'ALL' AS cndl, instr, k, cnt, round(n * CASE WHEN k = 0 THEN extra + (1 - extra) * exp(-rate) ELSE exp(ln(1 - extra) + k * ln(rate) - rate - lgamma(CAST(k + 1 AS DOUBLE))) END, 6) AS zip FROM c JOIN z USING (instr)""",
     "evt_poisson": f"WITH {_SLOTS} SELECT 'ALL' AS cndl, instr, k, cnt FROM c",
-    "evt_poisson_fit": f"""WITH RECURSIVE {_SLOTS}, m AS (SELECT instr, CAST(sum(cnt) AS BIGINT) AS n, sum(k * cnt) / sum(cnt) AS mean, coalesce(sum(cnt) FILTER (k = 0), 0) / sum(cnt) AS z FROM c GROUP BY instr),
-r AS (SELECT *, CAST(2 AS DOUBLE) AS rate, 0 AS i FROM m UNION ALL SELECT instr, n, mean, z, mean * (1 - exp(-rate)) / (1 - z), i + 1 FROM r WHERE i < 10)
+    "evt_poisson_fit": f"""WITH RECURSIVE {_ZIP}
 SELECT 'ALL' AS cndl, instr, n, round(mean, 6) AS mean, round(rate, 6) AS rate, round(1 - mean / rate, 6) AS extra FROM r WHERE i = 10""",
     "loghist": f"WITH {LINES}, b AS (SELECT v, CAST(len(bin(CAST(floor(v) AS BIGINT) + 1)) - 1 AS BIGINT) AS bin FROM l WHERE v > 0) SELECT bin, min(v) AS lo, max(v) AS hi, count(*) AS cnt FROM b GROUP BY bin",
     "loghist_sums": f"""WITH {O}, g AS (SELECT instr, sum(bid) AS v, count(*) AS k FROM o GROUP BY instr, (rn - 1) // 3)

@@ -1,4 +1,4 @@
-"""SQL access: scalar functions, and the tick tables as views."""
+"""SQL access: scalar functions, table functions over the view ``quotes``, and the tick tables as views."""
 
 from __future__ import annotations
 
@@ -15,6 +15,23 @@ FUNCTIONS = {
 }
 
 
+#: Bodies over the view quotes (t, seq, instr, bid, ask, bsz, asz); widths are BIGINT nanoseconds. Call tables() once it exists.
+TABLES = {
+    "align_quotes(every BIGINT)": """SELECT ((t - 1 - pmod(t - 1, every)) div every + 1) * every AS t, instr, x.seq, x.bid, x.ask, x.bsz, x.asz
+        FROM (SELECT max(t) AS last, instr, ((t - 1 - pmod(t - 1, every)) div every + 1) * every AS t, max_by(struct(seq, bid, ask, bsz, asz), struct(t, seq)) AS x
+        FROM quotes GROUP BY instr, ((t - 1 - pmod(t - 1, every)) div every + 1) * every)""",
+    "mid_quotes()": "SELECT t, seq, instr, cast(bid + ask as double) / 2 AS mid, cast(ask - bid as double) AS spread FROM quotes",
+    "quote_candles(every BIGINT)": """SELECT (t div every + 1) * every AS edge, instr, min(t) AS first, max(t) AS last, min(ask) AS minask, max(bid) AS maxbid,
+        min(ask - bid) AS minspr, max(ask - bid) AS maxspr, max(bsz) AS maxbsz, max(asz) AS maxasz FROM quotes GROUP BY instr, (t div every + 1) * every""",
+}
+
+
+def tables(spark: SparkSession) -> None:
+    """Makes the table functions known to the session's SQL: SELECT * FROM align_quotes(2000000000)."""
+    for head, body in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS TABLE RETURN {body}")
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL."""
     for head, (kind, body) in FUNCTIONS.items():
