@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.timeunits import duration
@@ -17,10 +17,22 @@ def mean_of_rate(rate: str) -> float:
     return duration(f"1{unit}") / 1e9 / float(n)
 
 
+def onward_shares(fl: float = 1, fs: float = 1, lf: float = 1, ls: float = 1, sf: float = 1, sl: float = 1) -> tuple[float, float, float]:
+    """The share of each state's turns that go to the next one, from the rates between flat, long and short."""
+    return fl / (fl + fs), ls / (lf + ls), sf / (sf + sl)
+
+
+def draw(seed: int, name: str) -> Column:
+    """A number from 0 to below 1 for each ``id``, the same wherever the row is computed: 52 bits of a digest."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(name), F.col("id").cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
 def gentrades(spark: SparkSession, n: int, means: tuple[float, float, float] = (60.0, 60.0, 60.0), onward: tuple[float, float, float] = (0.5, 0.5, 0.5), seed: int = 1, streams: int = 1) -> DataFrame:
     """stream, seq, t, side: ``n`` trades of each stream, starting at 0. A state is held for an exponential time of its mean
-    (seconds, cut to milliseconds); with its share of ``onward`` the next state in the cycle follows, else the one after."""
-    dice = spark.range(n * streams).select((F.col("id") % streams).alias("stream"), F.col("id").alias("seq"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"), F.lit(0).alias("t"))
+    (seconds, cut to milliseconds); with its share of ``onward`` the next state in the cycle follows, else the one after
+    (``onward_shares`` has them from six rates). Streams are reproducible from the seed."""
+    dice = spark.range(n * streams).select((F.col("id") % streams).alias("stream"), F.col("id").alias("seq"), draw(seed, "wait").alias("u"), draw(seed, "turn").alias("v"), F.lit(0).alias("t"))
 
     def start() -> dict:
         return {"state": 0, "t": 0}
@@ -30,4 +42,4 @@ def gentrades(spark: SparkSession, n: int, means: tuple[float, float, float] = (
         s["t"] += int(wait * means[s["state"]] * 1000) * 10**6
         s["state"] = (s["state"] + (1 if turn < onward[s["state"]] else 2)) % 3
 
-    return fold(dice.withColumn("w", -F.log1p(-F.col("u"))), ["stream"], ["w", "v"], "t long, side string", start, step, keep=["seq"], order=("seq",))
+    return fold(dice.withColumn("w", -F.log(1 - F.col("u"))), ["stream"], ["w", "v"], "t long, side string", start, step, keep=["seq"], order=("seq",))
