@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timeunits import duration
-from tickspark.operators.running import previous
+from tickspark.operators.running import last_known, previous, running_sum
 
 KIND = "decimal(38,12)"
 
@@ -17,12 +17,11 @@ def _kept(accounts: DataFrame, execs: DataFrame | None, gross: int, by: list[str
     rows = accounts.select(*by, "t", "seq", "base", F.col("term").cast("decimal(28,7)").alias("term"), comm.alias("comm"))
     if gross > 1 and execs is not None:
         paid = F.abs(F.col("qty")) * F.col("spread") / 2
-        sums = Window.partitionBy(*by).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
-        costs = execs.select(*by, "t", "seq", F.sum(F.coalesce(paid, F.lit(0))).over(sums).cast(KIND).alias("sprd"))
-        both = rows.withColumn("sprd", F.lit(None).cast(KIND)).withColumn("_acc", F.lit(True)).unionByName(costs, allowMissingColumns=True)
-        # an execution comes before the account of the same time and number (its null mark sorts first)
-        run = Window.partitionBy(*by).orderBy("t", "seq", "_acc").rowsBetween(Window.unboundedPreceding, 0)
-        rows = both.withColumn("sprd", F.coalesce(F.last("sprd", ignorenulls=True).over(run), F.lit(0).cast(KIND))).where("_acc").drop("_acc")
+        costs = running_sum(execs, "_paid", F.coalesce(paid, F.lit(0)), by).select(*by, "t", "seq", F.col("_paid").cast(KIND).alias("_cost"), F.lit(0).alias("_acc"))
+        both = rows.withColumn("_acc", F.lit(1)).unionByName(costs, allowMissingColumns=True)
+        # an execution comes before the account of the same time and number
+        known = last_known(both, {"sprd": F.col("_cost")}, by, order=("t", "seq", "_acc")).where("_acc = 1")
+        rows = known.withColumn("sprd", F.coalesce("sprd", F.lit(0).cast(KIND))).drop("_acc", "_cost")
     else:
         rows = rows.withColumn("sprd", F.lit(0).cast(KIND))
     before = previous(rows, {"_base": "base"}, by)

@@ -47,14 +47,26 @@ def extremes_before(df: DataFrame, low: dict[str, str], high: dict[str, str], by
     return seen.join(carried, keys).select(*df.columns, *(two(f"_in_{n}", f"_from_{n}").alias(n) for _, two, n, _ in kinds))
 
 
-def running_sum(df: DataFrame, name: str, value: Column, by: list[str], every: str | int = SLICE) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` over all rows so far in ``by``: within the slice, plus the slices before."""
+def running_sums(df: DataFrame, values: dict[str, Column], by: list[str], every: str | int = SLICE) -> DataFrame:
+    """``df`` with, for each name, the sum of its value over all rows so far in ``by``: within the slice, plus the slices before."""
     keys = [*by, "_slice"]
-    cut = df.withColumn("_slice", whole(F.col("t"), duration(every))).withColumn("_value", value)
-    inside = F.sum("_value").over(Window.partitionBy(*keys).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    cut = df.withColumn("_slice", whole(F.col("t"), duration(every))).withColumns({f"_value_{n}": v for n, v in values.items()})
+    inside = Window.partitionBy(*keys).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
     over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy(*keys).agg(F.sum("_value").alias("_all")).select(*keys, F.sum("_all").over(over).alias("_before"))
-    return cut.withColumn("_in", inside).join(before, keys).select(*df.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).alias(name))
+    before = cut.groupBy(*keys).agg(*(F.sum(f"_value_{n}").alias(f"_all_{n}") for n in values)).select(*keys, *(F.sum(f"_all_{n}").over(over).alias(f"_before_{n}") for n in values))
+    seen = cut.select("*", *(F.sum(f"_value_{n}").over(inside).alias(f"_in_{n}") for n in values))
+    return seen.join(before, keys).select(*df.columns, *((F.col(f"_in_{n}") + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in values))
+
+
+def running_sum(df: DataFrame, name: str, value: Column, by: list[str], every: str | int = SLICE) -> DataFrame:
+    return running_sums(df, {name: value}, by, every)
+
+
+def following(df: DataFrame, columns: dict[str, str], by: list[str], every: str | int = SLICE) -> DataFrame:
+    """``df`` with the columns of the row after: the row before in reversed time."""
+    turned = lambda d: d.withColumns({"t": -F.col("t"), "seq": -F.col("seq")})
+    kept = {f"_kept_{n}": F.col(c) for n, c in columns.items()}  # their own values, as t and seq are turned
+    return turned(previous(turned(df.withColumns(kept)), {n: f"_kept_{n}" for n in columns}, by, every)).drop(*kept)
 
 
 def overlapping(df: DataFrame, back: int, every: str | int = SLICE) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.operators import accounts, combine, events, execution, folds, generate, resample, smooth, transforms
+from tickspark.operators.running import running_sums
 from tickspark.plans.oracles import ORACLES
 from tickspark.sources import ticks
 
@@ -33,10 +34,10 @@ def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts after each LONG or SHORT order, at one unit, the order's own quote and a cent of commission each."""
     q = quotes(spark, sf_dir).where("seq % 25 = 0")
     side = F.when(F.col("seq") % 50 == 0, 1).otherwise(-1)
-    run = Window.partitionBy("instr").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
     cash = -side * F.when(side > 0, F.col("ask")).otherwise(F.col("bid"))
     kind = "decimal(28,7)"
-    return q.select("t", "seq", "instr", F.sum(side).over(run).cast(kind).alias("base"), F.sum(cash).over(run).cast(kind).alias("term"), F.lit(0).cast(kind).alias("comb"), (F.count(F.lit(1)).over(run) * F.lit("-0.01").cast("decimal(4,2)")).cast(kind).alias("comt"))
+    sums = running_sums(q, {"base": side, "term": cash, "comt": F.lit("-0.01").cast("decimal(4,2)")}, ["instr"])
+    return sums.select("t", "seq", "instr", F.col("base").cast(kind).alias("base"), F.col("term").cast(kind).alias("term"), F.lit(0).cast(kind).alias("comb"), F.col("comt").cast(kind).alias("comt"))
 
 
 def exec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
