@@ -107,7 +107,7 @@ def unpacked(column) -> list[np.ndarray]:
     return [np.frombuffer(c, np.int16).astype(np.int64) for c in column.to_pylist()]
 
 
-def nnpu_steps(theta: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 50, rate: float = 0.03, batch: int = 2048, decay: float = 2e-4, seed: int = 3) -> np.ndarray:
+def nnpu_steps(theta: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 100, rate: float = 0.03, batch: int = 2048, decay: float = 2e-4, seed: int = 3) -> np.ndarray:
     """Weights and intercept after passes over the unlabelled rows in mini-batches, ``least`` of them at the least, each with
     its share of positives: the non-negative risk with the logistic loss, by Adam."""
     rng, width = np.random.default_rng(seed), len(theta) - 1
