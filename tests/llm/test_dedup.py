@@ -153,6 +153,37 @@ def test_lines_that_differ_behind_the_ninth_character_of_a_word(spark):
     assert {r.doc_id for r in found if r.n_dropped} == set(range(36, 72))
 
 
+def test_lines_against_all_pairs(spark):
+    rng = random.Random(11)
+    kinds = ["abcdefghijklmnopqrstuvwxyz    ", "的一是在不了有和人这中大为上个国我以要他时来用们", "abcdefghijklmnopqrstuvwxyz0123456789/-", "abcdefghijklmnopqrstuvwxyz"]
+    lines = []
+    for k in range(80):
+        own = kinds[k % 4]
+        base = ["https://example.org/" if k % 4 == 2 else ""] + [rng.choice(own) for _ in range(rng.randrange(20, 160))]
+        for _ in range(4):
+            made = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                made[rng.randrange(1, len(made))] = rng.choice(own)
+            lines.append("".join(made).strip())
+    width = line_dedup.SHINGLE
+    sets = [frozenset(x[i : i + width] for i in range(max(1, len(x) - width + 1))) for x in lines]
+    label = list(range(len(lines)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    want = {i for i in range(len(lines)) if root(i) != i}
+    found = {r.doc_id for r in line_dedup.dedup_lines(docs_of(spark, lines)).collect() if r.n_dropped}
+    assert found <= want and len(found) >= 0.95 * len(want) and len(want) > 60
+
+
 def test_near_copies_of_lines_beside_their_buckets_leaders(spark):
     rng = random.Random(5)
     texts, template = [], "this half of the line is what a template prints into every line of the table:"

@@ -1,22 +1,30 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
-A line's set holds its character shingles: nine characters from each of its characters on (lower-cased, ends trimmed). Every distinct line gets a signature of minima of its hashed shingles under ``ROWS * bands``
-permutations; ROWS minima make a band, lines with equal minima a bucket. Lines are compared with their buckets' two leaders,
-by exact Jaccard similarity of their sets; similar pairs are joined into components by distributed union-find; then all
-pairs of a bucket that still lie in two components are compared, so that components come out as if all pairs of all buckets
-had been. Of each component, exact copies included, the first line (smallest identifier, then line number) stays and all
-others go.
+A line's set holds its character shingles: SHINGLE characters (UTF-16 units) from each of its characters on, lower-cased,
+ends trimmed. Every distinct line gets a signature of ROWS * bands minima of its hashed shingles: the shingles are dealt to
+CLASSES by their hash, and a minimum is taken in one class under one of several orders (an empty class borrows from the
+next), which costs a fraction of minima over the whole set. ROWS minima make a band, lines with equal minima a bucket.
+Lines are compared with their buckets' two leaders, by exact Jaccard similarity of their sets; similar pairs are joined into
+components by distributed union-find; then all pairs of a bucket that still lie in two components are compared, so that
+components come out as if all pairs of all buckets had been. Of each component, exact copies included, the first line
+(smallest identifier, then line number) stays and all others go.
 
 A similar pair meets in a band with probability 1 - (1 - s ** ROWS) ** bands: 0.996 at s = 0.75, 0.9992 at 0.8 and 0.999998
-at 0.9, as the defaults stand. A distinct line is named by a 64-bit hash.
+at 0.9, as the defaults stand (a little less for lines of under 20 characters). Before their sets are compared, bitmaps of the
+two lines' shingles bound the sets' distance from below, which loses nothing and tells short lines apart; and two lines of LONG
+or more shingles must agree in AGREED minima: at s = 0.75 some 22 of 30 agree, and fewer than AGREED with a chance of 3 in
+10,000. A distinct line is named by a 64-bit hash.
 
 Edge cases: a null or empty text has one empty line; blank lines always stay; a line shorter than a shingle has one
-shingle; rows that share an identifier share the decisions of their line numbers, so repeated rows stay equal; lines of rows with a null
-identifier never go; an empty table gives no rows; other columns are ignored.
+shingle; a very long line is one set like any other; rows that share an identifier share the decisions of their line
+numbers, so repeated rows stay equal; lines of rows with a null identifier never go; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +32,14 @@ from tickspark.llm.components import components
 from tickspark.llm.exact_dedup import filter_position, filter_word, filters, has_bit
 from tickspark.llm.spill import cut
 
-SHINGLE, CHUNK = 9, 64
+SHINGLE = 8
 ROWS, BANDS = 3, 10  # no more than 16 bands
+#: Classes of shingles, and by how many bits one order's hash is shifted against the next.
+CLASSES, SHIFT = 8, 12
+#: Shingles from which on a line's minima are compared before its set, and how many of them must agree.
+LONG, AGREED = 64, 14
+#: Minima, a byte of each, in a word of the sketch that is compared.
+PACKED = 6
 #: Lines outside a bucket's largest component that one task compares with the bucket.
 SALTED = 1024
 #: Similarity at which lines count as near copies, as a fraction.
@@ -40,36 +54,55 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "at", F.lower(F.trim("line")).alias("norm")).select("doc_id", "at", F.xxhash64("norm").alias("key"), "norm")
 
 
-def chunks(norm: Column) -> Column:
-    """Overlapping parts of a normalised line, each with the shingles that start in its first CHUNK characters: finding a
-    place in a part takes bounded time."""
-    padded = F.when(F.length(norm) < SHINGLE, F.rpad(norm, SHINGLE, " ")).otherwise(norm)
-    parts = F.regexp_extract_all(padded, F.lit(rf"(?s)(?=(.{{1,{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
-    return F.filter(parts, lambda c: F.length(c) >= SHINGLE)
+def wide(norm: Column) -> Column:
+    """A normalised line as two bytes a character, no shorter than a shingle: any place in it is found at once."""
+    return F.encode(F.when(F.length(norm) < SHINGLE, F.rpad(norm, SHINGLE, " ")).otherwise(norm), "UTF-16BE")
+
+
+def places(line: Column) -> Column:
+    return F.sequence(F.lit(1), F.octet_length(line) - (2 * SHINGLE - 1), F.lit(2))
 
 
-def places(chunk: Column) -> Column:
-    return F.sequence(F.lit(1), F.length(chunk) - (SHINGLE - 1))
+def shingle(line: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(line, at, F.lit(2 * SHINGLE)))
 
 
 def shingles(norm: Column) -> Column:
     """The 64-bit hashes of the shingles of a normalised line, not yet distinct."""
-    return F.flatten(F.transform(chunks(norm), lambda c: F.transform(places(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE))))))
+    # the array of one names the encoded line, which would else be made anew for each shingle
+    every = F.transform(F.array(wide(norm)), lambda line: F.transform(places(line), lambda i: shingle(line, i)))
+    return F.element_at(every, 1)
 
 
 def signatures(rows: DataFrame, bands: int) -> DataFrame:
-    """(key, m0, m1, ...): the minima of each distinct line."""
-    parts = rows.select("key", F.explode(chunks(F.col("norm"))).alias("part"))
-    hashed = parts.select("key", "part", F.explode(places(F.col("part"))).alias("i")).select("key", F.hash(F.substring("part", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    return hashed.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(F.hash(F.lit(i), F.lit("order")))).alias(f"m{i}") for i in range(ROWS * bands)))
+    """(key, size, buckets, held0, held1, s0, s1, ...): of each distinct line its number of shingles (repeated ones too), a
+    bucket for each band, whose low bits number the band, a bitmap of its shingles for either half of the classes, and a byte
+    of each minimum. Minima have 24 bits."""
+    made = rows.select("key", wide(F.col("norm")).alias("line"))
+    hashed = made.select("key", "line", F.explode(places(F.col("line"))).alias("i")).select("key", F.octet_length("line").alias("size"), shingle(F.col("line"), F.col("i")).alias("h"))
+    hashed = hashed.withColumn("class", F.col("h").bitwiseAND(F.lit(CLASSES - 1).cast("long")).cast("int"))
+    orders = -(-ROWS * bands // CLASSES)
+    # the filter of an aggregate is what keeps the other classes' minima untouched
+    least = [F.expr(f"min(cast(shiftrightunsigned(shiftleft(h, {SHIFT * j}), 40) as int)) FILTER (WHERE class = {c})").alias(f"l{j}_{c}") for j in range(orders) for c in range(CLASSES)]
+    own = [F.coalesce(*(F.col(f"l{i // CLASSES}_{(i + k) % CLASSES}") for k in range(CLASSES))) for i in range(ROWS * bands)]
+    held = [F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))) FILTER (WHERE class {side} {CLASSES // 2})").alias(f"held{i}") for i, side in enumerate(("<", ">="))]
+    minima = hashed.groupBy("key").agg((F.max("size") / 2 - (SHINGLE - 1)).cast("int").alias("size"), *held, *least)
+    minima = minima.select("key", "size", *(F.coalesce(f"held{i}", F.lit(0).cast("long")).alias(f"held{i}") for i in range(2)), *(m.alias(f"m{i}") for i, m in enumerate(own)))
+    met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
+    byte = lambda i, k: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * k)
+    words = [reduce(Column.bitwiseOR, (byte(i, k) for k, i in enumerate(range(at, min(at + PACKED, ROWS * bands))))) for at in range(0, ROWS * bands, PACKED)]
+    return minima.select("key", "size", "held0", "held1", F.array(*met).alias("buckets"), *(w.alias(f"s{i}") for i, w in enumerate(words)))
 
 
-def members(signed: DataFrame, bands: int, filter_bits: int) -> DataFrame:
-    """(bucket, key, low, high): the lines of each bucket that holds several, and its two leaders, the first and last name.
-    A bucket's low bits number its band."""
-    met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
-    rows = signed.select("key", F.explode(F.array(*met)).alias("bucket"))
-    leaders = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+def sketched(signed: DataFrame) -> list[str]:
+    """The columns that ``may_be_similar`` takes."""
+    return ["size", "held0", "held1", *(c for c in signed.columns if c[0] == "s" and c[1:].isdigit())]
+
+
+def members(signed: DataFrame, filter_bits: int) -> DataFrame:
+    """(bucket, key, low, high): the lines of each bucket that holds several, and its two leaders, the first and last name."""
+    rows = signed.select("key", F.explode("buckets").alias("bucket"))
+    leaders = cut(rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high"))
     return held_by(rows, leaders.select(F.col("bucket").alias("digest")), F.col("bucket"), filter_bits).join(leaders, "bucket")
 
 
@@ -79,23 +112,24 @@ def led(met: DataFrame) -> DataFrame:
     return both.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
-def crossed(met: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """All other pairs (a, b) of a bucket that still lie in two components and whose sizes are close enough, each once.
+def crossed(met: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """All other pairs (a, b) of a bucket that still lie in two components and may be similar, each once.
 
     Leaders have been compared with all. Of the others those outside the bucket's largest component meet all; large
-    buckets are dealt by salt.
+    buckets are dealt by salt. Minima are compared within the join, so that pairs of unlike lines don't come out of it.
     """
     rest = met.where("key <> low and key <> high").select("bucket", "key").join(labels, F.col("key") == F.col("node"), "left")
     rest = rest.select("bucket", "key", F.coalesce("component", "key").alias("label"))
     sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     main = main.select("bucket", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.k")) / SALTED).cast("int").alias("salts"))
-    rows = rest.join(main, "bucket").join(texts.select("key", "n"), "key")
-    named = lambda df, x: df.select("bucket", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "n")))
+    sketch = sketched(signed)
+    rows = rest.join(main, "bucket").join(signed.select("key", *sketch), "key")
+    named = lambda df, x: df.select("bucket", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", *sketch)))
     left = named(rows.where("label <> main").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")), "x")
     right = named(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "y")
-    both = left.join(right, ["bucket", "salt"]).where("x_label <> y_label").where(may_be_similar(F.col("x_n"), F.col("y_n")))
-    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+    on = (left.bucket == right.bucket) & (left.salt == right.salt) & (F.col("x_label") != F.col("y_label")) & may_be_similar("x", "y", sketch)
+    return left.join(right, on).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def marked(rows: DataFrame, digests: DataFrame, value: Column, filter_bits: int) -> DataFrame:
@@ -111,32 +145,52 @@ def held_by(rows: DataFrame, digests: DataFrame, value: Column, filter_bits: int
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
-    """(key, norm, n): the wanted lines and their numbers of distinct shingles. A bitmap filter of fixed size keeps other lines from the shuffle."""
+    """(key, norm): the wanted lines. A bitmap filter of fixed size keeps other lines from the shuffle."""
     rows = held_by(lines(docs), wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)
     # aggregated before the join, so that a frequent line is one row of each task
-    one = rows.groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key")
-    return one.select("key", "norm", F.size(F.array_distinct(shingles(F.col("norm")))).alias("n"))
+    return rows.groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key")
+
+
+def may_be_similar(x: str, y: str, sketch: list[str]) -> Column:
+    """Whether the sketches of two lines (columns of these beginnings) allow for the threshold."""
+    ones = int("7f" * 7, 16)
 
+    def equal_bytes(word: str) -> Column:
+        """How many of the seven low bytes are equal: those of the difference that carry nothing into their high bit."""
+        apart = F.col(f"{x}_{word}").bitwiseXOR(F.col(f"{y}_{word}"))
+        return F.bit_count(F.bitwise_not((apart.bitwiseAND(F.lit(ones)) + F.lit(ones)).bitwiseOR(apart).bitwiseOR(F.lit(ones)))) - 8  # the bits of the eighth byte
 
-def may_be_similar(n: Column, m: Column) -> Column:
-    """Whether sets of so many shingles can reach the threshold."""
-    return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
+    words = sketch[3:]
+    unused = PACKED * len(words) - ROWS * BANDS
+    agreed = reduce(Column.__add__, (equal_bytes(w) - (7 - PACKED) for w in words)) - unused
+    # a bit that one of them lacks is a shingle that one of them lacks
+    apart = F.bit_count(F.col(f"{x}_held0").bitwiseXOR(F.col(f"{y}_held0"))) + F.bit_count(F.col(f"{x}_held1").bitwiseXOR(F.col(f"{y}_held1")))
+    close = (OVER + UNDER) * apart <= (UNDER - OVER) * (F.col(f"{x}_size") + F.col(f"{y}_size"))
+    return close & ((F.least(f"{x}_size", f"{y}_size") < LONG) | (agreed >= AGREED))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold. Sets are made of the texts here: they are many times larger."""
-    side = lambda x: texts.select(F.col("key").alias(x), F.col("norm").alias(f"{x}_norm"), F.col("n").alias(f"{x}_n"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_similar(F.col("a_n"), F.col("b_n")))
-    return both.where((OVER + UNDER) * F.size(F.array_intersect(shingles(F.col("a_norm")), shingles(F.col("b_norm")))) >= OVER * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    sketch = sketched(signed)
+    side = lambda df, x, *also: df.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in also))
+    near = pairs.join(side(signed, "a", *sketch), "a").join(side(signed, "b", *sketch), "b").where(may_be_similar("a", "b", sketch))
+    both = near.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("most")).join(side(texts, "a", "norm"), "a").join(side(texts, "b", "norm"), "b")
+    sets = both.select("a", "b", "most", shingles(F.col("a_norm")).alias("x"), shingles(F.col("b_norm")).alias("y"))
+    enough = lambda met, total: (OVER + UNDER) * met >= OVER * total
+    # shingles that a line repeats are looked for only where they could decide
+    met, distinct = F.size(F.array_intersect("x", "y")), F.size(F.array_distinct("x")) + F.size(F.array_distinct("y"))
+    # written as it is told: a filter on it would make the sets once more for each place that names them
+    return cut(sets.select("a", "b", (enough(met, F.col("most")) | enough(met, distinct)).alias("similar"))).where("similar").select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) -> DataFrame:
     """(doc_id, at, component): every line that goes, and the smallest name of a line in its component."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    met = cut(members(signatures(lines(docs), bands), bands, filter_bits))
+    signed = cut(signatures(lines(docs), bands))
+    met = cut(members(signed, filter_bits))
     texts = cut(texts_of(docs, met.select("key").distinct(), filter_bits))
-    labels = cut(components(similar(led(met), texts)))
-    more = similar(cut(crossed(met, labels, texts)), texts)
+    labels = cut(components(similar(led(met), signed, texts)))
+    more = similar(cut(crossed(met, labels, signed)), signed, texts)
     joined = cut(components(more.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
     found = cut(lines(docs).select("doc_id", "at", "key"))
     total = found.count()
