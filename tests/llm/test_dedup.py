@@ -241,6 +241,13 @@ def test_repeated_strings_equal_a_lookup(spark, seed, hot):
     assert {r.doc_id: tuple(r)[1:] for r in found} == dict(enumerate(cut_repeats(texts, 60)))
 
 
+def test_query_equals_a_lookup_of_every_400_bytes(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    want = dict(zip((r.doc_id for r in rows), cut_repeats([r.text for r in rows], 400), strict=True))
+    found = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.op9_suffix_dedup(spark, DATA).collect()}
+    assert found == want and any(v[1] for v in want.values())
+
+
 def test_deep_shallow_order_is_sorted():
     rng = np.random.default_rng(5)
     texts = rng.integers(1, 3, (300, 48), dtype=np.uint8)
