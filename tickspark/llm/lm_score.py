@@ -84,7 +84,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
             value = np.where(tri, c[3] / before[2], np.where(first | second, 1.0, alpha) * low)
         n = table.num_rows
         many = lambda of: np.bincount(row[of], minlength=n)
-        made = (np.bincount(row, minlength=n), np.bincount(row, np.log(value), n), many(tri), many(bi & ~tri), many(~bi & ~tri))
+        made = (np.bincount(row, minlength=n), np.bincount(row, np.log(value), n).astype(np.float64), many(tri), many(bi & ~tri), many(~bi & ~tri))
         return pa.table([table.column("doc_id"), *(pa.array(m) for m in made)], ["doc_id", "n_words", "log_prob", "n_tri", "n_bi", "n_uni"])
 
     return texts.cogroup(counts.groupBy("block")).applyInArrow(add, SCORES)

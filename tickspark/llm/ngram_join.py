@@ -80,7 +80,7 @@ def _represented(texts: pa.Table, wanted: set[tuple[int, int, int]]) -> Iterator
     ids, left = texts.column("doc_id").to_pylist(), set(wanted)
     named = {w[0] for w in wanted}
     at = [i for i, d in enumerate(ids) if d in named]
-    data, offsets = raw(texts.column("text").take(at))
+    data, offsets = raw(texts.column("text").take(pa.array(at, pa.int64())))
     for i, shingles in zip(at, shingle_sets(data, offsets), strict=True):
         key = (ids[i], *digest(shingles))
         if key in left:

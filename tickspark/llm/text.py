@@ -34,7 +34,7 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("pow", ())) < n:
+    if "pow" not in _tables or len(_tables["pow"]) < n:
         size = max(n, 1 << 20)
         for name, base in (("pow", _MULTIPLIER), ("inv", pow(_MULTIPLIER, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
