@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickspark.llm import decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, source_audit, suffix_dedup, toxicity
+from tickspark.llm import decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, packing, quality, ranked_search, secret_scan, source_audit, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-ORACLES = {**exact_dedup.ORACLE, **decontaminate.ORACLE, **lm_score.ORACLE, **source_audit.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **decontaminate.ORACLE, **lm_score.ORACLE, **source_audit.ORACLE, **ranked_search.ORACLE}
