@@ -56,12 +56,16 @@ def align_files(sources: list[DataFrame], columns: list[str], every: str | int,
     return align_multi(every_row, [f"s{i}" for i in range(len(sources))], columns, every, offset, column="_source")
 
 
-def window_edges(df: DataFrame, every: str | int | None, by: list[str] = BY) -> DataFrame:
+#: Window cells in a slice: as many rows as one task orders.
+CELLS = 100_000
+
+
+def window_edges(df: DataFrame, every: str | int | None, by: list[str] = BY, cells: int = CELLS) -> DataFrame:
     """``df`` with ``edge``, the upper edge of the window that each row falls in.
 
     A row beyond the open window opens one that ends at the next edge after it; so a row on an edge ends the window that is
     open, or else starts the next one. Along cells that hold rows on their lower edge only, membership alternates: that is
-    worked out on one row for each cell, and joined back.
+    worked out on one row for each cell, in slices of so many ``cells``, and joined back.
     """
     if every is None:
         return df.withColumn("edge", F.lit(0).cast("long"))
@@ -69,16 +73,40 @@ def window_edges(df: DataFrame, every: str | int | None, by: list[str] = BY) ->
         return _calendar_edges(df, *calendar, by)
     i = duration(every)
     rows = df.withColumn("_cell", whole(F.col("t"), i)).withColumn("_on", F.pmod("t", F.lit(i)) == 0)
-    order = Window.partitionBy(*by).orderBy("_cell")
-    cells = rows.groupBy(*by, "_cell").agg(F.max(~F.col("_on")).alias("inner"))
-    near = (F.lag("_cell").over(order) == F.col("_cell") - 1)
-    cells = cells.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("full", F.coalesce(F.lag("inner").over(order), F.lit(False)))
-    cells = cells.withColumn("island", F.sum((~F.col("near") | F.col("full")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "island").orderBy("_cell")
-    opened = F.first(F.col("near") & F.col("full")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.select(*by, "_cell", ((opened.cast("int") + F.row_number().over(inside) - 1) % 2 == 1).alias("open"))
+    held = rows.groupBy(*by, "_cell").agg(F.max(~F.col("_on")).alias("inner"))
     edge = F.when(F.col("_on") & F.col("open"), F.col("t")).otherwise((F.col("_cell") + 1) * i)
-    return rows.join(cells, [*by, "_cell"]).select(*df.columns, edge.alias("edge"))
+    return rows.join(_membership(held, by, cells), [*by, "_cell"]).select(*df.columns, edge.alias("edge"))
+
+
+def _membership(held: DataFrame, by: list[str], cells: int) -> DataFrame:
+    """(by, _cell, open): whether a window is open at a cell's lower edge, from the cells that hold rows and whether they have
+    inner ones.
+
+    Cells that follow each other without inner rows are a run: along it ``open`` alternates, from its first cell on, which is
+    open if the cell before has inner rows. A slice of cells is (whether a run starts in it, parity at its end), and two such
+    elements make one: the parity behind a slice is its own, plus that before it unless a run starts within.
+    """
+    keys = [*by, "_slice"]
+    cut = held.withColumn("_slice", whole(F.col("_cell"), cells))
+    along = Window.partitionBy(*by).orderBy("_slice")
+    ends = cut.groupBy(*keys).agg(F.max("_cell").alias("_last"), F.max_by("inner", "_cell").alias("_last_inner"))
+    before = ends.select(*keys, F.lag("_last").over(along).alias("_before"), F.lag("_last_inner").over(along).alias("_before_inner"))
+    inside = Window.partitionBy(*keys).orderBy("_cell")
+    last, last_inner = (F.coalesce(F.lag(c).over(inside), F.col(b)) for c, b in (("_cell", "_before"), ("inner", "_before_inner")))
+    rows = cut.join(before, keys).select(*keys, "_cell", F.coalesce(last == F.col("_cell") - 1, F.lit(False)).alias("_near"), F.coalesce(last_inner, F.lit(False)).alias("_full"))
+    rows = rows.withColumn("_run", F.sum((~F.col("_near") | F.col("_full")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*keys, "_run").orderBy("_cell")
+    opened = F.first(F.col("_near") & F.col("_full")).over(within.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    # run 0 goes on from the slice before: its cells are counted from what that one ended in
+    place = F.row_number().over(within)
+    rows = rows.select(*keys, "_cell", F.pmod(F.when(F.col("_run") == 0, place).otherwise(opened + place - 1), F.lit(2)).alias("_own"), (F.col("_run") == 0).alias("_tied"))
+    parts = rows.groupBy(*keys).agg(F.max_by("_own", "_cell").alias("_own"), F.max_by("_tied", "_cell").alias("_tied"))
+    parts = parts.withColumn("_sum", F.sum("_own").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    since = F.last(F.when(~F.col("_tied"), F.col("_sum") - F.col("_own")), ignorenulls=True).over(earlier)
+    starts = parts.select(*keys, F.pmod(F.coalesce(F.last("_sum").over(earlier), F.lit(0)) - F.coalesce(since, F.lit(0)), F.lit(2)).alias("_from"))
+    parity = F.col("_own") + F.when(F.col("_tied"), F.col("_from")).otherwise(0)
+    return rows.join(starts, keys).select(*by, "_cell", (F.pmod(parity, F.lit(2)) == 1).alias("open"))
 
 
 def _calendar_edges(df: DataFrame, n: int, unit: str, by: list[str]) -> DataFrame:

@@ -14,10 +14,15 @@ from tickspark.functions.timeunits import duration, whole
 SLICE = "1d"
 
 
+def cut_at(df: DataFrame, every: str | int) -> DataFrame:
+    """``df`` with ``_slice``: as it is where it has one (see ``slices.sliced``), else the stretch of time that a row lies in."""
+    return df if "_slice" in df.columns else df.withColumn("_slice", whole(F.col("t"), duration(every)))
+
+
 def last_known(df: DataFrame, values: dict[str, Column], by: list[str], own: bool = True, every: str | int = SLICE, order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
     """``df`` with, for each name, the last non-null value of the column so far in ``by``; own: the row itself included."""
     keys = [*by, "_slice"]
-    cut = df.withColumn("_slice", whole(F.col("t"), duration(every))).select("*", *(v.alias(f"_v_{n}") for n, v in values.items()))
+    cut = cut_at(df, every).select("*", *(v.alias(f"_v_{n}") for n, v in values.items()))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     seen = cut.select("*", *(F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_in_{n}") for n in values))
     at = F.struct(*order)
@@ -37,7 +42,7 @@ def previous(df: DataFrame, columns: dict[str, str], by: list[str], every: str |
 def extremes_before(df: DataFrame, low: dict[str, str], high: dict[str, str], by: list[str], every: str | int = SLICE, order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
     """``df`` with the least (low) and largest (high) values of columns over all rows before in ``by``, slice by slice."""
     keys = [*by, "_slice"]
-    cut = df.withColumn("_slice", whole(F.col("t"), duration(every)))
+    cut = cut_at(df, every)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     kinds = [(F.min, F.least, n, c) for n, c in low.items()] + [(F.max, F.greatest, n, c) for n, c in high.items()]
@@ -50,7 +55,7 @@ def extremes_before(df: DataFrame, low: dict[str, str], high: dict[str, str], by
 def running_sums(df: DataFrame, values: dict[str, Column], by: list[str], every: str | int = SLICE) -> DataFrame:
     """``df`` with, for each name, the sum of its value over all rows so far in ``by``: within the slice, plus the slices before."""
     keys = [*by, "_slice"]
-    cut = df.withColumn("_slice", whole(F.col("t"), duration(every))).withColumns({f"_value_{n}": v for n, v in values.items()})
+    cut = cut_at(df, every).withColumns({f"_value_{n}": v for n, v in values.items()})
     inside = Window.partitionBy(*keys).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
     over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy(*keys).agg(*(F.sum(f"_value_{n}").alias(f"_all_{n}") for n in values)).select(*keys, *(F.sum(f"_all_{n}").over(over).alias(f"_before_{n}") for n in values))
@@ -64,7 +69,7 @@ def running_sum(df: DataFrame, name: str, value: Column, by: list[str], every: s
 
 def following(df: DataFrame, columns: dict[str, str], by: list[str], every: str | int = SLICE) -> DataFrame:
     """``df`` with the columns of the row after: the row before in reversed time."""
-    turned = lambda d: d.withColumns({"t": -F.col("t"), "seq": -F.col("seq")})
+    turned = lambda d: d.withColumns({c: -F.col(c) for c in ("t", "seq", "_slice") if c in d.columns})
     kept = {f"_kept_{n}": F.col(c) for n, c in columns.items()}  # their own values, as t and seq are turned
     return turned(previous(turned(df.withColumns(kept)), {n: f"_kept_{n}" for n in columns}, by, every)).drop(*kept)
 
@@ -82,7 +87,7 @@ def overlapping(df: DataFrame, back: int, every: str | int = SLICE) -> DataFrame
 def numbered(df: DataFrame, by: list[str], every: str | int = SLICE) -> DataFrame:
     """``df`` with ``_n``, each row's number from 1 in its stream: its place within a slice plus the counts of those before."""
     keys = [*by, "_slice"]
-    cut = df.withColumn("_slice", whole(F.col("t"), duration(every)))
+    cut = cut_at(df, every)
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy("t", "seq"))
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
