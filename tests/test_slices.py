@@ -84,7 +84,7 @@ def test_calm_slices_need_no_rounds_and_wrong_guesses_few(spark):
     df, _ = walk(spark, 600, 5, instruments="a", calm=(150, 450), ties=False)
     told = []
     folds.qq(df, "0.15", rows=20, told=told).count()
-    n = slices.sliced(df.where("bid is not null"), ["instr"], 20).select("_slice").distinct().count()
+    n = slices.sliced(df.where("bid is not null"), ["instr"], 20)[0].select("_slice").distinct().count()
     assert n >= 25 and len(told) <= n // 4 and told[-1] == 0 and told == sorted(told, reverse=True) and told[0] <= n // 2
     turns = []
     folds.opt(df, "0.3", rows=20, told=turns).count()
@@ -112,7 +112,7 @@ def test_a_machine_that_never_forgets_takes_a_round_for_each_slice(spark):
 
     rows = spark.createDataFrame([(i * SECOND, i, None, i, i) for i in range(60)], "t long, seq long, instr string, b long, a long")
     told = []
-    cut = slices.sliced(rows, ["instr"], 10)
+    cut, _ = slices.sliced(rows, ["instr"], 10)
     starts = slices.settled_starts(cut, Adds(), ["instr"], told=told).orderBy("_slice").collect()
     edges = [r.lo for r in cut.groupBy("_slice").agg(F.min("b").alias("lo")).orderBy("_slice").collect()]
     assert [r.s_sum for r in starts] == [sum(range(e)) for e in edges] and len(edges) >= 5
@@ -124,9 +124,9 @@ def test_one_busy_day_of_one_instrument_is_spread(spark):
     busy = [(10**18 + rng.randrange(86_400) * SECOND, i, "a", i % 7) for i in range(4000)]
     rest = [(10**18 + rng.randrange(300 * 86_400) * SECOND, 4000 + i, rng.choice("ab"), 1) for i in range(8000)]
     df = spark.createDataFrame(busy + rest, "t long, seq long, instr string, x long")
-    sizes = [r["count"] for r in slices.sliced(df, ["instr"], 500).groupBy("instr", "_slice").count().collect()]
+    sizes = [r["count"] for r in slices.sliced(df, ["instr"], 500)[0].groupBy("instr", "_slice").count().collect()]
     assert sum(sizes) == 12_000 and max(sizes) <= 750 and len(sizes) >= 24
-    tasks = slices.in_order(slices.sliced(df, ["instr"], 500), ["instr", "_slice"], ("t", "seq"))
+    tasks = slices.in_order(slices.sliced(df, ["instr"], 500)[0], ["instr", "_slice"], ("t", "seq"))
     with_conf = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "16")
@@ -136,7 +136,7 @@ def test_one_busy_day_of_one_instrument_is_spread(spark):
         spark.conf.set("spark.sql.shuffle.partitions", with_conf)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(per) <= 12_000 / 5
-    order = [(r.t, r._slice) for r in slices.sliced(df, [], 100).collect()]
+    order = [(r.t, r._slice) for r in slices.sliced(df, [], 100)[0].collect()]
     assert all(a[1] <= b[1] for a, b in zip(sorted(order), sorted(order)[1:], strict=False))
 
 

@@ -52,12 +52,13 @@ def fold(df: DataFrame, by: list[str], columns: list[str], fields: str, start: C
     return rows.mapInPandas(run, schema)
 
 
-def whole_prices(quotes: DataFrame, by: list[str], every_rows: int, order: tuple[str, ...] = ("t", "seq")) -> tuple[DataFrame, int]:
-    """(by, order, t, b, a, row, _slice) of the quotes that have both prices, as whole numbers of the last of so many places."""
+def whole_prices(quotes: DataFrame, by: list[str], every_rows: int, order: tuple[str, ...] = ("t", "seq")) -> tuple[DataFrame, bool, int]:
+    """(by, order, t, b, a, row, _slice) of the quotes that have both prices, as whole numbers of the last of so many places, and
+    whether each stream is a single slice."""
     places = places_of(quotes, 9)
     price = lambda c: (F.col(c) * 10**places).cast("long")
     rows = quotes.where("bid is not null and ask is not null").select(*by, *order, price("bid").alias("b"), price("ask").alias("a"), F.struct(*quotes.columns).alias("row"))
-    return slices.sliced(rows, by, every_rows), places
+    return *slices.sliced(rows, by, every_rows), places
 
 
 def whole_amount(x: float | str, places: int) -> int:
@@ -105,7 +106,7 @@ def qq(quotes: DataFrame, quantum: float | str | None = None, repeat: bool = Fal
     A stream is cut into slices of ``rows`` rows, see ``slices``; told gets the slices run in each round.
     """
     by = ["instr"] if by is None else by
-    given, places = whole_prices(quotes, by, rows)
+    given, single, places = whole_prices(quotes, by, rows)
     machine = Moves(None if quantum is None else whole_amount(quantum, places), repeat)
     schema = StructType([StructField("row", quotes.schema), StructField("b", LongType()), StructField("a", LongType())])
 
@@ -113,7 +114,7 @@ def qq(quotes: DataFrame, quantum: float | str | None = None, repeat: bool = Fal
         prices = (pa.array([v[k] for v in values], pa.int64()) for k in (0, 1))
         return pa.record_batch([b.column("row").take(pa.array(places, pa.int64())), *prices], ["row", "b", "a"])
 
-    out = slices.emitted(given, slices.settled_starts(given, machine, by, told=told), machine, by, schema, result)
+    out = slices.emitted(given, None if single else slices.settled_starts(given, machine, by, told=told), machine, by, schema, result)
     kind = dict(quotes.dtypes)
     moved = {"bid": "b", "ask": "a"}
     return out.select(*(scaled(F.col(moved[c]), places).cast(kind[c]).alias(c) if c in moved else F.col(f"row.`{c}`") for c in quotes.columns))
@@ -189,7 +190,7 @@ def opt(quotes: DataFrame, thresh: float | str = 0, limit_orders: bool = False,
     Streams are cut as for ``qq``.
     """
     by = ["instr"] if by is None else by
-    given, places = whole_prices(quotes, by, rows)
+    given, single, places = whole_prices(quotes, by, rows)
     machine = Turns(whole_amount(thresh, places))
     kinds = {f.name: f for f in quotes.schema}
     schema = StructType([*(kinds[c] for c in by), StructField("t", LongType()), StructField("side", StringType()), StructField("price", LongType())])
@@ -207,6 +208,6 @@ def opt(quotes: DataFrame, thresh: float | str = 0, limit_orders: bool = False,
         values = [(high_t, "CANCEL", abs(high)) if side > 0 else (low_t, "CANCEL", abs(low))] if side else []
         return made([pa.array([k] * len(values), f.type) for k, f in zip(key, arrow, strict=False)], values)
 
-    out = slices.emitted(given, slices.settled_starts(given, machine, by, told=told), machine, by, schema, result, finish)
+    out = slices.emitted(given, None if single else slices.settled_starts(given, machine, by, told=told), machine, by, schema, result, finish)
     price = scaled(F.col("price"), places).cast(dict(quotes.dtypes)["bid"]) if limit_orders else F.lit(None).cast(dict(quotes.dtypes)["bid"])
     return out.select(*by, "t", "side", price.alias("price"))

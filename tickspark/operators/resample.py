@@ -83,30 +83,30 @@ def _membership(held: DataFrame, by: list[str], cells: int) -> DataFrame:
     inner ones.
 
     Cells that follow each other without inner rows are a run: along it ``open`` alternates, from its first cell on, which is
-    open if the cell before has inner rows. A slice of cells is (whether a run starts in it, parity at its end), and two such
-    elements make one: the parity behind a slice is its own, plus that before it unless a run starts within.
+    open if the cell before has inner rows. A slice of cells is (first cell, last cell, parity at its end, whether that depends
+    on where it starts). Such elements compose: over one row for each slice their running sums give every slice's start.
     """
     keys = [*by, "_slice"]
-    cut = held.withColumn("_slice", whole(F.col("_cell"), cells))
-    along = Window.partitionBy(*by).orderBy("_slice")
-    ends = cut.groupBy(*keys).agg(F.max("_cell").alias("_last"), F.max_by("inner", "_cell").alias("_last_inner"))
-    before = ends.select(*keys, F.lag("_last").over(along).alias("_before"), F.lag("_last_inner").over(along).alias("_before_inner"))
+    parity = lambda x: F.pmod(x, F.lit(2))
     inside = Window.partitionBy(*keys).orderBy("_cell")
-    last, last_inner = (F.coalesce(F.lag(c).over(inside), F.col(b)) for c, b in (("_cell", "_before"), ("inner", "_before_inner")))
-    rows = cut.join(before, keys).select(*keys, "_cell", F.coalesce(last == F.col("_cell") - 1, F.lit(False)).alias("_near"), F.coalesce(last_inner, F.lit(False)).alias("_full"))
-    rows = rows.withColumn("_run", F.sum((~F.col("_near") | F.col("_full")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = held.withColumn("_slice", whole(F.col("_cell"), cells))
+    rows = rows.withColumns({"_near": F.lag("_cell").over(inside) == F.col("_cell") - 1, "_full": F.lag("inner").over(inside)})
+    begins = F.coalesce(~F.col("_near") | F.col("_full"), F.lit(False))  # a slice's first cell doesn't know yet: run 0
+    rows = rows.withColumn("_run", F.sum(begins.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     within = Window.partitionBy(*keys, "_run").orderBy("_cell")
-    opened = F.first(F.col("_near") & F.col("_full")).over(within.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    # run 0 goes on from the slice before: its cells are counted from what that one ended in
-    place = F.row_number().over(within)
-    rows = rows.select(*keys, "_cell", F.pmod(F.when(F.col("_run") == 0, place).otherwise(opened + place - 1), F.lit(2)).alias("_own"), (F.col("_run") == 0).alias("_tied"))
-    parts = rows.groupBy(*keys).agg(F.max_by("_own", "_cell").alias("_own"), F.max_by("_tied", "_cell").alias("_tied"))
-    parts = parts.withColumn("_sum", F.sum("_own").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = F.first(F.coalesce(F.col("_near") & F.col("_full"), F.lit(False))).over(within.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.select(*keys, "_cell", "inner", parity(F.when(F.col("_run") == 0, 0).otherwise(opened) + F.row_number().over(within) - 1).alias("_own"), (F.col("_run") == 0).alias("_tied"))
+    parts = rows.groupBy(*keys).agg(F.min("_cell").alias("_first"), F.max("_cell").alias("_last"), *(F.max_by(c, "_cell").alias(c) for c in ("inner", "_own", "_tied")))
+    along = Window.partitionBy(*by).orderBy("_slice")
+    near, full = F.coalesce(F.lag("_last").over(along) == F.col("_first") - 1, F.lit(False)), F.coalesce(F.lag("inner").over(along), F.lit(False))
+    parts = parts.select(*keys, "_own", "_tied", (near & ~full).alias("_linked"), (near & full).cast("int").alias("_fixed"))
+    parts = parts.withColumn("_end", parity(F.col("_own") + F.when(~F.col("_tied"), 0).when(F.col("_linked"), 1).otherwise(F.col("_fixed"))))
+    parts = parts.withColumn("_sum", F.sum("_end").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    since = F.last(F.when(~F.col("_tied"), F.col("_sum") - F.col("_own")), ignorenulls=True).over(earlier)
-    starts = parts.select(*keys, F.pmod(F.coalesce(F.last("_sum").over(earlier), F.lit(0)) - F.coalesce(since, F.lit(0)), F.lit(2)).alias("_from"))
-    parity = F.col("_own") + F.when(F.col("_tied"), F.col("_from")).otherwise(0)
-    return rows.join(starts, keys).select(*by, "_cell", (F.pmod(parity, F.lit(2)) == 1).alias("open"))
+    since = F.last(F.when(~(F.col("_tied") & F.col("_linked")), F.col("_sum") - F.col("_end")), ignorenulls=True).over(earlier)
+    before = parity(F.last("_sum").over(earlier) - since)  # parity at the end of the slice before
+    starts = parts.select(*keys, F.when(F.col("_linked"), 1 - before).otherwise(F.col("_fixed")).alias("_from"))
+    return rows.join(starts, keys).select(*by, "_cell", (parity(F.col("_own") + F.when(F.col("_tied"), F.col("_from")).otherwise(0)) == 1).alias("open"))
 
 
 def _calendar_edges(df: DataFrame, n: int, unit: str, by: list[str]) -> DataFrame:
