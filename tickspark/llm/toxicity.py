@@ -34,10 +34,10 @@ from tickspark.llm.text import bounded_batches, raw
 BITS = 20
 ORDERS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Rows of which a partition of the fit holds the chosen features at once.
-PART_ROWS = 50_000
-#: Parts in which counts and weights are added up before they come to the driver.
-SUMS = 64
+#: Rows, and bytes of their chosen features, that a partition of the fit holds at once.
+PART_ROWS, PART_BYTES = 50_000, 32 << 20
+#: Parts in which counts are added up before they come to the driver, and how many tasks' results meet in one group.
+SUMS, FAN = 64, 64
 
 
 class Model:
@@ -54,29 +54,40 @@ def features():
     return indicators(ORDERS, BITS, shapes=False, lower=True)
 
 
+def added(sent: DataFrame, kind: type, tasks: int) -> pa.Table:
+    """Sums of binary vectors that tasks send (part, task, n, vector), by part: turn by turn, at most FAN of them in a group."""
+    schema = "part int, task long, n long, vector binary"
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_buffer(), kind) for c in table.column("vector"))
+        return pa.table({"part": table.column("part")[:1], "task": table.column("task")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "vector": pa.array([total.tobytes()], pa.binary())})
+
+    while tasks > 1:
+        tasks = -(-tasks // FAN)
+        sent = sent.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("part", "task").applyInArrow(add, schema)
+    return sent.toArrow().sort_by("part")
+
+
 def counted(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of the rows each feature occurs, and the rows. A task sends its counts in SUMS parts, added up by part."""
     bounded_batches(rows.sparkSession)
     width = (1 << BITS) // SUMS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts, n = features(), np.zeros(1 << BITS, np.int64), 0
+        of, counts, n, task = features(), np.zeros(1 << BITS, np.int64), 0, 0
         for b in batches:
+            task = b.column("task")[0].as_py() if b.num_rows else task
             for codes in of(*raw(b.column("text"))):
                 counts[codes] += 1
                 n += 1
         if n:
-            yield pa.record_batch({"part": pa.array(range(SUMS), pa.int32()), "n": pa.array([n] * SUMS, pa.int64()), "counts": pa.array([c.tobytes() for c in counts.reshape(SUMS, width)], pa.binary())})
+            yield pa.record_batch({"part": pa.array(range(SUMS), pa.int32()), "task": pa.array([task] * SUMS, pa.int64()), "n": pa.array([n] * SUMS, pa.int64()), "vector": pa.array([c.tobytes() for c in counts.reshape(SUMS, width)], pa.binary())})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part int, n long, counts binary"
-    got = rows.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toArrow().sort_by("part")
+    given = rows.select("text", F.spark_partition_id().alias("task"))
+    got = added(given.mapInArrow(count, "part int, task long, n long, vector binary"), np.int64, max(2, given.rdd.getNumPartitions()))
     if not got.num_rows:
         return np.zeros(1 << BITS, np.int64), 0
-    return np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in got.column("counts")]), got.column("n")[0].as_py()
+    return np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in got.column("vector")]), got.column("n")[0].as_py()
 
 
 def chosen_features(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +115,7 @@ def shortened(rows: DataFrame, best: np.ndarray) -> DataFrame:
 
 
 def unpacked(column) -> list[np.ndarray]:
-    return [np.frombuffer(c, np.int16).astype(np.int64) for c in column.to_pylist()]
+    return [np.frombuffer(c, np.int16) for c in column.to_pylist()]
 
 
 def nnpu_steps(theta: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 100, rate: float = 0.03, batch: int = 2048, decay: float = 2e-4, seed: int = 3) -> np.ndarray:
@@ -117,7 +128,7 @@ def nnpu_steps(theta: np.ndarray, positive: list[np.ndarray], unlabelled: list[n
     def look(rows: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = [rows[i] for i in at]
         owner = np.repeat(np.arange(len(at)), [len(c) for c in codes])
-        flat = np.concatenate(codes)
+        flat = np.concatenate(codes).astype(np.int64)
         return flat, owner, np.bincount(owner, theta[flat], len(at)) + theta[-1]
 
     def gradient(flat: np.ndarray, owner: np.ndarray, slope: np.ndarray) -> np.ndarray:
@@ -146,11 +157,8 @@ def nnpu_steps(theta: np.ndarray, positive: list[np.ndarray], unlabelled: list[n
 def fitted(held: DataFrame, positive: list[np.ndarray], prior: float, ratio: np.ndarray, rounds: int = 6) -> np.ndarray:
     """Weights of the chosen features after ``rounds`` in which partitions learn from the same start and are averaged."""
     theta = np.concatenate([ratio * 0.1, [np.log(prior / (1 - prior))]])
-    schema = "part int, n long, theta binary"
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.float64) for c in table.column("theta").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "theta": pa.array([total.tobytes()], pa.binary())})
+    schema = "part int, task long, n long, vector binary"
+    tasks = held.rdd.getNumPartitions()
 
     for turn in range(rounds):
         shared = held.sparkSession.sparkContext.broadcast((theta, positive))
@@ -158,22 +166,27 @@ def fitted(held: DataFrame, positive: list[np.ndarray], prior: float, ratio: np.
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             start, positive = shared.value
             rows: list[np.ndarray] = []
-            part = 0
+            task = 0
             for b in batches:
                 rows += unpacked(b.column("codes"))
-                part = b.column("part")[0].as_py() if b.num_rows else part
+                task = b.column("task")[0].as_py() if b.num_rows else task
             if rows:
                 found = nnpu_steps(start, positive, rows, prior, seed=turn) * len(rows)
-                yield pa.record_batch({"part": pa.array([part], pa.int32()), "n": pa.array([len(rows)], pa.int64()), "theta": pa.array([found.tobytes()], pa.binary())})
+                yield pa.record_batch({"part": pa.array([0], pa.int32()), "task": pa.array([task], pa.int64()), "n": pa.array([len(rows)], pa.int64()), "vector": pa.array([found.tobytes()], pa.binary())})
 
-        given = held.select("codes", F.pmod(F.spark_partition_id(), F.lit(SUMS)).alias("part"))
-        got = given.mapInArrow(learn, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+        got = added(held.select("codes", F.spark_partition_id().alias("task")).mapInArrow(learn, schema), np.float64, max(2, tasks))
         if got.num_rows:
-            theta = sum(np.frombuffer(c, np.float64) for c in got.column("theta").to_pylist()) / sum(got.column("n").to_pylist())
+            theta = np.frombuffer(got.column("vector")[0].as_buffer(), np.float64) / got.column("n")[0].as_py()
         shared.unpersist()
     return theta[:-1]
 
 
+def dealt(short: DataFrame) -> DataFrame:
+    """Rows of chosen features dealt evenly for the fit: to each core, and to more tasks where a task would hold too much."""
+    rows, size = short.agg(F.count(F.lit(1)), F.sum(F.octet_length("codes"))).first()
+    return short.repartition(max(short.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS), -(-(size or 0) // PART_BYTES)))
+
+
 def intercept_for(held: DataFrame, weights: np.ndarray, prior: float) -> float:
     """The intercept at which the scores of all held rows average to the class prior, from their margins' histogram in
     hundredths: at most 12,001 rows."""
@@ -216,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     best, ratio = chosen_features(in_positive, n_positive, in_pool, n_pool)
     share = min(max(share, 1e-3), 0.9)
     positive = unpacked(shortened(confirmed, best).toArrow().column("codes"))
-    held = cut(shortened(pool, best), max(1, -(-n_pool // PART_ROWS)))
+    held = cut(dealt(cut(shortened(pool, best))))
     weights = np.zeros(1 << BITS, np.float32)
     weights[best] = found = fitted(held, positive, share, ratio)
     return Model(weights, 1.0, intercept_for(held, found, share))
