@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame, smallest: bool = True, runs: int = 4, filter_b
     small). digest: from a normalised text to its binary digest.
     """
     norm = lower_ascii(F.col("text"))
-    ident = F.col("doc_id") if smallest else -F.col("doc_id")
+    ident = F.col("doc_id") if smallest else F.bitwise_not("doc_id")  # turns the order, and any identifier has one
     made = docs.select("doc_id", "text").withColumn("norm", norm)
     entries = cut(made.select("doc_id", digest(F.col("norm")).alias("digest"), F.sha2("norm", 256).alias("text_sha256")))
     found = _indexed(entries, ident, runs, filter_bits)
@@ -113,7 +113,7 @@ def _indexed(entries: DataFrame, ident: Column, runs: int, bits: int) -> DataFra
 
 def _decided(entries: DataFrame, hits: DataFrame, smallest: bool) -> DataFrame:
     total = entries.count()
-    back = F.col("id") if smallest else -F.col("id")
+    back = F.col("id") if smallest else F.bitwise_not("id")
     hits = hits.select(F.col("digest").alias("key"), back.alias("keep_id"), F.col("n").alias("group_size"))
     hot = hits.where(F.col("group_size") * HOT_PART > total).select(F.col("key").alias("digest"), F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
     # at most HOT_PART rows; what they decide leaves the shuffled join, under a key of its own

@@ -138,19 +138,22 @@ def collected(rows: DataFrame, label: str, make: Callable) -> tuple[np.ndarray,
 
 
 def scored(docs: DataFrame, make: Callable, weigh: Callable, fields: str, keep: tuple[str, ...]) -> DataFrame:
-    """Maps every text to ``fields`` by ``weigh(features of each row) -> dict of columns``; ``keep`` columns stay."""
+    """Maps every text to ``fields`` by ``weigh(features of each row) -> dict of columns``; ``keep`` columns stay, in front, also
+    where they are named as a field is."""
     bounded_batches(docs.sparkSession)
     names = [f.split()[0] for f in fields.split(",")]
+    kept = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for b in batches:
             if b.num_rows:
-                out = weigh(of, *raw(b.column("text")))
-                yield pa.record_batch([b.column(c) for c in keep] + [pa.array(out[n]) for n in names], [*keep, *names])
+                out = weigh(of, *raw(b.column("_text")))
+                yield pa.record_batch([b.column(c) for c in kept] + [pa.array(out[n]) for n in names], [*kept, *names])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, *(() if "text" in keep else ("text",))).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), fields]))
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept, strict=True)), F.col("text").alias("_text"))
+    return rows.mapInArrow(run, ", ".join([*(f"{n} {kinds[c]}" for c, n in zip(keep, kept, strict=True)), fields])).toDF(*keep, *names)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:

@@ -127,10 +127,11 @@ def train(docs: DataFrame, fold: tuple[int, int] = (4, 2), per_language: int = 4
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), close: float = 0.8) -> DataFrame:
     """``keep`` columns, lang_pred, score and ambiguous (the relative lead over the next language is below ``close``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(*{*keep, "text"}).withColumn("lettered", has_letter(F.col("text")))
-    out = scored(given, lambda: None, partial(_weigh, shared), "lang_pred string, score double, lead double", (*keep, "lettered"))
+    kept = [f"_c{i}" for i in range(len(keep))]
+    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept, strict=True)), "text", has_letter(F.col("text")).alias("lettered"))
+    out = scored(given, lambda: None, partial(_weigh, shared), "lang_pred string, score double, lead double", (*kept, "lettered"))
     clear = F.col("lettered") & F.col("lang_pred").isNotNull()
-    return out.select(*keep, F.when(clear, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(clear, F.col("score")).otherwise(0.0).alias("score"), (~clear | (F.col("lead") < close)).alias("ambiguous"))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, kept, strict=True)), F.when(clear, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(clear, F.col("score")).otherwise(0.0).alias("score"), (~clear | (F.col("lead") < close)).alias("ambiguous"))
 
 
 def _weigh(shared, of, data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
