@@ -1,4 +1,4 @@
-"""Window rule against a literal loop, slices against whole streams, streams against batches, durations and stamps."""
+"""Window rule against a literal loop, slices against whole streams, durations and stamps."""
 
 import random
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tickspark.functions import bins, decimals, timeunits
 from tickspark.operators import accounts, combine, events, folds, generate, resample, running, smooth
 from tickspark.sources import ticks
-from tickspark.streaming import stream
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -89,50 +88,6 @@ def test_hindsight_beats_a_round_trip(spark):
         assert total >= best - 1e-9
 
 
-def test_streams_give_what_batches_give(spark, tmp_path):
-    q = some_quotes(spark).repartition(1).sortWithinPartitions("t", "seq")
-    q.write.parquet(str(tmp_path / "in"))
-    source = lambda: spark.readStream.schema(q.schema).parquet(str(tmp_path / "in"))
-    for name, made, batch in (("qq", stream.qq(source(), "20"), folds.qq(q, "20").select("t", "seq", "instr", "bid", "ask")), ("align", stream.align(source(), "10m"), resample.align(q, "10m"))):
-        made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}_c")).option("path", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        got = {tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select(*batch.columns).collect()}
-        want = {tuple(r) for r in batch.collect()}
-        assert got <= want and got
-        if name == "qq":
-            assert got == want
-        else:  # buckets within the watermark's delay of the end stay open
-            last = max(t for t, *_ in want)
-            assert {w for w in want if w[0] < last - 120 * 10**9} <= got
-
-
-def test_streamed_candles_are_the_batch_ones(spark, tmp_path):
-    q = some_quotes(spark).repartition(1).sortWithinPartitions("t", "seq")
-    q.write.parquet(str(tmp_path / "in"))
-    made = stream.candle(spark.readStream.schema(q.schema).parquet(str(tmp_path / "in")), "10m")
-    made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    fields = ("_1st", "last", "mindlt", "maxdlt", "minask", "maxbid", "minspr", "maxspr", "maxbsz", "maxasz", "maxbim", "maxsim", "maxdu", "maxdd")
-    row = lambda r, edge: (r.instr, edge, *(None if r[f] is None else round(float(r[f]), 6) for f in fields))
-    got = {row(r, r.edge) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {row(r, int(float(r.cndl)) * 10**9) for r in resample.candle(q, "10m").collect()}
-    last = {i: max(w[1] for w in want if w[0] == i) for i in "ab"}
-    mark = max(r.t for r in q.collect()) - 60 * 10**9  # windows behind the watermark are flushed
-    assert got == {w for w in want if w[1] < last[w[0]] or w[1] < mark}
-
-
-def test_streamed_moving_means_and_late_rows(spark, tmp_path):
-    q = some_quotes(spark)
-    rows = sorted(q.collect(), key=lambda r: (r.t, r.seq))
-    third = len(rows) // 3
-    late = rows[0].asDict() | {"t": rows[0].t + 1, "seq": 10**6}  # comes with the last file: behind all others of its instrument
-    for i, part in enumerate((rows[:third], rows[third : 2 * third], [*rows[2 * third :], late])):
-        spark.createDataFrame([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in part], q.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={i}"))
-    source = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(*[str(tmp_path / "in" / "p=*")])
-    stream.sma(source, "1h").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    batch = smooth.sma(q, "1h")
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*batch.columns).collect())
-    assert got == sorted(tuple(r) for r in batch.collect())
-
-
 def test_calendar_windows(spark):
     import datetime
 
