@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.timeunits import format_stamp, parse_stamp
+from tickspark.sources import lines
 
 #: Order verbs by first letter.
 VERBS = {"L": "LONG", "S": "SHORT", "C": "CANCEL", "E": "CANCEL"}
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(seq, f): the fields of each line and a number that grows in file order within a path."""
+def _fields(lines: DataFrame) -> DataFrame:
+    return lines.select("seq", F.split("value", "\t").alias("f"), "path")
+
+
+def read_lines(spark: SparkSession, *paths: str, split: int = lines.RANGE) -> DataFrame:
+    """(seq, f, path): the fields of each line, and a number that grows in the order of files and lines, the same however files
+    are split (see ``lines``)."""
+    spark.dataSource.register(lines.Lines)
+    return _fields(spark.read.format("ticklines").option("paths", json.dumps(list(paths))).option("range", split).load())
+
+
+def stream_lines(spark: SparkSession, path: str, split: int = lines.RANGE, settle: float = 1) -> DataFrame:
+    """``read_lines`` of the files that come into a folder, as a stream."""
+    spark.dataSource.register(lines.Lines)
+    return _fields(spark.readStream.format("ticklines").option("range", split).option("settle", settle).load(path))
+
+
+def any_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """As ``read_lines``, of paths that only Spark opens; seq grows within a task's part of a file and is not the same at each
+    size of a split."""
     return spark.read.text(list(paths)).select(F.monotonically_increasing_id().alias("seq"), F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("path"))
 
 
@@ -22,8 +43,18 @@ def field(i: int) -> Column:
 
 def read_quotes(spark: SparkSession, *paths: str) -> DataFrame:
     """t, seq, instr, bid, ask, bsz, asz, path; lines without a stamp are left out, a missing price is null."""
+    return quotes_of(read_lines(spark, *paths))
+
+
+def stream_quotes(spark: SparkSession, path: str, **how) -> DataFrame:
+    """``read_quotes`` of the files that come into a folder, as a stream."""
+    return quotes_of(stream_lines(spark, path, **how))
+
+
+def quotes_of(read: DataFrame) -> DataFrame:
+    """Quotes from the fields of lines."""
     number = lambda i, kind: field(i).try_cast(kind)
-    return read_lines(spark, *paths).select(parse_stamp(field(0)).alias("t"), "seq", F.coalesce(field(1), F.lit("")).alias("instr"), number(2, "decimal(18,9)").alias("bid"), number(3, "decimal(18,9)").alias("ask"), number(4, "decimal(20,6)").alias("bsz"), number(5, "decimal(20,6)").alias("asz"), "path").where("t is not null")
+    return read.select(parse_stamp(field(0)).alias("t"), "seq", F.coalesce(field(1), F.lit("")).alias("instr"), number(2, "decimal(18,9)").alias("bid"), number(3, "decimal(18,9)").alias("ask"), number(4, "decimal(20,6)").alias("bsz"), number(5, "decimal(20,6)").alias("asz"), "path").where("t is not null")
 
 
 def read_orders(spark: SparkSession, *paths: str) -> DataFrame:
