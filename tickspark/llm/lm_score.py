@@ -2,7 +2,8 @@
 
 Counts of uni-, bi- and trigrams over all documents are tables partitioned by hash (packed exchange): each block of
 documents sends its distinct n-grams with their counts, the partition that owns an n-gram sums them, and the sums join
-back to the block's n-grams, whose scores are summed per document.
+back to the block's n-grams, whose scores are summed per document. A trigram can be met ``at_least`` times only if both of its
+bigrams are, so trigrams are counted in a second round, and those alone whose bigrams were met that often.
 
 S(w | u v) = c(u v w) / c(u v) if the trigram was met ``at_least`` times, else alpha * S(w | v); S(w | v) = c(v w) / c(v) if
 the bigram was, else alpha * c(w) / N. The first words of a text have no context and start at the lower order. With
@@ -62,19 +63,41 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         words, row = word_hashes(*raw(table.column("text")))
-        kinds = {order: np.unique(found, return_counts=True) for order, (found, _) in grams(words, row, shift).items()}
+        found = grams(words, row, shift)
+        kinds = {order: np.unique(found[order][0], return_counts=True) for order in (1, 2)}
         kinds[0] = (np.zeros(1, np.uint64), np.array([len(words)]))  # all words, under one key
         return exchange.requests(key[0].as_py(), kinds, buckets, bits)
 
-    counts = exchange.totals(texts.applyInArrow(ask, exchange.REQUEST))
+    shorter = exchange.totals(texts.applyInArrow(ask, exchange.REQUEST))
+
+    def met(found: dict, told: pa.Table, order: int, n: int) -> np.ndarray:
+        """The count of the n-gram that ends in each of n words, 0 if there is none."""
+        out = np.zeros(n)
+        keys, back = np.unique(found[order][0], return_inverse=True)
+        out[found[order][1]] = exchange.answered(told, order, keys, buckets, bits)[back]
+        return out
+
+    def hopeful(found: dict, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams both of whose bigrams were met often enough, so that they may have been too."""
+        keys, last = found[3]
+        may = (bigrams[last] >= at_least) & (bigrams[last - 1] >= at_least)
+        return keys[may], last[may]
+
+    def ask_longer(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        words, row = word_hashes(*raw(table.column("text")))
+        found = grams(words, row, shift)
+        keys, _ = hopeful(found, met(found, told, 2, len(words)))
+        return exchange.requests(key[0].as_py(), {3: np.unique(keys, return_counts=True)}, buckets, bits)
+
+    longer = exchange.totals(texts.cogroup(shorter.groupBy("block")).applyInArrow(ask_longer, exchange.REQUEST))
 
     def add(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         words, row = word_hashes(*raw(table.column("text")))
         total = float(exchange.answered(told, 0, np.zeros(1, np.uint64), buckets, bits)[0])
-        c = {order: np.zeros(len(words)) for order in (1, 2, 3)}  # of the n-gram that ends in each word, 0 if there is none
-        for order, (found, last) in grams(words, row, shift).items():
-            keys, back = np.unique(found, return_inverse=True)
-            c[order][last] = exchange.answered(told, order, keys, buckets, bits)[back]
+        found = grams(words, row, shift)
+        c = {order: met(found, told, order, len(words)) for order in (1, 2)}
+        found[3] = hopeful(found, c[2])
+        c[3] = met(found, told, 3, len(words))
         before = {order: np.concatenate([[0.0], c[order][:-1]]) if len(words) else c[order] for order in (1, 2)}
         tri, bi = c[3] >= at_least, c[2] >= at_least
         first = np.concatenate([[True], row[1:] != row[:-1]]) if len(words) else np.zeros(0, bool)
@@ -87,7 +110,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
         made = (np.bincount(row, minlength=n), np.bincount(row, np.log(value), n).astype(np.float64), many(tri), many(bi & ~tri), many(~bi & ~tri))
         return pa.table([table.column("doc_id"), *(pa.array(m) for m in made)], ["doc_id", "n_words", "log_prob", "n_tri", "n_bi", "n_uni"])
 
-    return texts.cogroup(counts.groupBy("block")).applyInArrow(add, SCORES)
+    return texts.cogroup(shorter.unionByName(longer).groupBy("block")).applyInArrow(add, SCORES)
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
