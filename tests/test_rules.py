@@ -162,6 +162,21 @@ def test_files_and_flat_forms(spark, tmp_path):
     assert any(r.n is None for r in windows) and sum(r.n or 0 for r in windows) == q.where("seq % 40 = 0").count() - 1
 
 
+def test_dense_arrays_at_the_finest_resolution(spark):
+    q = some_quotes(spark, 80)
+    hist = resample.quodist(q, None, res=5)
+    dense = resample.to_arrays(hist, 1 << bins.BITS[5])
+    got = dense.select("instr", "dimen", "metric", F.size("v").alias("size"), F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"].isNotNull() & (e["x"] != 0)).alias("held")).collect()
+    want = {}
+    for r in hist.collect():
+        for metric, x in (("n", r["cnt"]), ("L", r.lo), ("H", r.hi)):
+            if x:
+                want.setdefault((r.instr, r.dimen, metric), []).append((r.bin, float(x)))
+    assert {r.size for r in got} == {1 << 21} and len(got) == 2 * 9 * 3
+    assert {(r.instr, r.dimen, r.metric): [tuple(e) for e in r.held] for r in got if r.held} == {k: sorted(v) for k, v in want.items()}
+    assert resample.to_arrays(hist.limit(0), 8).count() == 0
+
+
 def test_flat_report(spark):
     rows = [(i, i, "x", b, t, 0, 0) for i, (b, t) in enumerate([(1, -5), (0, 2), (-1, 7), (0, 1)])]
     acc = spark.createDataFrame(rows, "t long, seq long, instr string, base long, term long, comb long, comt long").selectExpr("t", "seq", "instr", *(f"cast({c} as decimal(28,7)) as {c}" for c in ("base", "term", "comb", "comt")))

@@ -203,6 +203,21 @@ def to_table(hist: DataFrame, res: int = 0, by: tuple[str, ...] = ("cndl", "inst
     return wide.select(*by, "metric", *(F.when(F.col("metric") == "n", F.coalesce(f"`{i}`", F.lit(0.0))).otherwise(F.col(f"`{i}`")).alias(f"v{i}") for i in range(n)))
 
 
+def to_arrays(hist: DataFrame, n_bins: int, by: tuple[str, ...] = ("cndl", "instr", "dimen")) -> DataFrame:
+    """A histogram as dense arrays: a row for each metric (n, L, H) with ``v``, a value for each of ``n_bins`` bins; counts of empty
+    bins are 0, their edges null. For any resolution, as bins are elements and not columns.
+
+    One aggregate gathers the bins that a histogram has; what lies between two of them is filled up.
+    """
+    long = hist.select(*by, "bin", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("x")) for m, c in (("n", "cnt"), ("L", "lo"), ("H", "hi"))))))
+    held = long.groupBy(*by, "metric").agg(F.array_sort(F.collect_list(F.struct(F.col("bin").cast("int").alias("bin"), "x"))).alias("held"))
+    empty = F.when(F.col("metric") == "n", 0.0)
+    last = F.coalesce(F.element_at("held", -1)["bin"], F.lit(-1))
+    before = lambda i: F.when(i == 0, -1).otherwise(F.col("held")[i - 1]["bin"])
+    filled = F.flatten(F.transform("held", lambda e, i: F.concat(F.array_repeat(empty, e["bin"] - before(i) - 1), F.array(e["x"]))))
+    return held.select(*by, "metric", F.concat(filled, F.array_repeat(empty, F.lit(n_bins) - last - 1)).alias("v"))
+
+
 def all_bins(hist: DataFrame, edges: list[tuple[int, float, float]], by: tuple[str, ...] = ()) -> DataFrame:
     """A histogram with a row for every bin and its preset edges; empty bins have 0. ``edges`` has a row for each bin."""
     table = hist.sparkSession.createDataFrame(edges, "bin long, lo double, hi double")

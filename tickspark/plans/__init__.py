@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.functions import bins
 from tickspark.operators import accounts, combine, events, execution, folds, generate, resample, smooth, transforms
 from tickspark.operators.running import running_sums
 from tickspark.plans.oracles import ORACLES
@@ -68,6 +69,14 @@ def _one(f):
     return lambda spark, sf_dir: plain(f(quotes(spark, sf_dir)))
 
 
+def _summed(arrays: DataFrame) -> DataFrame:
+    """What each dense array holds, as numbers that engines can compare: its length, how many bins are filled, and where."""
+    filled = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"].isNotNull() & ((e["x"] != 0) | (F.col("metric") != "n")))
+    where = F.aggregate("filled", F.lit(0).cast("long"), lambda a, e: a + e["i"] * F.floor(e["x"] * 100000 + 0.5))  # whole, so that order doesn't matter
+    rest = [c for c in arrays.columns if c != "v"]
+    return arrays.select(*rest, F.size("v").alias("bins"), filled.alias("filled")).select(*rest, "bins", F.size("filled").alias("filled"), where.alias("places"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ship dates of lineitem as events; many share a time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -106,6 +115,10 @@ QUERIES = {
     "quodist_res5": _one(lambda q: resample.quodist(q, None, res=5, places=2)),
     "quodist_time": _one(lambda q: resample.quodist(q, None, elapsed=True, places=2)),
     "quodist_table": _one(lambda q: resample.to_table(resample.quodist(q, "1d", places=2))),
+    "quodist_arrays": _one(lambda q: _summed(resample.to_arrays(resample.quodist(q, None, res=3, places=2), 1 << bins.BITS[3]))),
+    "evt_erlang_all": _one(lambda q: resample.all_bins(events.evt_erlang(q, None, by=["instr"]), bins.octave_edges(5), ("cndl", "instr"))),
+    "evt_erlang_arrays": _one(lambda q: _summed(resample.to_arrays(events.evt_erlang(q, None, by=["instr"]), 32, ("cndl", "instr")))),
+    "loghist_arrays": lambda s, d: _summed(resample.to_arrays(resample.loghist(_lines(s, d), "v"), 32, ())),
     "evt_erlagg": _one(lambda q: events.evt_erlagg(q, "4h")),
     "evt_erlang": _one(lambda q: events.evt_erlang(q, None, k=2, by=["instr"])),
     "evt_erlang_fit": _one(lambda q: events.fit_gaps(events.evt_erlang(q, None, by=["instr"]), by=("cndl", "instr"))),
@@ -127,6 +140,7 @@ QUERIES = {
     "sma": _one(lambda q: smooth.sma(q, "1h")),
     "ewma": lambda s, d: smooth.ewma(quotes(s, d), ["bid", "ask"], "1h", by=["instr"]).select("t", "seq", "instr", *(F.round(c, 6).alias(c) for c in ("bid_mean", "bid_dev", "ask_mean", "ask_dev"))),
     "sea_profile": lambda s, d: _sea(s, d).select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
+    "sea_profile_sprd": lambda s, d: _sea(s, d, "sprd").select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
     "sea_profile_velo": lambda s, d: _sea(s, d, "velo").select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
     "sea_apply": lambda s, d: plain(smooth.sea_apply(quotes(s, d), _sea(s, d)).select("t", "seq", "instr", "bid", "ask")),
     "sea_reverse": lambda s, d: plain(smooth.sea_apply(quotes(s, d), _sea(s, d), reverse=True).select("t", "seq", "instr", "bid", "ask")),

@@ -168,6 +168,13 @@ fits AS (SELECT 'ALL' AS cndl, instr, CAST(n AS BIGINT) AS n, 1 AS erlang_shape,
 _ZIP = f"""{_SLOTS}, m AS (SELECT instr, CAST(sum(cnt) AS BIGINT) AS n, sum(k * cnt) / sum(cnt) AS mean, coalesce(sum(cnt) FILTER (k = 0), 0) / sum(cnt) AS z FROM c GROUP BY instr),
 r AS (SELECT *, CAST(2 AS DOUBLE) AS rate, 0 AS i FROM m UNION ALL SELECT instr, n, mean, z, mean * (1 - exp(-rate)) / (1 - z), i + 1 FROM r WHERE i < 10)"""
 
+def _arrays(hist: str, by: str, n_bins: int) -> str:
+    """The length of dense arrays, how many of their bins are filled and where, from a sparse histogram."""
+    keys = f"{by}, " if by else ""
+    parts = " UNION ALL ".join(f"SELECT {keys}'{m}' AS metric, {n_bins} AS bins, count(*) AS filled, CAST(sum(bin * CAST(floor(CAST({c} AS DOUBLE) * 100000 + 0.5) AS BIGINT)) AS BIGINT) AS places FROM hist_rows{' GROUP BY ' + by if by else ''}" for m, c in (("n", "cnt"), ("L", "lo"), ("H", "hi")))
+    return f"WITH hist_rows AS ({hist}) {parts}"
+
+
 ORACLES = {
     "align": _align(10 * MIN),
     "align_offset": _align(30 * MIN, -90 * 10**9),
@@ -279,3 +286,13 @@ mv AS (SELECT instr, {_MOVED} FROM seg GROUP BY instr)
 SELECT b.*, round(rpnl / nullif("count", 0), 6) AS avg, round(hits / nullif("count", 0), 6) AS hit_r, round(rp / nullif(hits, 0), 6) AS hit_sk, round(rl / nullif("count" - hits, 0), 6) AS loss_sk, mv.* EXCLUDE (instr) FROM b JOIN mv USING (instr)""",
     "accrpl": f"WITH {_segments(False, False)} SELECT since - 1000000000 AS t, seq, instr, round(rpnl, 2) AS rpnl, t - since AS exposure FROM seg WHERE old <> 'F'",
 }
+
+_ERLANG = f"WITH {_GAPS.format(where='')} SELECT 'ALL' AS cndl, instr, bin, lo, hi, cnt FROM hist"
+ORACLES |= {
+    "sea_profile_sprd": f"WITH {_profile('abs(change) / (CAST(ask - bid AS DOUBLE) / 2)')} SELECT bin, n, round(mean, 6) AS mean, round(var, 6) AS var FROM prof",
+    "quodist_arrays": _arrays(ORACLES["quodist_res3"], "cndl, instr, dimen", 1 << 13),
+    "evt_erlang_all": f"""WITH h AS ({_ERLANG}) SELECT 'ALL' AS cndl, g.instr, b.bin, CAST((1::BIGINT << b.bin) - 1 AS DOUBLE) AS lo, CAST((1::BIGINT << (b.bin + 1)) - 1 AS DOUBLE) AS hi, coalesce(cnt, 0) AS cnt
+FROM (SELECT DISTINCT instr FROM h) g CROSS JOIN (SELECT CAST(unnest(range(32)) AS BIGINT) AS bin) b LEFT JOIN h ON h.instr = g.instr AND h.bin = b.bin""",
+    "evt_erlang_arrays": _arrays(_ERLANG, "cndl, instr", 32),
+    "loghist_arrays": _arrays(ORACLES["loghist"], "", 32),
+}
