@@ -32,9 +32,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts after each LONG or SHORT order, at one unit, the order's own quote and a cent of commission each."""
-    q = quotes(spark, sf_dir).where("seq % 25 = 0")
-    side = F.when(F.col("seq") % 50 == 0, 1).otherwise(-1)
+    """Accounts as if each event bought (even numbers) or sold one unit at its own quote, for a cent of commission."""
+    q = quotes(spark, sf_dir)
+    side = F.when(F.col("seq") % 2 == 0, 1).otherwise(-1)
     cash = -side * F.when(side > 0, F.col("ask")).otherwise(F.col("bid"))
     kind = "decimal(28,7)"
     sums = running_sums(q, {"base": side, "term": cash, "comt": F.lit("-0.01").cast("decimal(4,2)")}, ["instr"])
@@ -42,22 +42,25 @@ def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quotes(spark, sf_dir).where("seq % 25 = 0")
+    q = quotes(spark, sf_dir)
     return q.select("t", "seq", "instr", F.lit(1).cast("decimal(20,2)").alias("qty"), "ask", (F.col("ask") - F.col("bid")).alias("spread"))
 
 
 def forwards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quotes(spark, sf_dir).where("seq % 20 = 3")
+    """A forward on each event's instrument, at the event's time."""
+    q = quotes(spark, sf_dir)
     points = lambda k: ((k + F.col("seq") % 3) * F.lit("0.01").cast("decimal(4,2)")).cast("decimal(18,2)")
     return q.select("t", "seq", F.concat(F.lit("F"), F.col("instr")).alias("fwd_id"), F.col("instr").alias("underlying"), points(1).alias("bid"), points(2).alias("ask"))
 
 
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes(spark, sf_dir).where("seq % 97 = 0").select("t")
+    """The times of all events."""
+    return quotes(spark, sf_dir).select("t")
 
 
 def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes(spark, sf_dir).where("seq % 500 = 7").select("t", "seq", F.when(F.col("seq") % 1000 == 7, F.col("instr")).alias("payload"))
+    """All events; those of odd numbers name their instrument."""
+    return quotes(spark, sf_dir).select("t", "seq", F.when(F.col("seq") % 2 == 1, F.col("instr")).alias("payload"))
 
 
 def _sea(spark: SparkSession, sf_dir: str, mode: str = "adev") -> DataFrame:
@@ -135,7 +138,7 @@ QUERIES = {
     "imp": lambda s, d: plain(combine.imp(orders(s, d), quotes(s, d), LAGS)),
     "imp_tod": lambda s, d: plain(combine.imp(orders(s, d), quotes(s, d), ["2h", "12h"], abs_tod="1d")),
     "imp_summary": lambda s, d: combine.imp_summary(combine.imp(orders(s, d), quotes(s, d), LAGS)).select("lag", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "skew", "kurt"))),
-    "xevent": lambda s, d: plain(combine.xevent(quotes(s, d), shocks(s, d), "30m", "10m", start=5, mark=True)),
+    "xevent": lambda s, d: plain(combine.xevent(quotes(s, d), shocks(s, d), "3m", "1m", start=5, mark=True)),
     "rolling": _one(lambda q: smooth.rolling(q, "1h", by=["instr"])),
     "sma": _one(lambda q: smooth.sma(q, "1h")),
     "ewma": lambda s, d: smooth.ewma(quotes(s, d), ["bid", "ask"], "1h", by=["instr"]).select("t", "seq", "instr", *(F.round(c, 6).alias(c) for c in ("bid_mean", "bid_dev", "ask_mean", "ask_dev"))),

@@ -99,7 +99,7 @@ m AS (SELECT *, lag(nb) OVER p AS pb, lag(na) OVER p AS pa FROM l WINDOW p AS (P
 SELECT t, seq, instr, {pair("b")} AS bid_pattern, {pair("a")} AS ask_pattern FROM m WHERE pb IS NOT NULL AND (pb <> 0 OR pa <> 0)"""
 
 
-ACC = f"""{Q}, ord AS (SELECT *, CASE WHEN seq % 50 = 0 THEN 1 ELSE -1 END AS d FROM q WHERE seq % 25 = 0),
+ACC = f"""{Q}, ord AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS d FROM q),
 acc AS (SELECT t, seq, instr, sum(d) OVER p AS base, CAST(sum(-d * CASE WHEN d > 0 THEN ask ELSE bid END) OVER p AS DOUBLE) AS term, count(*) OVER p * -0.01 AS comm, sum((ask - bid) / 2.0) OVER p AS sprd FROM ord
   WINDOW p AS (PARTITION BY instr ORDER BY t, seq))"""
 
@@ -121,7 +121,7 @@ stats AS (SELECT instr, side, coalesce(hits, 0) AS hits, coalesce(n, 0) AS "coun
 
 
 _MOVED = ", ".join(f"count(*) FILTER (old = '{a}' AND new = '{b}') AS cnt_{a}{b}, count(*) FILTER (old = '{a}' AND new = '{b}' AND rpnl > 0) AS hit_{a}{b}" for a in "FLS" for b in "FLS")
-_ORDERS = f"{Q}, ord AS (SELECT *, CASE WHEN seq % 50 = 0 THEN 'LONG' ELSE 'SHORT' END AS side FROM q WHERE seq % 25 = 0)"
+_ORDERS = f"{Q}, ord AS (SELECT *, CASE WHEN seq % 4 = 1 THEN 'SHORT' ELSE 'LONG' END AS side FROM q WHERE seq % 4 <> 3)"
 
 
 def _imp(lags: list[int], start: str) -> str:
@@ -178,7 +178,7 @@ def _arrays(hist: str, by: str, n_bins: int) -> str:
 ORACLES = {
     "align": _align(10 * MIN),
     "align_offset": _align(30 * MIN, -90 * 10**9),
-    "align_stamps": f"""WITH {Q}, g AS (SELECT s.t + {30 * 10**9} AS t, f.instr FROM (SELECT t FROM q WHERE seq % 97 = 0) s, (SELECT instr, min(t) AS first FROM q GROUP BY 1) f WHERE s.t + {30 * 10**9} >= first)
+    "align_stamps": f"""WITH {Q}, g AS (SELECT s.t + {30 * 10**9} AS t, f.instr FROM (SELECT t FROM q) s, (SELECT instr, min(t) AS first FROM q GROUP BY 1) f WHERE s.t + {30 * 10**9} >= first)
 SELECT g.t, g.instr, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, CAST(bsz AS DOUBLE) AS bsz, CAST(asz AS DOUBLE) AS asz FROM g ASOF JOIN q ON g.instr = q.instr AND g.t >= q.t""",
     "align_multi": _multi("instr", {"click": "a", "view": "b"}, "bid ask"),
     "align_files": _multi("'s' || (seq % 2)", {"s0": "a", "s1": "b"}, "instr bid ask"),
@@ -202,8 +202,8 @@ SELECT instr, est AS t, 'SHORT' AS side, CAST(esp AS DOUBLE) AS price FROM r WHE
 UNION ALL SELECT instr, CASE WHEN side = 1 THEN hbt ELSE lat END, 'CANCEL', CAST(CASE WHEN side = 1 THEN hb ELSE la END AS DOUBLE) FROM (SELECT *, max(rn) OVER (PARTITION BY instr) AS z FROM r) WHERE rn = z AND side <> 0""",
     # market orders only: each is done at the quote that stands when it comes; what is open at the end is closed
     "sex1_market": f"""WITH RECURSIVE {Q}, lq AS (SELECT instr, t, arg_max(bid, seq) AS bid, arg_max(ask, seq) AS ask FROM q GROUP BY 1, 2), span AS (SELECT instr, max(t) AS hi FROM q GROUP BY 1),
-od AS (SELECT instr, t + 60000000 AS t, seq, CASE seq % 50 WHEN 0 THEN 2 WHEN 25 THEN -2 ELSE 0 END AS qty, seq % 50 = 40 AS cancel FROM q WHERE seq % 50 IN (0, 25, 40)),
-met AS (SELECT od.instr, od.t, od.seq, od.qty, od.cancel, max(lq.t) AS qt FROM od JOIN lq ON od.instr = lq.instr AND od.t >= lq.t JOIN span ON span.instr = od.instr WHERE od.t < hi GROUP BY ALL),
+od AS (SELECT instr, t + 60000000 AS t, seq, CASE seq % 4 WHEN 1 THEN -2 WHEN 3 THEN 0 ELSE 2 END AS qty, seq % 4 = 3 AS cancel FROM q),
+met AS (SELECT od.instr, od.t, od.seq, od.qty, od.cancel, lq.t AS qt FROM od ASOF JOIN lq ON od.instr = lq.instr AND od.t >= lq.t JOIN span ON span.instr = od.instr WHERE od.t < hi),
 a AS MATERIALIZED (SELECT met.instr, met.t, met.qty, met.cancel, met.qt, lq.bid, lq.ask, row_number() OVER (PARTITION BY met.instr ORDER BY met.t, met.seq) AS rn FROM met JOIN lq ON met.instr = lq.instr AND met.qt = lq.t),
 r AS (SELECT instr, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS qt, 0 AS qty, CAST(NULL AS DECIMAL(18,2)) AS px, CAST(0 AS DECIMAL(18,2)) AS spread, 0 AS base, CAST(0 AS DECIMAL(18,2)) AS term, CAST(0 AS DECIMAL(18,2)) AS comb, CAST(0 AS DECIMAL(18,2)) AS comt FROM span
   UNION ALL SELECT instr, rn, t, qt, n, px, spread, base + CASE WHEN px IS NULL THEN 0 ELSE n END, CAST(term - CASE WHEN px IS NULL THEN 0 ELSE n * px END AS DECIMAL(18,2)),
@@ -247,7 +247,7 @@ SELECT 'ALL' AS cndl, instr, n, round(mean, 6) AS mean, round(rate, 6) AS rate,
     "loghist_sums": f"""WITH {O}, g AS (SELECT instr, sum(bid) AS v, count(*) AS k FROM o GROUP BY instr, (rn - 1) // 3)
 SELECT instr, CAST(len(bin(CAST(floor(v) AS BIGINT) + 1)) - 1 AS BIGINT) AS bin, CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi, count(*) AS cnt FROM g WHERE k = 3 GROUP BY 1, 2""",
     "thours": f"WITH {LINES}, b AS (SELECT ((t - {4 * DAY}) % {7 * DAY} + {7 * DAY}) % {7 * DAY} // {HOUR} AS bin, count(*) AS cnt FROM l GROUP BY 1) SELECT r.bin, coalesce(cnt, 0) AS cnt FROM (SELECT unnest(range(168)) AS bin) r LEFT JOIN b USING (bin)",
-    "fra": f"""WITH {Q}, f AS (SELECT t, seq, instr, CAST((1 + seq % 3) * 0.01 AS DECIMAL(18,2)) AS pb, CAST((2 + seq % 3) * 0.01 AS DECIMAL(18,2)) AS pa FROM q WHERE seq % 20 = 3)
+    "fra": f"""WITH {Q}, f AS (SELECT t, seq, instr, CAST((1 + seq % 3) * 0.01 AS DECIMAL(18,2)) AS pb, CAST((2 + seq % 3) * 0.01 AS DECIMAL(18,2)) AS pa FROM q)
 SELECT f.t, f.seq, 'F' || f.instr AS fwd_id, CAST(bid + pb AS DOUBLE) AS bid, CAST(ask + pa AS DOUBLE) AS ask FROM f ASOF JOIN q ON f.instr = q.instr AND f.t >= q.t""",
     "spread": f"""WITH {Q}, g AS (SELECT t, seq FROM q WHERE instr IN ('click', 'view'))
 SELECT g.t, g.seq, '+1click-2view' AS instr, CAST(c.bid - 2 * v.ask AS DOUBLE) AS bid, CAST(c.ask - 2 * v.bid AS DOUBLE) AS ask FROM g ASOF JOIN (SELECT * FROM q WHERE instr = 'click') c ON g.t >= c.t ASOF JOIN (SELECT * FROM q WHERE instr = 'view') v ON g.t >= v.t""",
@@ -259,8 +259,8 @@ SELECT g.t, g.instr, CAST(CAST(term AS DECIMAL(18,2)) + base * CASE WHEN base >
     "imp_summary": f"""WITH {_imp(_LAGS, 't')}, m AS (SELECT lag, count(*) AS n, avg(pnl) AS mean, stddev_samp(pnl) AS sd FROM imp GROUP BY lag),
 c AS (SELECT lag, sum((pnl - mean) ** 2) AS m2, sum((pnl - mean) ** 3) AS m3, sum((pnl - mean) ** 4) AS m4 FROM imp JOIN m USING (lag) GROUP BY lag)
 SELECT lag, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sqrt(n) * m3 / m2 ** 1.5, 6) AS skew, round(n * m4 / m2 ** 2 - 3, 6) AS kurt FROM m JOIN c USING (lag)""",
-    "xevent": f"""WITH {Q}, e AS (SELECT t, row_number() OVER (ORDER BY t, seq) + 4 AS chunk, CASE WHEN seq % 1000 = 7 THEN instr ELSE 'SHOCK' END AS mark FROM q WHERE seq % 500 = 7)
-SELECT e.chunk, q.t, q.seq, q.instr, CAST(q.bid AS DOUBLE) AS bid, CAST(q.ask AS DOUBLE) AS ask, CAST(q.bsz AS DOUBLE) AS bsz, CAST(q.asz AS DOUBLE) AS asz, NULL AS mark FROM e JOIN q ON q.t BETWEEN e.t - {30 * MIN} AND e.t + {10 * MIN}
+    "xevent": f"""WITH {Q}, e AS (SELECT t, row_number() OVER (ORDER BY t, seq) + 4 AS chunk, CASE WHEN seq % 2 = 1 THEN instr ELSE 'SHOCK' END AS mark FROM q)
+SELECT e.chunk, q.t, q.seq, q.instr, CAST(q.bid AS DOUBLE) AS bid, CAST(q.ask AS DOUBLE) AS ask, CAST(q.bsz AS DOUBLE) AS bsz, CAST(q.asz AS DOUBLE) AS asz, NULL AS mark FROM e JOIN q ON q.t BETWEEN e.t - {3 * MIN} AND e.t + {MIN}
 UNION ALL SELECT chunk, t, NULL, NULL, NULL, NULL, NULL, NULL, mark FROM e""",
     "rolling": f"""WITH {Q}, n AS (SELECT *, row_number() OVER p AS k, lead(t) OVER p AS nxt FROM q WINDOW p AS (PARTITION BY instr ORDER BY t, seq)),
 h AS (SELECT a.instr, a.k, a.nxt, min(b.t) AS head FROM n a JOIN n b ON a.instr = b.instr AND b.k <= a.k AND b.t > a.t - {HOUR} GROUP BY 1, 2, 3)

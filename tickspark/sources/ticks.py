@@ -132,13 +132,12 @@ def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th event is a LONG order, those at 25 beyond SHORT and at 40 CANCEL; one in three has a limit at its bid."""
+    """Each event as an order, by its number: LONG, SHORT, LONG, CANCEL; one in three that isn't a CANCEL has a limit at its bid."""
     quotes = event_quotes(spark, sf_dir)
-    step = F.col("seq") % 50
-    side = F.when(step == 0, "LONG").when(step == 25, "SHORT").when(step == 40, "CANCEL")
+    side = F.element_at(F.array(*(F.lit(x) for x in ("LONG", "SHORT", "LONG", "CANCEL"))), (F.col("seq") % 4 + 1).cast("int"))
     none = F.lit(None).cast("decimal(18,9)")
-    limit = F.when((F.col("seq") % 3 == 0) & (step != 40), F.col("bid").cast("decimal(18,9)"))
-    return quotes.withColumn("side", side).where("side is not null").select("t", "seq", "side", "instr", limit.alias("limit_px"), none.alias("target_px"), none.alias("stop_px"))
+    limit = F.when((F.col("seq") % 3 == 0) & (F.col("seq") % 4 != 3), F.col("bid").cast("decimal(18,9)"))
+    return quotes.withColumn("side", side).select("t", "seq", "side", "instr", limit.alias("limit_px"), none.alias("target_px"), none.alias("stop_px"))
 
 
 def split_files(quotes: DataFrame, files: int) -> list[DataFrame]:
