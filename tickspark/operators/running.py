@@ -39,6 +39,20 @@ def previous(df: DataFrame, columns: dict[str, str], by: list[str], every: str |
     return named.select(*df.columns, *(F.col(f"_before.{c}").alias(n) for n, c in columns.items()))
 
 
+def lately(df: DataFrame, columns: list[str], n: int, by: list[str], every: str | int = SLICE) -> DataFrame:
+    """``df`` with ``_back``, the given columns of up to ``n`` rows before as structs, the nearest one last: one pass for several
+    lags. A slice carries its last ``n`` rows; as each slice has a row, ``n`` slices back are enough."""
+    keys, row = [*by, "_slice"], F.struct(*columns)
+    cut = cut_at(df, every).withColumn("_row", row)
+    inside = Window.partitionBy(*keys).orderBy("t", "seq")
+    seen = cut.withColumn("_in", F.collect_list("_row").over(inside.rowsBetween(-n, -1))).withColumn("_to_go", F.row_number().over(inside.orderBy(F.desc("t"), F.desc("seq"))))
+    ends = seen.where(F.col("_to_go") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "seq", F.col("_row").alias("x")))).alias("_ends"))
+    over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(-n, -1)
+    carried = ends.select(*keys, F.flatten(F.collect_list(F.transform("_ends", lambda e: e["x"])).over(over)).alias("_from"))
+    both = F.concat("_from", "_in")
+    return seen.join(carried, keys).select(*df.columns, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n)).alias("_back"))
+
+
 def extremes_before(df: DataFrame, low: dict[str, str], high: dict[str, str], by: list[str], every: str | int = SLICE, order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
     """``df`` with the least (low) and largest (high) values of columns over all rows before in ``by``, slice by slice."""
     keys = [*by, "_slice"]

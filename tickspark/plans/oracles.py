@@ -115,7 +115,7 @@ seg AS (SELECT t, seq, instr, since, {name(old)} AS old, {name(new)} AS new, rou
 
 
 def _accsum(gross: bool, edge: bool) -> str:
-    return f"""{_segments(gross, edge)}, held AS (SELECT instr, old AS side, count(*) FILTER (rpnl > 0) AS hits, CAST(sum(t - since) AS BIGINT) AS "time", sum(rpnl) AS rpnl, sum(greatest(rpnl, 0)) AS rp, sum(least(rpnl, 0)) AS rl, max(rpnl) AS best, min(rpnl) AS worst FROM seg GROUP BY 1, 2),
+    return f"""{_segments(gross, edge)}, held AS (SELECT instr, old AS side, count(*) FILTER (rpnl > 0) AS hits, CAST(sum(t - since) AS BIGINT) AS "time", CAST(sum(CAST(rpnl AS DECIMAL(28,6))) AS DOUBLE) AS rpnl, CAST(sum(CAST(greatest(rpnl, 0) AS DECIMAL(28,6))) AS DOUBLE) AS rp, CAST(sum(CAST(least(rpnl, 0) AS DECIMAL(28,6))) AS DOUBLE) AS rl, max(rpnl) AS best, min(rpnl) AS worst FROM seg GROUP BY 1, 2),
 ent AS (SELECT instr, new AS side, count(*) AS n FROM seg GROUP BY 1, 2),
 stats AS (SELECT instr, side, coalesce(hits, 0) AS hits, coalesce(n, 0) AS "count", coalesce("time", 0) AS "time", round(coalesce(rpnl, 0), 6) AS rpnl, round(coalesce(rp, 0), 6) AS rp, round(coalesce(rl, 0), 6) AS rl, round(best, 6) AS best, round(worst, 6) AS worst, round(coalesce(rpnl, 0) / nullif(n, 0), 6) AS avg FROM held FULL JOIN ent USING (instr, side))"""
 
