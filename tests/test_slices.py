@@ -65,6 +65,8 @@ def turning(rows, limit):
 @pytest.mark.parametrize(("quantum", "repeat"), [("0.15", False), ("0.155", True), (None, False)])
 def test_moves_over_slices_equal_the_loop(spark, quantum, repeat):
     df, rows = walk(spark, 400, 3)
+    if quantum is None:
+        assert sorted(map(str, folds.mid_latent(df).collect())) == sorted(map(str, folds.qq(df).collect()))
     want = moving(rows, None if quantum is None else Decimal(quantum), repeat)
     for size in (10**6, 17):
         got = folds.qq(df, quantum, repeat=repeat, rows=size)

@@ -29,10 +29,15 @@ def draw(seed: int, name: str) -> Column:
 
 
 def gentrades(spark: SparkSession, n: int, means: tuple[float, float, float] = (60.0, 60.0, 60.0), onward: tuple[float, float, float] = (0.5, 0.5, 0.5), seed: int = 1, streams: int = 1) -> DataFrame:
-    """stream, seq, t, side: ``n`` trades of each stream, starting at 0. A state is held for an exponential time of its mean
+    """``trades`` for ``n`` numbers of each of so many streams."""
+    return trades(spark.range(n * streams).select((F.col("id") % streams).alias("stream"), "id"), means, onward, seed)
+
+
+def trades(drawn: DataFrame, means: tuple[float, float, float] = (60.0, 60.0, 60.0), onward: tuple[float, float, float] = (0.5, 0.5, 0.5), seed: int = 1) -> DataFrame:
+    """stream, seq, t, side: a trade for each row (stream, id) of a table, those of a stream by number, starting at 0. A state is held for an exponential time of its mean
     (seconds, cut to milliseconds); with its share of ``onward`` the next state in the cycle follows, else the one after
     (``onward_shares`` has them from six rates). Streams are reproducible from the seed."""
-    dice = spark.range(n * streams).select((F.col("id") % streams).alias("stream"), F.col("id").alias("seq"), draw(seed, "wait").alias("u"), draw(seed, "turn").alias("v"), F.lit(0).alias("t"))
+    dice = drawn.select("stream", F.col("id").alias("seq"), draw(seed, "wait").alias("u"), draw(seed, "turn").alias("v"), F.lit(0).alias("t"))
 
     def start() -> dict:
         return {"state": 0, "t": 0}

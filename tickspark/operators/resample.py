@@ -25,12 +25,17 @@ def align(df: DataFrame, every: str | int, offset: str | int = 0, by: list[str]
     return last.select(F.col("edge").alias("t"), *by, *(F.col(f"x.{c}") for c in cols))
 
 
+#: Deals of stamps that meet all instruments.
+DEALS = 64
+
+
 def align_stamps(df: DataFrame, stamps: DataFrame, offset: str | int = 0, by: list[str] = BY, every: str | int = "1d") -> DataFrame:
     """For each stamp plus offset at or after an instrument's first row: the last row at or before it."""
     cols = [c for c in df.columns if c not in (*by, "t", "seq")]
-    grid = stamps.select((F.col("t") + duration(offset)).alias("t"), F.col("t").alias("seq"))
-    groups = df.groupBy(*by).agg(F.min("t").alias("first"))
-    each = groups.join(grid, F.col("t") >= F.col("first")).select(*by, "t", "seq")
+    # each instrument takes each stamp from its first row on: that many rows come out; stamps are dealt, instruments go to all deals
+    grid = stamps.select((F.col("t") + duration(offset)).alias("t"), F.col("t").alias("seq")).withColumn("_deal", F.pmod(F.xxhash64("t"), F.lit(DEALS)).cast("int"))
+    groups = df.groupBy(*by).agg(F.min("t").alias("first")).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    each = grid.join(groups, "_deal").where("t >= first").select(*by, "t", "seq")
     return asof(each, df, cols, by, every).select("t", *by, *cols)
 
 

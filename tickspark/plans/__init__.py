@@ -152,5 +152,5 @@ QUERIES = {
     "accsum_gross": lambda s, d: accounts.accsum(account_rows(s, d), exec_rows(s, d), gross=2, edge=True),
     "accsum_report": lambda s, d: accounts.accsum_report(account_rows(s, d)),
     "accrpl": lambda s, d: accounts.accrpl(account_rows(s, d), rewind="1s"),
-    "gentrades": lambda s, d: generate.gentrades(s, 500, seed=7, streams=4),
+    "gentrades": lambda s, d: generate.trades(quotes(s, d).select(F.col("instr").alias("stream"), F.col("seq").alias("id")), seed=7),
 }

@@ -214,7 +214,7 @@ z AS (SELECT r.*, lq.t AS lt, lq.bid, lq.ask FROM (SELECT *, max(rn) OVER (PARTI
 every AS (SELECT instr, t, qty, px, spread, t - qt AS age, base, term, comb, comt FROM r WHERE rn > 0
   UNION ALL SELECT instr, lt, -base, p, ask - bid, 0, 0, term + base * p, round(comb - abs(base) * 0.001, 2), round(comt - abs(base * p) * 0.0001, 2) FROM (SELECT *, CASE WHEN base > 0 THEN bid ELSE ask END AS p FROM z))
 SELECT instr, t, CASE WHEN px IS NULL THEN 'REJ' ELSE 'EXE' END AS verb, CAST(qty AS DOUBLE) AS qty, CAST(px AS DOUBLE) AS px, CAST(spread AS DOUBLE) AS spread, age, CAST(base AS DOUBLE) AS base, CAST(term AS DOUBLE) AS term, CAST(comb AS DOUBLE) AS comb, CAST(comt AS DOUBLE) AS comt FROM every""",
-    "gentrades": """WITH RECURSIVE dice AS (SELECT id % 4 AS stream, id AS seq, id // 4 AS k, CAST('0x' || substr(md5('7:wait:' || id), 1, 13) AS BIGINT) / (1::BIGINT << 52) AS u, CAST('0x' || substr(md5('7:turn:' || id), 1, 13) AS BIGINT) / (1::BIGINT << 52) AS v FROM range(2000) x(id)),
+    "gentrades": """WITH RECURSIVE dice AS (SELECT event_type AS stream, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, CAST('0x' || substr(md5('7:wait:' || event_id), 1, 13) AS BIGINT) / (1::BIGINT << 52) AS u, CAST('0x' || substr(md5('7:turn:' || event_id), 1, 13) AS BIGINT) / (1::BIGINT << 52) AS v FROM events),
 r AS (SELECT stream, seq, k, CAST(0 AS BIGINT) AS t, 0 AS s, u, v FROM dice WHERE k = 0
   UNION ALL SELECT d.stream, d.seq, d.k, r.t + CAST(floor(-ln(1 - r.u) * 60.0 * 1000) AS BIGINT) * 1000000, (r.s + CASE WHEN r.v < 0.5 THEN 1 ELSE 2 END) % 3, d.u, d.v FROM r JOIN dice d ON d.stream = r.stream AND d.k = r.k + 1)
 SELECT stream, seq, t, ['CANCEL', 'LONG', 'SHORT'][s + 1] AS side FROM r""",
