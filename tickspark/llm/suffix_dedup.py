@@ -351,4 +351,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"))
