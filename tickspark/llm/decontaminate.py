@@ -3,9 +3,10 @@
 Every window of 13 consecutive words of a benchmark item (all words of a shorter item) is a pattern over normalised text;
 each document is normalised the same way, scanned once, and matches are mapped back to its words and to byte spans of the
 original. The automaton is built once in each Python worker from a broadcast of the items, and is bounded: windows of up to
-``max_pattern_bytes`` go into one, some 200 MB of memory as it stands. The items of a larger benchmark are dealt into parts,
-each with its own automaton, that scan one after the other and add to each other's hits, so that nothing is left out. The
-benchmark's text as such passes through the driver.
+``max_pattern_bytes`` go into one, some 200 MB of memory as it stands. The items of a larger benchmark are dealt into parts with
+an automaton each. A worker holds one of them at a time: it takes texts in groups of ``group_bytes``, scans a group with one
+automaton after the other, and adds up what they find. The benchmark's text passes through the driver and is broadcast by
+part.
 
 Words: A-Z are lower-cased; letters, digits and all characters beyond ASCII belong to words, all else separates.
 
@@ -124,35 +125,54 @@ def united(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, max_pattern_bytes: int = 4 << 20) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, max_pattern_bytes: int = 4 << 20, group_bytes: int = 64 << 20) -> DataFrame:
     """``keep`` columns and FIELDS of every row: words, words hit, items met, and spans of hit bytes in the original."""
     bounded_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     names = [f"_k{i}" for i in range(len(keep))]
     df = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").alias("_text"))
     schema = ", ".join([*(f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)), FIELDS])
-    parts = list(parts_of(benchmark, max_pattern_bytes, window))
+    shared = [docs.sparkSession.sparkContext.broadcast(part) for part in parts_of(benchmark, max_pattern_bytes, window)]
+    key = uuid.uuid4().hex
     types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "past")])))
-    for i, part in enumerate(parts):
-        key, shared, last = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part), i + 1 == len(parts)
-        held = names if last else [*names, "_text"]
-
-        def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared, first=not i, held=held) -> Iterator[pa.RecordBatch]:
-            if key not in _automata:
-                _automata.clear()
-                _automata[key] = built(shared.value, window)
-            for b in batches:
-                rows = list(scan(_automata[key], *raw(b.column("_text"))))
-                if not first:  # what the automata before have found stays
-                    before = zip(b.column("items").to_pylist(), b.column("spans").to_pylist(), strict=True)
-                    spans = [united(s, r[3]) for r, (_, s) in zip(rows, before, strict=True)]
-                    items = [sorted({*own, *r[2]}) for r, own in zip(rows, b.column("items").to_pylist(), strict=True)]
-                    rows = [(r[0], sum(s["past"] - s["first"] for s in sp), it, sp) for r, it, sp in zip(rows, items, spans, strict=True)]
-                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-                yield pa.record_batch([b.column(c) for c in held] + made, [*held, "n_words", "n_hit", "items", "spans"])
 
-        df = df.mapInArrow(run, schema if last else schema.replace(FIELDS, f"_text string, {FIELDS}"))
-    return df.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "n_words", "n_hit", "items", "spans")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(batches, group_bytes if len(shared) > 1 else 0):
+            found: list[list | None] = [None] * len(group)
+            # the automaton that is held goes first, so that each group builds one less
+            for i in sorted(range(len(shared)), key=lambda i: (key, i) not in _automata):
+                if (key, i) not in _automata:
+                    _automata.clear()
+                    _automata[key, i] = built(shared[i].value, window)
+                for j, b in enumerate(group):
+                    rows = list(scan(_automata[key, i], *raw(b.column("_text"))))
+                    found[j] = rows if found[j] is None else [both(x, y) for x, y in zip(found[j], rows, strict=True)]
+            for b, rows in zip(group, found, strict=True):
+                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                yield pa.record_batch([b.column(c) for c in names] + made, [*names, "n_words", "n_hit", "items", "spans"])
+
+    found = df.mapInArrow(run, schema)
+    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "n_words", "n_hit", "items", "spans")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of so many bytes, or a batch more than that."""
+    group: list[pa.RecordBatch] = []
+    held = 0
+    for b in batches:
+        group.append(b)
+        held += b.nbytes
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def both(x: tuple, y: tuple) -> tuple:
+    """What two automata have found in one text."""
+    spans = united(x[3], y[3])
+    return x[0], sum(s["past"] - s["first"] for s in spans), sorted({*x[2], *y[2]}), spans
 
 
 def contaminated():

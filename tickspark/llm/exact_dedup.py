@@ -8,7 +8,7 @@ shuffle). If texts differ under one digest, the texts themselves take its place
 
 Edge cases: a null text counts as empty; rows with empty texts are one group; a null identifier is never kept in favour
 of another one, but counts; rows that repeat identifier and text count each and share the decision; an empty table gives
-no rows; other columns are ignored.
+no rows; a very long text is digested whole and compared only with texts of its digest; other columns are ignored.
 """
 
 from __future__ import annotations

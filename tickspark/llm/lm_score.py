@@ -13,7 +13,8 @@ Words are what blanks separate, A-Z lower-cased; n-grams are counted by hashes o
 a billion distinct n-grams some 0.05 pairs are expected to meet by chance and then count together.
 
 Edge cases: a null, empty or blank text has 0 words, log_prob 0 and no perplexity; repeated rows count each; a null
-identifier is scored like any other; an empty table gives no rows; other columns are ignored.
+identifier is scored like any other; a very long text is hashed slice by slice, in a block of its own; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

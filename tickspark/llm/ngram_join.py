@@ -15,7 +15,8 @@ Components come out as if all links had been formed: a pair that isn't tried lie
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer than five words has its
 whole sequence as its only shingle; rows that share an identifier count as one document; a null identifier stays alone;
-an empty table gives no rows; other columns are ignored.
+a very long text makes a block of its own and has as many shingles as it has words; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ the identifier), whatever the size of the table; every text is scored whole.
 
 Edge cases: null and empty texts have no features and score as the model's intercept says; labels that are null or
 given with both values for one identifier are left out; without labels of both classes every score is the share of label
-1 (0.5 without labels); repeated rows are scored alike; an empty table gives no rows.
+1 (0.5 without labels); repeated rows are scored alike; a very long text is scored whole, slice by slice, and not learnt from;
+an empty table gives no rows; other columns are ignored or kept as asked.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ their strings are counted by a 63-bit hash of all ``length`` bytes, by packed ex
 
 Edge cases: null and empty texts, and texts shorter than ``length``, keep all; rows that repeat an identifier are each a
 document, judged by place, so that equal rows are repeats of each other; overlapping and periodic repeats count; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a very long text is cut whole, in a block of its own; other columns are ignored.
 """
 
 from __future__ import annotations
