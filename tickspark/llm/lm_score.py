@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores from the corpus' own n-gram counts.
 
 Counts of uni-, bi- and trigrams over all documents are tables partitioned by hash (packed exchange): each block of
-documents sends its distinct n-grams with their counts, the partition that owns an n-gram sums them, and the sums join
+documents, as they lie in a task, sends its distinct n-grams with their counts, the partition that owns an n-gram sums them, and the sums join
 back to the block's n-grams, whose scores are summed per document. A trigram can be met ``at_least`` times only if both of its
 bigrams are, so trigrams are counted in a second round, and those alone whose bigrams were met that often.
 
@@ -19,17 +19,21 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm import exchange
-from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash, prefix_hash, raw, slices, span_hash, text_bytes, word_spans
+from tickspark.llm.text import LOWER, SHINGLE_WORD, bounded_batches, gram_hash, mix, prefix_hash, raw, slices, span_hash, text_bytes, word_spans
 
 ALPHA = 0.4
 AT_LEAST = 2
 KEY_BITS = 63  # the widest that exchange takes
+BLOCKS = "block int, ids array<long>, sizes array<long>, texts binary"
 SCORES = "doc_id long, n_words long, log_prob double, n_tri long, n_bi long, n_uni long"
 
 
@@ -53,17 +57,53 @@ def grams(words: np.ndarray, row: np.ndarray, shift: np.uint64) -> dict[int, tup
     return out
 
 
+def packed_texts(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """BLOCKS: identifiers, lengths and compressed bytes of the texts of a task, in stretches of ``block_bytes`` (a longer text
+    stands alone). A block's number is a mix of its task's and its own; two that meet by chance are taken together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, size, made, task = [], [], 0, 0, 0
+
+        def block() -> pa.RecordBatch:
+            number = int(mix(np.array([task << 32 | made], np.uint64))[0] >> np.uint64(33))
+            blob = zstandard.ZstdCompressor().compress(b"".join(parts))
+            return pa.record_batch([pa.array([number], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["block", "ids", "sizes", "texts"])
+
+        for b in batches:
+            task = b.column("task")[0].as_py() if b.num_rows else task
+            data, offsets = raw(b.column("text"))
+            for i, ident in enumerate(b.column("doc_id").to_pylist()):
+                text = data[offsets[i] : offsets[i + 1]].tobytes()
+                if parts and size + len(text) > block_bytes:
+                    yield block()
+                    ids, parts, size, made = [], [], 0, made + 1
+                ids.append(ident)
+                parts.append(text)
+                size += len(text)
+        if parts:
+            yield block()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("task")).mapInArrow(run, BLOCKS)
+
+
+def opened(table: pa.Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(identifiers, bytes, offsets) of the texts in rows of BLOCKS."""
+    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table.column("texts").to_pylist())
+    sizes = [n for row in table.column("sizes").to_pylist() for n in row]
+    return [d for row in table.column("ids").to_pylist() for d in row], np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+
+
 def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, block_bytes: int = 4 << 20) -> DataFrame:
     """SCORES of every row: words, natural log of the summed scores, and how many words each order scored."""
     bounded_batches(docs.sparkSession)
     n_bytes = text_bytes(docs)
-    blocks, buckets = exchange.block_counts(n_bytes, block_bytes)
+    _, buckets = exchange.block_counts(n_bytes, block_bytes)
     bits = KEY_BITS
     shift = np.uint64(64 - bits)
-    texts = exchange.by_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks).groupBy("block")
+    texts = packed_texts(docs, block_bytes).groupBy("block")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        words, row = word_hashes(*raw(table.column("text")))
+        words, row = word_hashes(*opened(table)[1:])
         found = grams(words, row, shift)
         kinds = {order: np.unique(found[order][0], return_counts=True) for order in (1, 2)}
         kinds[0] = (np.zeros(1, np.uint64), np.array([len(words)]))  # all words, under one key
@@ -85,7 +125,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
         return keys[may], last[may]
 
     def ask_longer(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        words, row = word_hashes(*raw(table.column("text")))
+        words, row = word_hashes(*opened(table)[1:])
         found = grams(words, row, shift)
         keys, _ = hopeful(found, met(found, told, 2, len(words)))
         return exchange.requests(key[0].as_py(), {3: np.unique(keys, return_counts=True)}, buckets, bits)
@@ -93,7 +133,8 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
     longer = exchange.totals(texts.cogroup(shorter.groupBy("block")).applyInArrow(ask_longer, exchange.REQUEST))
 
     def add(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        words, row = word_hashes(*raw(table.column("text")))
+        ids, data, offsets = opened(table)
+        words, row = word_hashes(data, offsets)
         total = float(exchange.answered(told, 0, np.zeros(1, np.uint64), buckets, bits)[0])
         found = grams(words, row, shift)
         c = {order: met(found, told, order, len(words)) for order in (1, 2)}
@@ -106,10 +147,10 @@ def scores(docs: DataFrame, alpha: float = ALPHA, at_least: int = AT_LEAST, bloc
         with np.errstate(divide="ignore", invalid="ignore"):
             low = np.where(bi, c[2] / before[1], np.where(first, 1.0, alpha) * c[1] / total)
             value = np.where(tri, c[3] / before[2], np.where(first | second, 1.0, alpha) * low)
-        n = table.num_rows
+        n = len(ids)
         many = lambda of: np.bincount(row[of], minlength=n)
         made = (np.bincount(row, minlength=n), np.bincount(row, np.log(value), n).astype(np.float64), many(tri), many(bi & ~tri), many(~bi & ~tri))
-        return pa.table([table.column("doc_id"), *(pa.array(m) for m in made)], ["doc_id", "n_words", "log_prob", "n_tri", "n_bi", "n_uni"])
+        return pa.table([pa.array(ids, pa.int64()), *(pa.array(m) for m in made)], ["doc_id", "n_words", "log_prob", "n_tri", "n_bi", "n_uni"])
 
     return texts.cogroup(shorter.unionByName(longer).groupBy("block")).applyInArrow(add, SCORES)
 
