@@ -2,7 +2,8 @@
 
 Each stage takes all that the one before kept, with the columns of ``documents``; the last returns the packed pieces. An
 empty table passes through all stages; rows with null texts are scored as empty texts and, if they stay, count as copies of
-the empty text. Other columns than those of COLUMNS don't enter.
+the empty text. Of rows that repeat identifier and text one stays; equal texts keep their largest identifier, near copies
+their smallest. Very long texts are judged whole and packed in pieces. Other columns than those of COLUMNS don't enter.
 """
 
 from __future__ import annotations
