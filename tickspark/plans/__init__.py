@@ -143,7 +143,7 @@ QUERIES = {
     "sma": _one(lambda q: smooth.sma(q, "1h")),
     "ewma": lambda s, d: smooth.ewma(quotes(s, d), ["bid", "ask"], "1h", by=["instr"]).select("t", "seq", "instr", *(F.round(c, 6).alias(c) for c in ("bid_mean", "bid_dev", "ask_mean", "ask_dev"))),
     "sea_profile": lambda s, d: _sea(s, d).select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
-    "sea_profile_sprd": lambda s, d: _sea(s, d, "sprd").select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
+    "sea_profile_sprd": lambda s, d: _sea(s, d, "sprd").select("bin", "n", F.round("mean", 4).alias("mean"), F.round("var", 1).alias("var")),
     "sea_profile_velo": lambda s, d: _sea(s, d, "velo").select("bin", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var")),
     "sea_apply": lambda s, d: plain(smooth.sea_apply(quotes(s, d), _sea(s, d)).select("t", "seq", "instr", "bid", "ask")),
     "sea_reverse": lambda s, d: plain(smooth.sea_apply(quotes(s, d), _sea(s, d), reverse=True).select("t", "seq", "instr", "bid", "ask")),

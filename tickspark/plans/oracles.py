@@ -289,7 +289,7 @@ SELECT b.*, round(rpnl / nullif("count", 0), 6) AS avg, round(hits / nullif("cou
 
 _ERLANG = f"WITH {_GAPS.format(where='')} SELECT 'ALL' AS cndl, instr, bin, lo, hi, cnt FROM hist"
 ORACLES |= {
-    "sea_profile_sprd": f"WITH {_profile('abs(change) / (CAST(ask - bid AS DOUBLE) / 2)')} SELECT bin, n, round(mean, 6) AS mean, round(var, 6) AS var FROM prof",
+    "sea_profile_sprd": f"WITH {_profile('abs(change) / (CAST(ask - bid AS DOUBLE) / 2)')} SELECT bin, n, round(mean, 4) AS mean, round(var, 1) AS var FROM prof",
     "quodist_arrays": _arrays(ORACLES["quodist_res3"], "cndl, instr, dimen", 1 << 13),
     "evt_erlang_all": f"""WITH h AS ({_ERLANG}) SELECT 'ALL' AS cndl, g.instr, b.bin, CAST((1::BIGINT << b.bin) - 1 AS DOUBLE) AS lo, CAST((1::BIGINT << (b.bin + 1)) - 1 AS DOUBLE) AS hi, coalesce(cnt, 0) AS cnt
 FROM (SELECT DISTINCT instr FROM h) g CROSS JOIN (SELECT CAST(unnest(range(32)) AS BIGINT) AS bin) b LEFT JOIN h ON h.instr = g.instr AND h.bin = b.bin""",
