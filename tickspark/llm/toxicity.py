@@ -36,6 +36,8 @@ ORDERS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Rows, and bytes of their chosen features, that a partition of the fit holds at once.
 PART_ROWS, PART_BYTES = 50_000, 32 << 20
+#: Rows of a partition of the fit at the least.
+LEAST_ROWS = 512
 #: Parts in which counts are added up before they come to the driver, and how many tasks' results meet in one group.
 SUMS, FAN = 64, 64
 
@@ -182,9 +184,11 @@ def fitted(held: DataFrame, positive: list[np.ndarray], prior: float, ratio: np.
 
 
 def dealt(short: DataFrame) -> DataFrame:
-    """Rows of chosen features dealt evenly for the fit: to each core, and to more tasks where a task would hold too much."""
+    """Rows of chosen features dealt evenly for the fit: to each core if it gets LEAST_ROWS, so that a task has something to learn
+    from, and to more tasks where one would hold too much."""
     rows, size = short.agg(F.count(F.lit(1)), F.sum(F.octet_length("codes"))).first()
-    return short.repartition(max(short.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS), -(-(size or 0) // PART_BYTES)))
+    cores = min(short.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS)
+    return short.repartition(max(1, cores, -(-rows // PART_ROWS), -(-(size or 0) // PART_BYTES)))
 
 
 def intercept_for(held: DataFrame, weights: np.ndarray, prior: float) -> float:
