@@ -1,5 +1,6 @@
 """Exact, near and line copies, repeated strings and packing against plain versions."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -45,6 +46,22 @@ def test_equal_digests_of_unequal_texts_are_told_apart(spark):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in found} == {(i, i % 30, 2) for i in range(60)}
 
 
+@pytest.mark.parametrize("runs", [1, 2, 3, 8])
+def test_runs_are_compacted_level_by_level(spark, runs):
+    rng = random.Random(runs)
+    rows = [(rng.randrange(runs), rng.randrange(400), i) for i in range(3000)]
+    memtables = spark.createDataFrame(rows, "run int, x int, id long").select("run", F.unhex(F.sha2(F.col("x").cast("string"), 256)).alias("digest"), "id")
+    level = exact_dedup.flush(memtables)
+    assert level.count() == len({r[:2] for r in rows})
+    for bits in (6, 20):  # filters that hold nearly everything, and that tell most digests apart
+        got = {(bytes(r.digest), r.id, r.n) for r in exact_dedup.compact(level, runs, bits).collect()}
+        want = {}
+        for _, x, i in rows:
+            low, n = want.get(x, (i, 0))
+            want[x] = (min(low, i), n + 1)
+        assert got == {(hashlib.sha256(str(x).encode()).digest(), *v) for x, v in want.items()}
+
+
 def test_exact_dedup_of_awkward_rows(spark):
     df = awkward(spark)
     rows = exact_dedup.exact_groups(df).collect()

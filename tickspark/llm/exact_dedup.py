@@ -1,10 +1,11 @@
 """Exact deduplication by a log-structured merge index, in DataFrame and SQL functions only.
 
 A row's digest goes to one of ``runs`` memtables; each is flushed as a run of distinct digests, sorted, with its smallest
-identifier, its count and a bitmap filter (one bit for a digest). Compaction merges a digest with the other runs only if one of their filters
-may hold it, and keeps the smallest identifier; all other digests pass as they are. Digests with more than one row are
-hits: their texts are compared byte by byte (smallest against largest text of a digest, pre-aggregated before the
-shuffle). If texts differ under one digest, the texts themselves take its place as key.
+identifier, its count and a bitmap filter (one bit for a digest). Compaction joins two runs to one at each level, until one
+is left: a digest meets the neighbouring run only if that run's filter may hold it, rows of both are walked in order of digest
+and identifier, and the smallest identifier stays; all other digests pass as they are. Digests with more than one row are
+hits: their texts are compared byte by byte (smallest against largest text of a digest, pre-aggregated before the shuffle). If
+texts differ under one digest, the texts themselves take its place as key.
 
 Edge cases: a null text counts as empty; rows with empty texts are one group; a null identifier is never kept in favour
 of another one, but counts; rows that repeat identifier and text count each and share the decision; an empty table gives
@@ -63,15 +64,32 @@ def flush(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run", "digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("run", "digest")
 
 
-def compact(runs: DataFrame, bits: int) -> DataFrame:
-    """One run of all: (digest, id, n), the smallest id of each digest. Only digests that another run's filter may hold are merged."""
+def merge(level: DataFrame, pages: DataFrame, bits: int) -> DataFrame:
+    """The runs of a level two by two: (run, digest, id, n) with half as many runs, each digest once in a run, its smallest id.
+
+    A digest that its run's neighbour can't hold, by the neighbour's filter, passes as it is. The others are dealt by range of
+    digests and sorted by run, digest and id; the window then walks the two runs side by side, two rows a digest at the most.
+    """
     at = filter_position(F.col("digest"), bits)
-    pages = filters(runs, bits).groupBy("slot").agg(F.collect_list(F.struct("run", "word")).alias("pages"))
+    held = pages.select(F.col("run").bitwiseXOR(F.lit(1)).alias("run"), "slot", "word")
     # bounded by runs * 2**bits bits: 2 MB as the defaults stand
-    probed = runs.withColumn("slot", filter_word(at)).join(F.broadcast(pages), "slot").withColumn("at", at)
-    probed = probed.withColumn("met", F.exists("pages", lambda p: (p["run"] != F.col("run")) & has_bit(p["word"], F.col("at"))))
-    merged = probed.where("met").groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
-    return merged.unionByName(probed.where("not met").select("digest", "id", "n"))
+    probed = level.withColumn("slot", filter_word(at)).join(F.broadcast(held), ["run", "slot"], "left")
+    probed = probed.select(F.expr("run div 2").cast("int").alias("run"), "digest", "id", "n", has_bit(F.col("word"), at).alias("met"))
+    same = Window.partitionBy("digest", "run").orderBy(F.asc_nulls_last("id"))
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    beside = probed.where("met").repartition("digest").withColumn("place", F.row_number().over(same)).withColumn("n", F.sum("n").over(whole))
+    return beside.where("place = 1").select("run", "digest", "id", "n").unionByName(probed.where("not met").drop("met"))
+
+
+def compact(level: DataFrame, runs: int, bits: int) -> DataFrame:
+    """One run of all: (digest, id, n), the smallest id of each digest. Two runs become one at each level, until one is left;
+    their filters are joined bit by bit."""
+    pages = cut(filters(level, bits))
+    while runs > 1:
+        level = cut(merge(level, pages, bits))
+        pages = pages.groupBy(F.expr("run div 2").cast("int").alias("run"), "slot").agg(F.bit_or("word").alias("word"))
+        runs = -(-runs // 2)
+    return level.select("digest", "id", "n")
 
 
 def differing(docs: DataFrame, hits: DataFrame, norm: Column, digest, bits: int) -> DataFrame:
@@ -107,8 +125,8 @@ def exact_groups(docs: DataFrame, smallest: bool = True, runs: int = 4, filter_b
 
 
 def _indexed(entries: DataFrame, ident: Column, runs: int, bits: int) -> DataFrame:
-    dealt = entries.select(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), "digest", ident.alias("id"))
-    return cut(compact(cut(flush(dealt)), bits))
+    dealt = entries.select(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"), "digest", ident.alias("id"))
+    return compact(cut(flush(dealt)), runs, bits)
 
 
 def _decided(entries: DataFrame, hits: DataFrame, smallest: bool) -> DataFrame:
