@@ -258,6 +258,25 @@ def test_repeated_strings_equal_a_lookup(spark, seed, hot):
     assert {r.doc_id: tuple(r)[1:] for r in found} == dict(enumerate(cut_repeats(texts, 60)))
 
 
+def test_a_passage_in_twenty_thousand_places_equals_a_lookup(spark):
+    rng = random.Random(8)
+    passage = words_of(rng, 12, 10**6)
+    texts = [f"{rng.randrange(10**9)} {passage} {rng.randrange(10**9)}" for _ in range(20_000)]
+    for i in range(0, 20_000, 5000):  # a few go on alike beyond the passage
+        texts[i] = f"{passage} and the same words behind it"
+    df = docs_of(spark, texts)
+    found = suffix_dedup.repeats(df, length=60, gram=16, block_bytes=300_000).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in found} == dict(enumerate(cut_repeats(texts, 60)))
+
+
+@pytest.mark.parametrize(("n", "goes"), [(300, 0), (399, 0), (400, 400), (800, 800)])
+def test_planted_passages_of_so_many_bytes(spark, n, goes):
+    rng = random.Random(n)
+    passage = words_of(rng, 400, 10**6)[:n]
+    texts = [f"{words_of(rng, 60, 10**9)}{end}{passage}{end}{words_of(rng, 60, 10**9)}" for end in "<>[]|"]
+    assert {r.n_removed for r in suffix_dedup.repeats(docs_of(spark, texts)).collect()} == {goes}
+
+
 def test_query_equals_a_lookup_of_every_400_bytes(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
     want = dict(zip((r.doc_id for r in rows), cut_repeats([r.text for r in rows], 400), strict=True))

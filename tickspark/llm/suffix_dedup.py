@@ -12,7 +12,8 @@ anchors of equal hash need comparing, and about one byte in 150 is one.
 3. Each document removes what its repeated strings cover.
 
 Anchors of one hash in more than ``hot`` places (a passage that a large part of the corpus shares) don't fit one bucket:
-their strings are counted by a 63-bit hash of all ``length`` bytes, by packed exchange.
+their strings are counted by packed exchange under two independent 63-bit hashes of all ``length`` bytes, and are repeated
+if both were met more than once.
 
 Edge cases: null and empty texts, and texts shorter than ``length``, keep all; rows that repeat an identifier are each a
 document, judged by place, so that equal rows are repeats of each other; overlapping and periodic repeats count; an empty
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm import exchange
-from tickspark.llm.text import bounded_batches, prefix_hash, raw, slices, span_hash, text_bytes
+from tickspark.llm.text import OTHER_CODE, bounded_batches, prefix_hash, raw, slices, span_hash, text_bytes
 
 LENGTH = 400
 GRAM = 100
@@ -226,10 +227,12 @@ def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return row[first], start[first], np.maximum.reduceat(stop, first)
 
 
-def _hot_strings(running: np.ndarray, first: np.ndarray, last: np.ndarray, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 63-bit hashes of all strings that the chosen anchors name."""
-    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[chosen], last[chosen], strict=True)] or [np.zeros(0, np.int64)])
-    return starts, span_hash(running, starts, starts + length) >> np.uint64(1)
+def _hot_strings(part: np.ndarray, running: np.ndarray, first: np.ndarray, last: np.ndarray, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and two 63-bit hashes of all strings that the chosen anchors name."""
+    if not len(chosen):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[chosen], last[chosen], strict=True)])
+    return starts, *(span_hash(r, starts, starts + length) >> np.uint64(1) for r in (running, prefix_hash(part, OTHER_CODE)))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 4 << 20, hot: int = HOT) -> DataFrame:
@@ -310,9 +313,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
         _, data, offsets = opened(table)
         placed = list(anchors(data, offsets, length, gram))
         keys, totals = known(told, placed)
-        strings = [_hot_strings(running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length)[1] for _, _, running, _, hashes, first, last in placed] if (totals > hot).any() else []
-        found, counts = np.unique(np.concatenate(strings), return_counts=True) if strings else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return exchange.requests(key[0].as_py(), {1: (found, counts)}, buckets, 63)
+        kinds = {}
+        if (totals > hot).any():
+            strings = [_hot_strings(data[offsets[lo] : offsets[hi]], running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length) for lo, hi, running, _, hashes, first, last in placed]
+            kinds = {kind: np.unique(np.concatenate([s[kind] for s in strings]), return_counts=True) for kind in (1, 2)}
+        return exchange.requests(key[0].as_py(), kinds, buckets, 63)
 
     hot_answers = exchange.totals(texts.cogroup(answers.groupBy("block")).applyInArrow(ask_hot, exchange.REQUEST), summed=lambda t: np.minimum(t, np.uint64(2)))
 
@@ -320,17 +325,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
         table, data, offsets = opened(table)
         kinds = np.asarray(told.column("kind").fill_null(-1)) if told.num_rows else np.zeros(0, np.int32)
         found = [tuple(np.asarray(told.filter(pa.array(kinds == -1)).column(c)).astype(np.int64) for c in ("row", "start", "stop"))] if (kinds == -1).any() else []
-        if (kinds == 1).any():
+        if (kinds > 0).any():
             placed = list(anchors(data, offsets, length, gram))
             keys, totals = known(told, placed)
             pieces = []
             for lo, hi, running, _, hashes, first, last in placed:
-                starts, strings = _hot_strings(running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length)
-                pieces.append((lo, hi, starts, strings))
-            names = np.unique(np.concatenate([p[3] for p in pieces] or [np.zeros(0, np.uint64)]))
-            often = exchange.answered(told, 1, names, buckets, 63) > 1
-            for lo, hi, starts, strings in pieces:
-                starts = starts[often[np.searchsorted(names, strings)]]
+                chosen = np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot)
+                pieces.append((lo, hi, *_hot_strings(data[offsets[lo] : offsets[hi]], running, first, last, chosen, length)))
+            names = {kind: np.unique(np.concatenate([p[2 + kind] for p in pieces])) for kind in (1, 2)}
+            often = {kind: exchange.answered(told, kind, names[kind], buckets, 63) > 1 for kind in (1, 2)}
+            for lo, hi, starts, *strings in pieces:
+                starts = starts[np.logical_and(*(often[k][np.searchsorted(names[k], s)] for k, s in zip((1, 2), strings, strict=True)))]
                 row = np.searchsorted(offsets[lo : hi + 1] - offsets[lo], starts, side="right") - 1
                 start = starts - (offsets[lo + row] - offsets[lo])
                 found.append((lo + row, start, start + length))

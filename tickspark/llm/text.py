@@ -31,6 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+#: For a second hash of the same bytes, independent of the first one.
+OTHER_CODE = mix(np.arange(257, 513, dtype=np.uint64) * np.uint64(_MULTIPLIER))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +78,10 @@ def word_spans(part: np.ndarray, cuts: np.ndarray, is_word: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(cuts, starts, side="right") - 1
 
 
-def prefix_hash(part: np.ndarray) -> np.ndarray:
+def prefix_hash(part: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     """Running polynomial hash of bytes, for ``span_hash``."""
     out = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[part] * _powers(len(part))[0], out=out[1:])
+    np.cumsum(code[part] * _powers(len(part))[0], out=out[1:])
     return out
 
 
