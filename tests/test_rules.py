@@ -138,6 +138,22 @@ def test_generated_trades(spark):
     assert all(a.stream != b.stream or (b.t >= a.t and b.side != a.side) for a, b in zip(got, got[1:], strict=False))
 
 
+def test_generated_trades_over_slices(spark):
+    """Equal to a walk from trade to trade, for any cut, with states that differ in all rates, and with a stream of a null name."""
+    means, onward = (5.0, 60.0, 0.5), (0.9, 0.2, 0.5)
+    drawn = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3 > 1).alias("stream"), (F.col("id") * 7 % 900).alias("id"))
+    dice = drawn.select("stream", "id", (-F.log(1 - generate.draw(4, "wait"))).alias("w"), generate.draw(4, "turn").alias("v")).collect()
+    want, held = set(), {}
+    for r in sorted(dice, key=lambda r: r.id):
+        state, t = held.get(r.stream, (0, 0))
+        want.add((r.stream, r.id, t, generate.STATES[state]))
+        held[r.stream] = (state + (1 if r.v < onward[state] else 2)) % 3, t + int(r.w * means[state] * 1000) * 10**6
+    for rows in (10**6, 100, 7):
+        got = [tuple(r) for r in generate.trades(drawn, means, onward, seed=4, rows=rows).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert generate.trades(drawn.limit(0)).count() == 0
+
+
 def test_files_and_flat_forms(spark, tmp_path):
     q = some_quotes(spark)
     profile = smooth.sea_profile(q, "adev", "1h", "10m", by=["instr"])
