@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickspark.llm import decontaminate, exact_dedup, ngram_join, packing, quality
-from tickspark.llm.spill import cut
+from tickspark.llm.spill import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to spark.checkpoint.dir before the next one reads it."""
+    """All stages over ``documents``; what a stage keeps is written as Parquet to spark.checkpoint.dir before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
