@@ -187,3 +187,65 @@ def test_report_and_realised_agree(account):
     both = report["L+S"]
     assert (both.hit_r, both.hit_sk, both.loss_sk, both.cnt_FL, both.cnt_LL, both.cnt_LF, both.hit_LL) == (0.666667, 999, -1500, 1, 2, 1, 2)
     assert sum(r.rpnl for r in accounts.accrpl(account).collect()) == 498
+
+
+# Executions, rejections and the account after each, a field between two bars.
+EXECUTED = """\
+1482109247.100000000|EXE||1|6665|410|0.100000000
+1482109247.100000000|ACC||1.00|-6665.00|-1.00|0.00
+1482109248.500000000|REJ||0|0|nan|0.500000000
+1482109248.500000000|ACC||1.00|-6665.00|-1.00|0.00
+1482109249.500000000|EXE||-1|6475|5|0.500000000
+1482109249.500000000|ACC||0.00|-190.00|-2.00|0.00
+1482109250.200000000|REJ||0|0|nan|0.200000000
+1482109250.200000000|ACC||0.00|-190.00|-2.00|0.00
+1482109251.200000000|EXE||1|6765|460|0.200000000
+1482109251.200000000|ACC||1.00|-6955.00|-3.00|0.00
+1482109253.100000000|REJ||0|0|nan|0.100000000
+1482109253.100000000|ACC||1.00|-6955.00|-3.00|0.00
+1482109255.100000000|REJ||0|0|nan|0.100000000
+1482109255.100000000|ACC||1.00|-6955.00|-3.00|0.00
+1482109256.100000000|EXE||-1.00|6140|295|0.100000000
+1482109256.100000000|ACC||0.00|-815.00|-4.00|0.00
+"""
+
+
+def test_spreads_of_executions_are_given_back(spark, tmp_path):
+    (tmp_path / "account.tsv").write_text(EXECUTED.replace("|", "\t"))
+    kept, execs = ticks.read_accounts(spark, str(tmp_path / "account.tsv"))
+    got = {r.side: (r.hits, r["count"], r.time, r.rpnl, r.rp, r.rl, r.avg, r.best, r.worst) for r in accounts.accsum(kept, execs, gross=2).collect()}
+    assert got["L"] == (1, 2, 7_300_000_000, -230, 17.5, -247.5, -115, 17.5, -247.5)
+    assert got["F"][:3] == (0, 2, 1_700_000_000)
+    report = {r.side: r for r in accounts.accsum_report(kept, execs, gross=2).collect()}
+    assert [(report[s].hit_r, report[s].hit_sk, report[s].loss_sk) for s in ("L", "L+S")] == [(0.5, 17.5, -247.5)] * 2
+    assert (report["L"].cnt_FL, report["L"].cnt_LF, report["L"].hit_FL, report["L"].hit_LF) == (2, 2, 0, 1)
+
+
+def test_one_candle_of_all_quotes(quotes):
+    (got,) = resample.candle(resample.align(quotes, "2"), None).collect()
+    assert (got.cndl, got.mindlt, got.maxdlt) == ("ALL", 2_000_000_000, 6_000_000_000)
+    names = ("minask", "maxbid", "minspr", "maxspr", "maxbsz", "maxasz", "maxbim", "maxsim", "maxdu", "maxdd")
+    assert [round(float(got[c]), 5) for c in names] == [1.13324, 1.13327, 0.00001, 0.00004, 7.12, 4.69, 3.0, 3.31, 0.00008, -0.00003]
+
+
+def test_quodist_of_elapsed_time(quotes):
+    got = {r.dimen: (r.cndl, r.lo, r.hi, r.cnt) for r in resample.quodist(quotes, elapsed=True).collect()}
+    # known as 0.00001 for r, where a minimum of 0 is forgotten once a larger value follows; here it is the true one
+    edges = {"t": (0.0, 5.096), "b": (1.13321, 1.13327), "a": (1.13324, 1.13329), "s": (0.00001, 0.00004), "r": (0.0, 0.00002), "B": (1.0, 7.12), "A": (1.12, 4.69), "I": (-1.08008, 1.2467), "R": (-0.35067, 0.38399)}
+    assert got == {d: ("ALL", *e, 18_937_000_000) for d, e in edges.items()}
+    first = {r.dimen: (r.lo, r.hi, r.cnt) for r in resample.quodist(quotes, "60", elapsed=True).where("cndl like '%880.%'").collect()}
+    assert (first["t"], first["b"], first["A"], first["I"]) == ((0.0, 0.586, 1_598_000_000), (1.13321, 1.13323, 1_598_000_000), (1.12, 4.69, 1_598_000_000), (-0.30864, 0.87468, 1_598_000_000))
+
+
+def test_quodist_in_detail(quotes):
+    got = {}
+    for r in resample.quodist(quotes, res=3).collect():
+        got.setdefault(r.dimen, set()).add((r.lo, r.hi, r.cnt))
+    assert got["b"] == {(1.13321, 1.13327, 20)} and got["a"] == {(1.13324, 1.13327, 15), (1.13328, 1.13329, 5)}
+    assert got["s"] == {(0.00001, 0.00001, 1), (0.00002, 0.00002, 12), (0.00003, 0.00003, 6), (0.00004, 0.00004, 1)}
+    assert {(hi, n) for _, hi, n in got["r"]} == {(0.0, 1), (0.00001, 18), (0.00002, 1)}
+    assert got["B"] == {(x, x, n) for x, n in [(1.1, 1), (4.87, 1), (5.7, 1), (1.5, 3), (1.57, 2), (7.12, 1), (1.87, 1), (3.75, 1), (1.0, 8), (4.12, 1)]}
+    assert {(1.31, 2.62, 3), (2.06, 4.12, 2), (4.31, 4.31, 3), (3.94, 3.94, 1)} < got["A"] and sum(n for *_, n in got["A"]) == 20
+    assert {(0.11321, 0.11912, 2), (0.89503, 0.89503, 2), (-1.08008, -1.08008, 1), (1.2467, 1.2467, 1)} < got["I"]
+    assert {(0.05357, 0.05621, 2), (0.30076, 0.30916, 4), (0.32599, 0.32599, 2), (0.38399, 0.38399, 1)} < got["R"]
+    assert {(0.506, 0.506, 4), (5.096, 5.096, 1)} < got["t"] and len(got["t"]) == 17
