@@ -30,3 +30,8 @@ def same(spark, odd, name):
 def test_velocity_of_changes_at_one_time(spark, odd):
     want = same(spark, odd, "sea_profile_velo")
     assert float("inf") in want.column("mean").to_pylist()
+
+
+@pytest.mark.parametrize("name", ["candle", "candle_day", "candle_all", "quodist", "quodist_arrays", "quodist_res1", "quodist_table", "quodist_time"])
+def test_zero_is_a_price(spark, odd, name):
+    same(spark, odd, name)
