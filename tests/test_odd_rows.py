@@ -35,3 +35,7 @@ def test_velocity_of_changes_at_one_time(spark, odd):
 @pytest.mark.parametrize("name", ["candle", "candle_day", "candle_all", "quodist", "quodist_arrays", "quodist_res1", "quodist_table", "quodist_time"])
 def test_zero_is_a_price(spark, odd, name):
     same(spark, odd, name)
+
+
+def test_zero_is_a_sample_of_a_sum(spark, odd):
+    same(spark, odd, "loghist_sums")
