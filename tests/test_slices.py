@@ -190,3 +190,13 @@ def test_the_window_rule_over_slices_of_cells(spark, cells):
     alone = [r for r in rows if r[2] == "x"]
     got = resample.window_edges(spark.createDataFrame(alone, df.schema), width, [], cells=cells)
     assert {("x", r.t): r.edge for r in got.collect()} == {k: v for k, v in want.items() if k[0] == "x"}
+
+
+def test_slices_are_cut_once(spark):
+    df, _ = walk(spark, 600, 3)
+    cut, single = slices.sliced(df, ["instr"], 50)
+    assert not single
+    # all later passes read the same bounds: no sketch is left in the plan
+    assert "percentile_approx" not in cut._jdf.queryExecution().analyzed().toString().lower()
+    sketches = {str(df.repartition(n, "t").groupBy().agg(F.percentile_approx("t", [i / 97 for i in range(1, 97)], 50)).first()[0]) for n in (1, 2, 3, 7)}
+    assert len(sketches) > 1

@@ -45,7 +45,8 @@ def sliced(df: DataFrame, by: list[str], rows: int = ROWS, every: str | int = ST
     found = df.groupBy(*by, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx("t", shares, 10 * PARTS).alias("_at")).where(F.col("_rows") > rows)
     need = F.least(F.ceil(F.col("_rows") / rows), F.lit(PARTS)).cast("int")
     step = lambda i: F.floor(i * need / PARTS)
-    bounds = found.select(*by, "_cell", F.array_distinct(F.filter("_at", lambda x, i: step(i + 1) > step(i))).alias("_bounds"))
+    # a sketch depends on the order in which its parts arrive, so that it may cut elsewhere when it is made again: it is made once
+    bounds = settled(found.select(*by, "_cell", F.array_distinct(F.filter("_at", lambda x, i: step(i + 1) > step(i))).alias("_bounds")))
     part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("t"))), F.lit(0))
     cut = beside(named, bounds, [*by, "_cell"], "left")
     return cut.select(*df.columns, (F.col("_cell") * PARTS + F.when(F.col("_bounds").isNull(), 0).otherwise(part)).alias("_slice")), False
