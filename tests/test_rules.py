@@ -215,3 +215,13 @@ def test_table_functions(spark):
     aligned = resample.align(some_quotes(spark), "10m")
     assert sorted(map(tuple, spark.sql(f"SELECT * FROM align_quotes({every})").select(*aligned.columns).collect())) == sorted(map(tuple, aligned.collect()))
     assert spark.sql("SELECT * FROM mid_quotes()").count() == some_quotes(spark).count()
+
+
+def test_windows_are_no_sliding_frames(spark):
+    q = some_quotes(spark, 40)
+    for df in (smooth.sma(q, "1h"), smooth.rolling(q, "1h")):
+        # a frame that begins a number of nanoseconds back is summed up anew for each row
+        assert "rangeframe, -" not in df._jdf.queryExecution().analyzed().toString().lower()
+    half = q.withColumn("ask", F.when(F.col("seq") >= 20, F.col("ask")))
+    rows = sorted(map(tuple, smooth.sma(half, "5m").select("seq", "sma_ask", "smv_ask").collect()))
+    assert all(r[1] is None and r[2] is None for r in rows if r[0] <= 18) and rows[-1][1] is not None
