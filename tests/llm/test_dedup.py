@@ -211,6 +211,27 @@ def test_near_copies_of_lines_beside_their_buckets_leaders(spark):
     assert {r.doc_id for r in found if r.n_dropped} == set(range(1, 300, 2))
 
 
+def test_only_similar_lines_come_out_of_the_crossing(spark, monkeypatch):
+    rng, pairs, crossed = random.Random(6), [], line_dedup.crossed
+    template, letters = "this half of the line is what a template prints into every line of the table:", "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(80):  # unlike lines of a similarity of some 0.66
+        own = "".join(rng.choice(letters) for _ in range(18))
+        texts += [f"{template} {own}", f"{template} {own[:-1]}!"]
+
+    def counted(*args):
+        found = crossed(*args)
+        pairs.extend(tuple(r) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(line_dedup, "crossed", counted)
+    found = line_dedup.dedup_lines(docs_of(spark, texts)).collect()
+    assert {r.doc_id for r in found if r.n_dropped} == set(range(1, 160, 2))
+    sets = {r.key: frozenset(r.norm[i : i + line_dedup.SHINGLE] for i in range(len(r.norm) - line_dedup.SHINGLE + 1)) for r in line_dedup.lines(docs_of(spark, texts)).collect()}
+    assert len(set(pairs)) == len(pairs)
+    assert all(4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) for a, b in pairs)
+
+
 @pytest.mark.parametrize("salted", [1024, 3])
 def test_every_pair_of_a_bucket_is_led_joined_or_crossed(spark, monkeypatch, salted):
     monkeypatch.setattr(line_dedup, "SALTED", salted)

@@ -10,10 +10,10 @@ components come out as if all pairs of all buckets had been. Of each component,
 (smallest identifier, then line number) stays and all others go.
 
 A similar pair meets in a band with probability 1 - (1 - s ** ROWS) ** bands: 0.996 at s = 0.75, 0.9992 at 0.8 and 0.999998
-at 0.9, as the defaults stand (a little less for lines of under 20 characters). Before their sets are compared, bitmaps of the
-two lines' shingles bound the sets' distance from below, which loses nothing and tells short lines apart; and two lines of LONG
-or more shingles must agree in AGREED minima: at s = 0.75 some 22 of 30 agree, and fewer than AGREED with a chance of 3 in
-10,000. A distinct line is named by a 64-bit hash.
+at 0.9, as the defaults stand (a little less for lines of under 20 characters). Only lines that share a bucket are sketched: before
+their sets are compared, bitmaps of WORDS * 64 bits of the two lines' shingles bound the sets' distance from below, which loses
+nothing; and two lines of LONG or more shingles must agree in AGREED minima: at s = 0.75 some 22 of 30 agree, and fewer than
+AGREED with a chance of 3 in 10,000. A distinct line is named by a 64-bit hash.
 
 Edge cases: a null or empty text has one empty line; blank lines always stay; a line shorter than a shingle has one
 shingle; a very long line is one set like any other; rows that share an identifier share the decisions of their line
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tickspark.llm.components import components
 from tickspark.llm.exact_dedup import filter_position, filter_word, filters, has_bit
-from tickspark.llm.spill import cut
+from tickspark.llm.spill import cut, stored
 
 SHINGLE = 8
 ROWS, BANDS = 3, 10  # no more than 16 bands
@@ -40,6 +40,8 @@ CLASSES, SHIFT = 8, 12
 LONG, AGREED = 64, 14
 #: Minima, a byte of each, in a word of the sketch that is compared.
 PACKED = 6
+#: Words of a line's bitmap of shingles.
+WORDS = 32
 #: Lines outside a bucket's largest component that one task compares with the bucket.
 SALTED = 1024
 #: Similarity at which lines count as near copies, as a fraction.
@@ -74,29 +76,45 @@ def shingles(norm: Column) -> Column:
     return F.element_at(every, 1)
 
 
-def signatures(rows: DataFrame, bands: int) -> DataFrame:
-    """(key, size, buckets, held0, held1, s0, s1, ...): of each distinct line its number of shingles (repeated ones too), a
-    bucket for each band, whose low bits number the band, a bitmap of its shingles for either half of the classes, and a byte
-    of each minimum. Minima have 24 bits."""
+def hashes(rows: DataFrame) -> DataFrame:
+    """(key, h): the hash of each shingle of each line, not yet distinct."""
     made = rows.select("key", wide(F.col("norm")).alias("line"))
-    hashed = made.select("key", "line", F.explode(places(F.col("line"))).alias("i")).select("key", F.octet_length("line").alias("size"), shingle(F.col("line"), F.col("i")).alias("h"))
-    hashed = hashed.withColumn("class", F.col("h").bitwiseAND(F.lit(CLASSES - 1).cast("long")).cast("int"))
+    return made.select("key", "line", F.explode(places(F.col("line"))).alias("i")).select("key", shingle(F.col("line"), F.col("i")).alias("h"))
+
+
+def signatures(rows: DataFrame, bands: int) -> DataFrame:
+    """(key, buckets, s0, s1, ...): of each distinct line a bucket for each band, whose low bits number the band, and a byte of
+    each minimum. Minima have 24 bits."""
+    hashed = hashes(rows).withColumn("class", F.col("h").bitwiseAND(F.lit(CLASSES - 1).cast("long")).cast("int"))
     orders = -(-ROWS * bands // CLASSES)
     # the filter of an aggregate is what keeps the other classes' minima untouched
     least = [F.expr(f"min(cast(shiftrightunsigned(shiftleft(h, {SHIFT * j}), 40) as int)) FILTER (WHERE class = {c})").alias(f"l{j}_{c}") for j in range(orders) for c in range(CLASSES)]
     own = [F.coalesce(*(F.col(f"l{i // CLASSES}_{(i + k) % CLASSES}") for k in range(CLASSES))) for i in range(ROWS * bands)]
-    held = [F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))) FILTER (WHERE class {side} {CLASSES // 2})").alias(f"held{i}") for i, side in enumerate(("<", ">="))]
-    minima = hashed.groupBy("key").agg((F.max("size") / 2 - (SHINGLE - 1)).cast("int").alias("size"), *held, *least)
-    minima = minima.select("key", "size", *(F.coalesce(f"held{i}", F.lit(0).cast("long")).alias(f"held{i}") for i in range(2)), *(m.alias(f"m{i}") for i, m in enumerate(own)))
+    minima = hashed.groupBy("key").agg(*least).select("key", *(m.alias(f"m{i}") for i, m in enumerate(own)))
     met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
     byte = lambda i, k: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * k)
     words = [reduce(Column.bitwiseOR, (byte(i, k) for k, i in enumerate(range(at, min(at + PACKED, ROWS * bands))))) for at in range(0, ROWS * bands, PACKED)]
-    return minima.select("key", "size", "held0", "held1", F.array(*met).alias("buckets"), *(w.alias(f"s{i}") for i, w in enumerate(words)))
+    return minima.select("key", F.array(*met).alias("buckets"), *(w.alias(f"s{i}") for i, w in enumerate(words)))
+
+
+def sketches(texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """(key, norm, size, held0, held1, ...) and the columns of ``signed``: of each wanted line its number of distinct shingles and
+    a bitmap of them."""
+    bit = "bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int)))"
+    held = [F.expr(f"coalesce({bit} FILTER (WHERE slot = {w}), 0L)").alias(f"held{w}") for w in range(WORDS)]
+    # bits 40 to 50 of a shingle's hash name its bit: six within a word, the rest the word
+    drawn = hashes(texts).withColumn("slot", F.call_function("shiftrightunsigned", "h", F.lit(46)).bitwiseAND(F.lit(WORDS - 1).cast("long")).cast("int")).groupBy("key").agg(*held)
+    sized = texts.select("key", "norm", F.size(F.array_distinct(shingles(F.col("norm")))).alias("size"))
+    return sized.join(drawn, "key").join(signed, "key")
+
+
+def numbered_columns(df: DataFrame, name: str) -> list[str]:
+    return [c for c in df.columns if c.startswith(name) and c[len(name) :].isdigit()]
 
 
 def sketched(signed: DataFrame) -> list[str]:
     """The columns that ``may_be_similar`` takes."""
-    return ["size", "held0", "held1", *(c for c in signed.columns if c[0] == "s" and c[1:].isdigit())]
+    return ["size", *numbered_columns(signed, "held"), *numbered_columns(signed, "s")]
 
 
 def members(signed: DataFrame, filter_bits: int) -> DataFrame:
@@ -113,10 +131,12 @@ def led(met: DataFrame) -> DataFrame:
 
 
 def crossed(met: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """All other pairs (a, b) of a bucket that still lie in two components and may be similar, each once.
+    """All other similar pairs (a, b) of a bucket that still lie in two components, each once.
 
     Leaders have been compared with all. Of the others those outside the bucket's largest component meet all; large
-    buckets are dealt by salt. Minima are compared within the join, so that pairs of unlike lines don't come out of it.
+    buckets are dealt by salt. Sketches are compared within the join, and then the lines' sets where ``signed`` holds the lines
+    (else pairs that may be similar are returned), so that pairs of unlike lines don't come out of it. Where it holds their
+    buckets, a pair is compared in the first bucket that it shares: there it is in two components as well, or a leader's.
     """
     rest = met.where("key <> low and key <> high").select("bucket", "key").join(labels, F.col("key") == F.col("node"), "left")
     rest = rest.select("bucket", "key", F.coalesce("component", "key").alias("label"))
@@ -124,11 +144,20 @@ def crossed(met: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     main = main.select("bucket", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.k")) / SALTED).cast("int").alias("salts"))
     sketch = sketched(signed)
-    rows = rest.join(main, "bucket").join(signed.select("key", *sketch), "key")
-    named = lambda df, x: df.select("bucket", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", *sketch)))
+    kept = [*sketch, *(c for c in ("norm", "buckets") if c in signed.columns)]
+    rows = rest.join(main, "bucket").join(signed.select("key", *kept), "key")
+    named = lambda df, x: df.select("bucket", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "main", *kept)))
     left = named(rows.where("label <> main").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")), "x")
     right = named(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "y")
-    on = (left.bucket == right.bucket) & (left.salt == right.salt) & (F.col("x_label") != F.col("y_label")) & may_be_similar("x", "y", sketch)
+    # two lines outside the largest component meet in both orders
+    on = (left.bucket == right.bucket) & (left.salt == right.salt) & (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_main")) | (F.col("x_key") < F.col("y_key")))
+    if "buckets" in kept:
+        band = left.bucket.bitwiseAND(F.lit(15).cast("long"))
+        earlier = lambda i: (F.lit(i) < band) & (F.get("x_buckets", F.lit(i)) == F.get("y_buckets", F.lit(i)))
+        on = on & ~reduce(Column.__or__, (F.coalesce(earlier(i), F.lit(False)) for i in range(BANDS)))
+    on = on & may_be_similar("x", "y", sketch)
+    if "norm" in kept:
+        on = on & are_similar(*(F.col(f"{x}_{c}") for c in ("norm", "size") for x in "xy"))
     return left.join(right, on).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
@@ -144,11 +173,10 @@ def held_by(rows: DataFrame, digests: DataFrame, value: Column, filter_bits: int
     return marked(rows, digests, value, filter_bits).where("maybe").drop("maybe")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
-    """(key, norm): the wanted lines. A bitmap filter of fixed size keeps other lines from the shuffle."""
-    rows = held_by(lines(docs), wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)
-    # aggregated before the join, so that a frequent line is one row of each task
-    return rows.groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key")
+def found_lines(docs: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
+    """(doc_id, at, key, norm): every line, with its text if it may be wanted, by a bitmap filter of fixed size."""
+    rows = marked(lines(docs), wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)
+    return rows.select("doc_id", "at", "key", F.when(F.col("maybe"), F.col("norm")).alias("norm"))
 
 
 def may_be_similar(x: str, y: str, sketch: list[str]) -> Column:
@@ -160,39 +188,44 @@ def may_be_similar(x: str, y: str, sketch: list[str]) -> Column:
         apart = F.col(f"{x}_{word}").bitwiseXOR(F.col(f"{y}_{word}"))
         return F.bit_count(F.bitwise_not((apart.bitwiseAND(F.lit(ones)) + F.lit(ones)).bitwiseOR(apart).bitwiseOR(F.lit(ones)))) - 8  # the bits of the eighth byte
 
-    words = sketch[3:]
+    words, held = ([c for c in sketch if c.startswith(n) and c != "size"] for n in ("s", "held"))
     unused = PACKED * len(words) - ROWS * BANDS
     agreed = reduce(Column.__add__, (equal_bytes(w) - (7 - PACKED) for w in words)) - unused
     # a bit that one of them lacks is a shingle that one of them lacks
-    apart = F.bit_count(F.col(f"{x}_held0").bitwiseXOR(F.col(f"{y}_held0"))) + F.bit_count(F.col(f"{x}_held1").bitwiseXOR(F.col(f"{y}_held1")))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}_{w}").bitwiseXOR(F.col(f"{y}_{w}"))) for w in held))
     close = (OVER + UNDER) * apart <= (UNDER - OVER) * (F.col(f"{x}_size") + F.col(f"{y}_size"))
     return close & ((F.least(f"{x}_size", f"{y}_size") < LONG) | (agreed >= AGREED))
 
 
-def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+def are_similar(x: Column, y: Column, x_size: Column, y_size: Column) -> Column:
+    """Whether the sets of two lines, of so many distinct shingles, reach the threshold."""
+    return (OVER + UNDER) * F.size(F.array_intersect(shingles(x), shingles(y))) >= OVER * (x_size + y_size)
+
+
+def similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold. Sets are made of the texts here: they are many times larger."""
     sketch = sketched(signed)
-    side = lambda df, x, *also: df.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in also))
-    near = pairs.join(side(signed, "a", *sketch), "a").join(side(signed, "b", *sketch), "b").where(may_be_similar("a", "b", sketch))
-    both = near.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("most")).join(side(texts, "a", "norm"), "a").join(side(texts, "b", "norm"), "b")
-    sets = both.select("a", "b", "most", shingles(F.col("a_norm")).alias("x"), shingles(F.col("b_norm")).alias("y"))
-    enough = lambda met, total: (OVER + UNDER) * met >= OVER * total
-    # shingles that a line repeats are looked for only where they could decide
-    met, distinct = F.size(F.array_intersect("x", "y")), F.size(F.array_distinct("x")) + F.size(F.array_distinct("y"))
-    # written as it is told: a filter on it would make the sets once more for each place that names them
-    return cut(sets.select("a", "b", (enough(met, F.col("most")) | enough(met, distinct)).alias("similar"))).where("similar").select("a", "b")
+    side = lambda x, *also: signed.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in also))
+    near = pairs.join(side("a", *sketch), "a").join(side("b", *sketch), "b").where(may_be_similar("a", "b", sketch))
+    both = near.select("a", "b", "a_size", "b_size").join(side("a", "norm"), "a").join(side("b", "norm"), "b")
+    return both.where(are_similar(*(F.col(f"{x}_{c}") for c in ("norm", "size") for x in "ab"))).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) -> DataFrame:
     """(doc_id, at, component): every line that goes, and the smallest name of a line in its component."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = cut(signatures(lines(docs), bands))
-    met = cut(members(signed, filter_bits))
-    texts = cut(texts_of(docs, met.select("key").distinct(), filter_bits))
-    labels = cut(components(similar(led(met), signed, texts)))
-    more = similar(cut(crossed(met, labels, signed)), signed, texts)
-    joined = cut(components(more.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    found = cut(lines(docs).select("doc_id", "at", "key"))
+    every = cut(signatures(lines(docs), bands))
+    parts = max(8, every.rdd.getNumPartitions() // 4)  # links are few beside lines
+    met = cut(members(every, filter_bits))
+    wanted = met.select("key").distinct()
+    found = stored(found_lines(docs, wanted, filter_bits))
+    # aggregated before the join, so that a frequent line is one row of each task
+    texts = cut(found.where("norm is not null").groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key"))
+    signed = cut(sketches(texts, held_by(every, wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)))
+    labels = cut(components(similar(led(met), signed), parts), parts)
+    more = crossed(met, labels, signed)
+    joined = cut(components(more.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))), parts), parts)
+    found = found.select("doc_id", "at", "key")
     total = found.count()
     named = cut(found.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n")).join(joined, F.col("key") == joined.node, "left").where("n > 1 or node is not null").select("key", "doc", "n", F.coalesce("component", "key").alias("component")))
     first = named.groupBy("component").agg(F.min("doc").alias("keep_doc"))
@@ -209,9 +242,10 @@ def dedup_lines(docs: DataFrame, filter_bits: int = 23, **how) -> DataFrame:
     shuffled to meet their lines' decisions."""
     gone = cut(dropped_lines(docs, filter_bits=filter_bits, **how).groupBy("doc_id").agg(F.collect_list("at").alias("gone")))  # at most a document's own lines
     rows = marked(docs.select("doc_id", "text"), gone.select(F.col("doc_id").alias("digest")), F.col("doc_id"), filter_bits)
-    rows = rows.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    whole = rows.where("not maybe").select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
-    met = rows.where("maybe").drop("lines").join(gone, "doc_id", "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    whole = rows.where("not maybe").select("doc_id", n_lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "text")
+    met = rows.where("maybe").join(gone, "doc_id", "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
     met = met.select("doc_id", F.size("lines").cast("long").alias("n_lines"), stays.alias("stays"))
     return whole.unionByName(met.select("doc_id", "n_lines", (F.col("n_lines") - F.size("stays")).cast("long").alias("n_dropped"), F.array_join("stays", "\n").alias("text")))
