@@ -39,3 +39,10 @@ def test_zero_is_a_price(spark, odd, name):
 
 def test_zero_is_a_sample_of_a_sum(spark, odd):
     same(spark, odd, "loghist_sums")
+
+
+def test_arrays_have_the_types_of_their_sql(spark, odd):
+    path, duck = odd
+    want = duck.execute(plans.ORACLES["quodist_arrays"]).to_arrow_table().schema
+    got = plans.QUERIES["quodist_arrays"](spark, path).limit(0).toArrow().schema
+    assert {n: got.field(n).type for n in ("bins", "filled", "places")} == {n: want.field(n).type for n in ("bins", "filled", "places")}
