@@ -220,8 +220,8 @@ def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) ->
     wanted = met.select("key").distinct()
     found = stored(found_lines(docs, wanted, filter_bits))
     # aggregated before the join, so that a frequent line is one row of each task
-    texts = cut(found.where("norm is not null").groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key"))
-    signed = cut(sketches(texts, held_by(every, wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)))
+    texts = stored(found.where("norm is not null").groupBy("key").agg(F.min("norm").alias("norm")).join(wanted, "key"))
+    signed = stored(sketches(texts, held_by(every, wanted.select(F.col("key").alias("digest")), F.col("key"), filter_bits)))
     labels = cut(components(similar(led(met), signed), parts), parts)
     more = crossed(met, labels, signed)
     joined = cut(components(more.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))), parts), parts)
