@@ -1,6 +1,7 @@
 """Window rule against a literal loop, slices against whole streams, durations and stamps."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,12 @@ def test_windows_are_no_sliding_frames(spark):
     half = q.withColumn("ask", F.when(F.col("seq") >= 20, F.col("ask")))
     rows = sorted(map(tuple, smooth.sma(half, "5m").select("seq", "sma_ask", "smv_ask").collect()))
     assert all(r[1] is None and r[2] is None for r in rows if r[0] <= 18) and rows[-1][1] is not None
+
+
+def test_rows_meet_intervals_by_hash(spark):
+    q = some_quotes(spark, 40)
+    for df in (combine.xevent(q, q.select("t", "seq"), "3m", "1m"),):
+        assert re.search(r"ShuffledHashJoin \[[^\]]*_cell", df._jdf.queryExecution().executedPlan().toString())
+    # intervals of less than a cell's four parts
+    ns = spark.createDataFrame([(t, t) for t in range(10)], "t long, seq long")
+    assert {(r.chunk, r.t) for r in combine.xevent(ns, ns, 2, 0).collect()} == {(c, t) for c in range(10) for t in range(max(0, c - 2), c + 1)}
