@@ -230,8 +230,9 @@ def test_windows_are_no_sliding_frames(spark):
 
 def test_rows_meet_intervals_by_hash(spark):
     q = some_quotes(spark, 40)
-    for df in (combine.xevent(q, q.select("t", "seq"), "3m", "1m"),):
+    for df in (combine.xevent(q, q.select("t", "seq"), "3m", "1m"), smooth.rolling(q, "1h", by=["instr"])):
         assert re.search(r"ShuffledHashJoin \[[^\]]*_cell", df._jdf.queryExecution().executedPlan().toString())
     # intervals of less than a cell's four parts
     ns = spark.createDataFrame([(t, t) for t in range(10)], "t long, seq long")
     assert {(r.chunk, r.t) for r in combine.xevent(ns, ns, 2, 0).collect()} == {(c, t) for c in range(10) for t in range(max(0, c - 2), c + 1)}
+    assert {(r.window_id, r.t) for r in smooth.rolling(ns, 2).collect()} == {(k, t) for k in range(2, 11) for t in (k - 2, k - 1)}
