@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -247,6 +248,16 @@ def test_every_pair_of_a_bucket_is_led_joined_or_crossed(spark, monkeypatch, sal
     assert set(found) == want and len(found) == len(want)
 
 
+def test_signatures_are_made_by_a_method_that_gets_compiled(spark, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        line_dedup.signatures(line_dedup.lines(docs_of(spark, ["one line"])), line_dedup.BANDS).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM only interprets longer ones
+
+
 def test_bands_have_a_high_recall_at_the_threshold(spark):
     similarity = line_dedup.OVER / line_dedup.UNDER
     assert 1 - (1 - similarity**line_dedup.ROWS) ** line_dedup.BANDS >= 0.993

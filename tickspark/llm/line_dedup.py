@@ -89,8 +89,12 @@ def signatures(rows: DataFrame, bands: int) -> DataFrame:
     orders = -(-ROWS * bands // CLASSES)
     # the filter of an aggregate is what keeps the other classes' minima untouched
     least = [F.expr(f"min(cast(shiftrightunsigned(shiftleft(h, {SHIFT * j}), 40) as int)) FILTER (WHERE class = {c})").alias(f"l{j}_{c}") for j in range(orders) for c in range(CLASSES)]
-    own = [F.coalesce(*(F.col(f"l{i // CLASSES}_{(i + k) % CLASSES}") for k in range(CLASSES))) for i in range(ROWS * bands)]
-    minima = hashed.groupBy("key").agg(*least).select("key", *(m.alias(f"m{i}") for i, m in enumerate(own)))
+    # each class borrows from the next one that has borrowed already: chains of all classes for each minimum make a method too long to be compiled
+    borrowed = hashed.groupBy("key").agg(*least)
+    for c in reversed(range(CLASSES)):
+        after = range(CLASSES - 1) if c == CLASSES - 1 else [c + 1]
+        borrowed = borrowed.withColumns({f"l{j}_{c}": F.coalesce(f"l{j}_{c}", *(f"l{j}_{k}" for k in after)) for j in range(orders)})
+    minima = borrowed.select("key", *(F.col(f"l{i // CLASSES}_{i % CLASSES}").alias(f"m{i}") for i in range(ROWS * bands)))
     met = [F.xxhash64(*(f"m{ROWS * i + k}" for k in range(ROWS))).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)]
     byte = lambda i, k: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * k)
     words = [reduce(Column.bitwiseOR, (byte(i, k) for k, i in enumerate(range(at, min(at + PACKED, ROWS * bands))))) for at in range(0, ROWS * bands, PACKED)]
