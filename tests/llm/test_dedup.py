@@ -309,6 +309,33 @@ def test_planted_passages_of_so_many_bytes(spark, n, goes):
     assert {r.n_removed for r in suffix_dedup.repeats(docs_of(spark, texts)).collect()} == {goes}
 
 
+@pytest.mark.parametrize(("n", "found"), [(50, 0), (51, 51), (60, 60)])
+def test_passages_of_over_fifty_words_are_found_in_other_documents(spark, n, found):
+    rng = random.Random(n)
+    passage = words_of(rng, n, 10**4)
+    assert len(passage) < suffix_dedup.LENGTH
+    texts = [f"{words_of(rng, 60, 10**9)}\n{passage} {words_of(rng, 60, 10**9)}" for _ in range(3)]
+    own = words_of(rng, n, 10**4)
+    texts += [f"{own} between {own}", None, ""]  # within one document only
+    rows = {r.doc_id: r for r in suffix_dedup.repeats(docs_of(spark, texts), block_bytes=700).collect()}
+    assert [rows[i].n_passage_words for i in range(6)] == [found] * 3 + [0] * 3
+    assert {r.n_removed for r in rows.values()} == {0}
+
+
+def test_passages_equal_a_lookup_of_every_51_words(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    words = [re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode()) for r in rows]
+    holders = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - 50):
+            holders.setdefault(tuple(w[i : i + 51]), set()).add(k)
+    want = {}
+    for r, w in zip(rows, words, strict=True):
+        want[r.doc_id] = len({j for i in range(len(w) - 50) if len(holders[tuple(w[i : i + 51])]) > 1 for j in range(i, i + 51)})
+    found = {r.doc_id: r.n_passage_words for r in suffix_dedup.op9_suffix_dedup(spark, DATA).collect()}
+    assert found == want and any(want.values())
+
+
 def test_query_equals_a_lookup_of_every_400_bytes(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
     want = dict(zip((r.doc_id for r in rows), cut_repeats([r.text for r in rows], 400), strict=True))

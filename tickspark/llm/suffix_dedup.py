@@ -15,6 +15,11 @@ Anchors of one hash in more than ``hot`` places (a passage that a large part of
 their strings are counted by packed exchange under two independent 63-bit hashes of all ``length`` bytes, and are repeated
 if both were met more than once.
 
+Beside what goes, a document's words in passages of ``words`` or more words that another document holds are counted: by the
+bytes of its words, whatever blanks lie between them. Such a passage may have fewer than ``length`` bytes, and then stays. A
+run of so many words is named by the least hash of its eight-word grams; grams are counted by document in the exchange of the
+anchors, and under those of several documents 63-bit hashes of the whole runs in a second one.
+
 Edge cases: null and empty texts, and texts shorter than ``length``, keep all; rows that repeat an identifier are each a
 document, judged by place, so that equal rows are repeats of each other; overlapping and periodic repeats count; an empty
 table gives no rows; a very long text is cut whole, in a block of its own; other columns are ignored.
@@ -30,17 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm import exchange
-from tickspark.llm.text import OTHER_CODE, bounded_batches, prefix_hash, raw, slices, span_hash, text_bytes
+from tickspark.llm.text import OTHER_CODE, SHINGLE_WORD, bounded_batches, gram_hash, mix, prefix_hash, raw, slices, span_hash, text_bytes, word_spans
 
 LENGTH = 400
 GRAM = 100
 #: Depths in 8-byte characters to which the multikey sort goes before the blind tries.
 SHALLOW_RIGHT, SHALLOW_LEFT = 18, 4
 HOT = 8192
+#: Words of a passage that is looked for in other documents, and of the grams that name it.
+WORDS, WORD_GRAM = 51, 8
 
 CONTEXTS = "bucket int, key long, least int, most int, before binary, after binary, rows binary, places binary"
+#: Kinds of keys in the two exchanges: least grams of passages, and whole runs of words (0 to 2 are those of bytes).
+PASSAGES, RUNS = 3, 4
 MARKS = "block int, row long, start int, stop int"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, n_passage_words long, kept binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,6 +88,37 @@ def sliding_min(value: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
+def passages(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of texts: (each word's row, first words of all runs of ``words`` words, hashes of all grams, least gram of each run)."""
+    for lo, hi in slices(offsets):
+        part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, ends, row = word_spans(part, cuts, SHINGLE_WORD)
+        if len(starts) < words:
+            continue
+        at = np.flatnonzero(row[: len(row) - words + 1] == row[words - 1 :])
+        if not len(at):
+            continue
+        grams = gram_hash(span_hash(prefix_hash(part), starts, ends), WORD_GRAM)
+        yield lo + row, at, grams, sliding_min(grams, words - WORD_GRAM + 1)[at]
+
+
+def run_hashes(grams: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """63-bit hashes of the runs of ``words`` words, by grams that cover them."""
+    out = np.full(len(at), words, np.uint64)
+    for i in [*range(0, words - WORD_GRAM, WORD_GRAM), words - WORD_GRAM]:
+        out = mix(out + grams[at + i])
+    return out >> np.uint64(1)
+
+
+def rows_of_keys(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and how many rows hold each."""
+    order = np.lexsort((rows, keys))
+    keys, rows = keys[order], rows[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    return np.unique(keys[fresh], return_counts=True)
+
+
 def multikey_sort(group: np.ndarray, digits: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group in that order) by group, then by ``depth`` 8-byte characters. Groups of one row take no further part."""
     order = np.argsort(group, kind="stable")
@@ -235,8 +275,8 @@ def _hot_strings(part: np.ndarray, running: np.ndarray, first: np.ndarray, last:
     return starts, *(span_hash(r, starts, starts + length) >> np.uint64(1) for r in (running, prefix_hash(part, OTHER_CODE)))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 4 << 20, hot: int = HOT) -> DataFrame:
-    """RESULT of every row: bytes, removed bytes, maximal removed runs, and the bytes that stay."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 4 << 20, hot: int = HOT, words: int = WORDS) -> DataFrame:
+    """RESULT of every row: bytes, removed bytes, maximal removed runs, words in passages of other documents, and the bytes that stay."""
     bounded_batches(docs.sparkSession)
     n_bytes = text_bytes(docs)
     blocks, buckets = exchange.block_counts(n_bytes, block_bytes)
@@ -258,7 +298,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         _, data, offsets = opened(table)
-        return exchange.requests(key[0].as_py(), {0: np.unique(block_keys(list(anchors(data, offsets, length, gram))), return_counts=True)}, buckets, bits)
+        keys = block_keys(list(anchors(data, offsets, length, gram)))
+        named = []
+        for row, at, _, least in passages(data, offsets, words):
+            turn = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[at[1:]] != row[at[:-1]])]))
+            named.append((least[turn] >> shift, row[at[turn]]))
+        return exchange.requests(key[0].as_py(), {0: np.unique(keys, return_counts=True), PASSAGES: rows_of_keys(*joined(named))}, buckets, bits)
+
+    def joined(pairs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([k for k, _ in pairs] or [np.zeros(0, np.uint64)]), np.concatenate([r for _, r in pairs] or [np.zeros(0, np.int64)])
+
+    def shared(told: pa.Table, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(each word's row, first words and hashes of the runs whose least gram several documents hold)."""
+        found = list(passages(data, offsets, words))
+        keys = np.unique(np.concatenate([least for *_, least in found] or [np.zeros(0, np.uint64)]) >> shift)
+        several = exchange.answered(told, PASSAGES, keys, buckets, bits) > 1
+        for row, at, grams, least in found:
+            at = at[several[np.searchsorted(keys, least >> shift)]]
+            yield row, at, run_hashes(grams, at, words)
 
     answers = exchange.totals(texts.applyInArrow(ask, exchange.REQUEST))
 
@@ -317,6 +374,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
         if (totals > hot).any():
             strings = [_hot_strings(data[offsets[lo] : offsets[hi]], running, first, last, np.flatnonzero(totals[np.searchsorted(keys, hashes >> shift)] > hot), length) for lo, hi, running, _, hashes, first, last in placed]
             kinds = {kind: np.unique(np.concatenate([s[kind] for s in strings]), return_counts=True) for kind in (1, 2)}
+        kinds[RUNS] = rows_of_keys(*joined([(runs, row[at]) for row, at, runs in shared(told, data, offsets)]))
         return exchange.requests(key[0].as_py(), kinds, buckets, 63)
 
     hot_answers = exchange.totals(texts.cogroup(answers.groupBy("block")).applyInArrow(ask_hot, exchange.REQUEST), summed=lambda t: np.minimum(t, np.uint64(2)))
@@ -325,7 +383,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
         table, data, offsets = opened(table)
         kinds = np.asarray(told.column("kind").fill_null(-1)) if told.num_rows else np.zeros(0, np.int32)
         found = [tuple(np.asarray(told.filter(pa.array(kinds == -1)).column(c)).astype(np.int64) for c in ("row", "start", "stop"))] if (kinds == -1).any() else []
-        if (kinds > 0).any():
+        if np.isin(kinds, (1, 2)).any():
             placed = list(anchors(data, offsets, length, gram))
             keys, totals = known(told, placed)
             pieces = []
@@ -341,12 +399,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
                 found.append((lo + row, start, start + length))
         row, start, stop = merged(*(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3)))
         edges = np.searchsorted(row, np.arange(table.num_rows + 1))
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+        held = np.zeros(table.num_rows, np.int64)
+        if (kinds == RUNS).any():
+            pieces = list(shared(told, data, offsets))
+            names = np.unique(np.concatenate([runs for *_, runs in pieces]))
+            elsewhere = exchange.answered(told, RUNS, names, buckets, 63) > 1
+            for word_row, at, runs in pieces:
+                at = at[elsewhere[np.searchsorted(names, runs)]]
+                depth = np.zeros(len(word_row) + 1, np.int64)
+                depth[at] += 1
+                depth[at + words] -= 1
+                held += np.bincount(word_row[np.cumsum(depth[:-1]) > 0], minlength=table.num_rows)
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "n_passage_words": [], "kept": []}
         for i in range(table.num_rows):
             text = data[offsets[i] : offsets[i + 1]]
             a, b = edges[i], edges[i + 1]
             kept = [text[p:q].tobytes() for p, q in zip(np.concatenate([[0], stop[a:b]]), np.concatenate([start[a:b], [len(text)]]), strict=True)]
-            for name, value in (("n_bytes", len(text)), ("n_removed", int((stop[a:b] - start[a:b]).sum())), ("n_spans", int(b - a)), ("kept", b"".join(kept))):
+            for name, value in (("n_bytes", len(text)), ("n_removed", int((stop[a:b] - start[a:b]).sum())), ("n_spans", int(b - a)), ("n_passage_words", int(held[i])), ("kept", b"".join(kept))):
                 out[name].append(value)
         return pa.table({"doc_id": table.column("doc_id"), **{n: pa.array(v, pa.binary() if n == "kept" else pa.int64()) for n, v in out.items()}})
 
@@ -356,4 +425,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"), "n_passage_words")
