@@ -233,6 +233,22 @@ def test_only_similar_lines_come_out_of_the_crossing(spark, monkeypatch):
     assert all(4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) for a, b in pairs)
 
 
+def test_bitmaps_are_made_of_lines_of_crossing_buckets_only(spark, monkeypatch):
+    drawn, bitmaps, rng = [], line_dedup.bitmaps, random.Random(8)
+
+    def counted(texts):
+        drawn.extend(r.norm for r in texts.collect())
+        return bitmaps(texts)
+
+    monkeypatch.setattr(line_dedup, "bitmaps", counted)
+    lines = [words_of(rng, 20, 10**6) for _ in range(20)]  # copies that their buckets' leaders join
+    template = "this half of the line is what a template prints into every line of the table:"
+    unlike = [f"{template} {own}{end}" for own in (words_of(rng, 14, 10**6) for _ in range(30)) for end in ".!"]
+    found = line_dedup.dedup_lines(docs_of(spark, [line + end for line in lines for end in ".!"] + unlike)).collect()
+    assert sum(r.n_dropped for r in found) == 20 + 30
+    assert drawn and all(d.startswith(template) for d in drawn)
+
+
 @pytest.mark.parametrize("salted", [1024, 3])
 def test_every_pair_of_a_bucket_is_led_joined_or_crossed(spark, monkeypatch, salted):
     monkeypatch.setattr(line_dedup, "SALTED", salted)

@@ -10,9 +10,9 @@ components come out as if all pairs of all buckets had been. Of each component,
 (smallest identifier, then line number) stays and all others go.
 
 A similar pair meets in a band with probability 1 - (1 - s ** ROWS) ** bands: 0.996 at s = 0.75, 0.9992 at 0.8 and 0.999998
-at 0.9, as the defaults stand (a little less for lines of under 20 characters). Only lines that share a bucket are sketched: before
-their sets are compared, bitmaps of WORDS * 64 bits of the two lines' shingles bound the sets' distance from below, which loses
-nothing; and two lines of LONG or more shingles must agree in AGREED minima: at s = 0.75 some 22 of 30 agree, and fewer than
+at 0.9, as the defaults stand (a little less for lines of under 20 characters). Before the sets of
+lines that share a bucket are compared, their sizes bound the sets' distance from below, beside leaders, and bitmaps of WORDS * 64 bits
+of the two lines' shingles, in buckets that still lie in two components; this loses nothing. And two lines of LONG or more shingles must agree in AGREED minima: at s = 0.75 some 22 of 30 agree, and fewer than
 AGREED with a chance of 3 in 10,000. A distinct line is named by a 64-bit hash.
 
 Edge cases: a null or empty text has one empty line; blank lines always stay; a line shorter than a shingle has one
@@ -102,14 +102,16 @@ def signatures(rows: DataFrame, bands: int) -> DataFrame:
 
 
 def sketches(texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """(key, norm, size, held0, held1, ...) and the columns of ``signed``: of each wanted line its number of distinct shingles and
-    a bitmap of them."""
+    """(key, norm, size) and the columns of ``signed``: of each wanted line its number of distinct shingles."""
+    return texts.select("key", "norm", F.size(F.array_distinct(shingles(F.col("norm")))).alias("size")).join(signed, "key")
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(key, held0, held1, ...): a bitmap of each line's shingles."""
     bit = "bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int)))"
     held = [F.expr(f"coalesce({bit} FILTER (WHERE slot = {w}), 0L)").alias(f"held{w}") for w in range(WORDS)]
     # bits 40 to 50 of a shingle's hash name its bit: six within a word, the rest the word
-    drawn = hashes(texts).withColumn("slot", F.call_function("shiftrightunsigned", "h", F.lit(46)).bitwiseAND(F.lit(WORDS - 1).cast("long")).cast("int")).groupBy("key").agg(*held)
-    sized = texts.select("key", "norm", F.size(F.array_distinct(shingles(F.col("norm")))).alias("size"))
-    return sized.join(drawn, "key").join(signed, "key")
+    return hashes(texts).withColumn("slot", F.call_function("shiftrightunsigned", "h", F.lit(46)).bitwiseAND(F.lit(WORDS - 1).cast("long")).cast("int")).groupBy("key").agg(*held)
 
 
 def numbered_columns(df: DataFrame, name: str) -> list[str]:
@@ -138,7 +140,7 @@ def crossed(met: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
     """All other similar pairs (a, b) of a bucket that still lie in two components, each once.
 
     Leaders have been compared with all. Of the others those outside the bucket's largest component meet all; large
-    buckets are dealt by salt. Sketches are compared within the join, and then the lines' sets where ``signed`` holds the lines
+    buckets are dealt by salt. Bitmaps are made here, for these buckets' lines only, where ``signed`` has none. Sketches are compared within the join, and then the lines' sets where ``signed`` holds the lines
     (else pairs that may be similar are returned), so that pairs of unlike lines don't come out of it. Where it holds their
     buckets, a pair is compared in the first bucket that it shares: there it is in two components as well, or a leader's.
     """
@@ -147,9 +149,14 @@ def crossed(met: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
     sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     main = main.select("bucket", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.k")) / SALTED).cast("int").alias("salts"))
+    rows = rest.join(main, "bucket")
+    if "norm" in signed.columns and not numbered_columns(signed, "held"):
+        rows = cut(rows)
+        few = signed.join(rows.select("key").distinct(), "key", "left_semi")
+        signed = stored(few.join(bitmaps(few), "key"))  # both sides of the join read it
     sketch = sketched(signed)
     kept = [*sketch, *(c for c in ("norm", "buckets") if c in signed.columns)]
-    rows = rest.join(main, "bucket").join(signed.select("key", *kept), "key")
+    rows = rows.join(signed.select("key", *kept), "key")
     named = lambda df, x: df.select("bucket", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "main", *kept)))
     left = named(rows.where("label <> main").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")), "x")
     right = named(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "y")
@@ -195,8 +202,9 @@ def may_be_similar(x: str, y: str, sketch: list[str]) -> Column:
     words, held = ([c for c in sketch if c.startswith(n) and c != "size"] for n in ("s", "held"))
     unused = PACKED * len(words) - ROWS * BANDS
     agreed = reduce(Column.__add__, (equal_bytes(w) - (7 - PACKED) for w in words)) - unused
-    # a bit that one of them lacks is a shingle that one of them lacks
-    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}_{w}").bitwiseXOR(F.col(f"{y}_{w}"))) for w in held))
+    # a bit that one of them lacks is a shingle that one of them lacks; without bitmaps the sizes tell how many at the least
+    bits = [F.bit_count(F.col(f"{x}_{w}").bitwiseXOR(F.col(f"{y}_{w}"))) for w in held]
+    apart = reduce(Column.__add__, bits) if bits else F.abs(F.col(f"{x}_size") - F.col(f"{y}_size"))
     close = (OVER + UNDER) * apart <= (UNDER - OVER) * (F.col(f"{x}_size") + F.col(f"{y}_size"))
     return close & ((F.least(f"{x}_size", f"{y}_size") < LONG) | (agreed >= AGREED))
 
@@ -236,7 +244,7 @@ def dropped_lines(docs: DataFrame, bands: int = BANDS, filter_bits: int = 23) ->
     # lines that are alone under their name and in their component can't go
     told = cut(named.join(first, "component").select("key", "component", "keep_doc", "n"))
     hot = told.where(F.col("n") * HOT_PART > total)
-    met = found.join(F.broadcast(hot), "key").unionByName(found.join(told.where(F.col("n") * HOT_PART <= total), "key"))
+    met = cut(found.join(F.broadcast(hot), "key").unionByName(found.join(told.where(F.col("n") * HOT_PART <= total), "key")))
     stay = met.where("doc_id = keep_doc").groupBy("doc_id", "component").agg(F.min("at").alias("at"))
     return met.select("doc_id", "at", "component").distinct().join(stay, ["doc_id", "at", "component"], "left_anti")
 
