@@ -236,3 +236,39 @@ def test_rows_meet_intervals_by_hash(spark):
     ns = spark.createDataFrame([(t, t) for t in range(10)], "t long, seq long")
     assert {(r.chunk, r.t) for r in combine.xevent(ns, ns, 2, 0).collect()} == {(c, t) for c in range(10) for t in range(max(0, c - 2), c + 1)}
     assert {(r.window_id, r.t) for r in smooth.rolling(ns, 2).collect()} == {(k, t) for k in range(2, 11) for t in (k - 2, k - 1)}
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a frame's last run have written."""
+    count, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            count += plan.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return count
+
+
+def dense(spark, step, n=400):
+    rng, t, rows = random.Random(8), 1_700_000_000 * 10**9, []
+    for i in range(n):
+        t += step * rng.choice([0, 1, 1, 2]) * 10**9
+        rows.append((t + (step * 500 * 10**9 if i > n // 2 else 0), i))
+    return rows, spark.createDataFrame(rows, "t long, seq long")
+
+
+@pytest.mark.parametrize(("step", "before", "after"), [(1, "3m", "1m"), (30, "20s", "45m"), (7, "-1m", "4m"), (7, "4m", "-1m"), (1, "-9s", "4s")])
+def test_chunks_grow_and_what_is_shuffled_does_not(spark, step, before, after):
+    rows, q = dense(spark, step)
+    lo, hi = timeunits.duration(before), timeunits.duration(after)
+    found = combine.xevent(q, q, before, after, start=3, mark=True)
+    got = sorted((r.chunk, r.t, -1 if r.seq is None else r.seq, r.mark or "") for r in found.collect())
+    assert got == sorted([(3 + c, t, s, "") for c, (at, _) in enumerate(rows) for t, s in rows if at - lo <= t <= at + hi] + [(3 + c, at, -1, "SHOCK") for c, (at, _) in enumerate(rows)])
+    assert shuffled_rows(found) < 3 * len(rows)
+    assert combine.xevent(q, q, before, after).count() == len(got) - len(rows)
