@@ -272,3 +272,20 @@ def test_chunks_grow_and_what_is_shuffled_does_not(spark, step, before, after):
     assert got == sorted([(3 + c, t, s, "") for c, (at, _) in enumerate(rows) for t, s in rows if at - lo <= t <= at + hi] + [(3 + c, at, -1, "SHOCK") for c, (at, _) in enumerate(rows)])
     assert shuffled_rows(found) < 3 * len(rows)
     assert combine.xevent(q, q, before, after).count() == len(got) - len(rows)
+
+
+@pytest.mark.parametrize(("step", "width"), [(1, "1m"), (7, "5m"), (30, "3h"), (1, 1)])
+def test_windows_grow_and_what_is_shuffled_does_not(spark, step, width):
+    rows, q = dense(spark, step)
+    w, want = timeunits.duration(width), set()
+    for j, (t, _) in enumerate(rows):
+        members = [r for r in rows[: j + 1] if r[0] > t - w]
+        if j + 1 == len(rows) or rows[j + 1][0] - members[0][0] >= w:
+            want |= {(j + 1, *m) for m in members}
+    found = smooth.rolling(q, width)
+    got = [(r.window_id, r.t, r.seq) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert shuffled_rows(found) < 5 * len(rows)
+    # two streams, each with numbers of its own
+    both = q.crossJoin(spark.createDataFrame([("a",), ("b",)], "instr string"))
+    assert {r[0]: r[1] for r in smooth.rolling(both, width, by=["instr"]).groupBy("instr").count().collect()} == {"a": len(want), "b": len(want)}
